@@ -10,8 +10,11 @@ neither a group of copies nor a hot key makes a long range.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,14 +71,62 @@ def record_changes(rows: DataFrame, period: str, keys: Sequence[str], values: Se
     )
 
 
+def _differs(column: pa.Array) -> np.ndarray:
+    """Whether each entry but the first differs from the one before it; two nulls are equal."""
+    now, before = column.slice(1), column.slice(0, len(column) - 1)
+    nulls = pc.and_(pc.is_null(now), pc.is_null(before))
+    return ~pc.coalesce(pc.equal(now, before), nulls).to_numpy(zero_copy_only=False)
+
+
+def _merge_runs(n_keys: int, moves: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One pass over a range sorted by key and member: a row per key that moved or may go on in
+    the next range. ``moves``: the bits that stand for a step between two deliveries."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first = None, True
+
+        def chosen(table: pa.Table, border: list[int]) -> pa.RecordBatch:
+            keep = table.column("moved").to_numpy() & moves != 0
+            keep[border] = True
+            return table.filter(pa.array(keep)).combine_chunks().to_batches(max_chunksize=1 << 20)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]).select([*range(n_keys), batch.schema.names.index("seen")])
+            seen = table.column("seen").to_numpy()
+            table = table.append_column("moved", pa.array(seen ^ (seen << 1)))
+            if held is not None:
+                table = pa.concat_tables([held, table])
+            keys = [table.column(i).combine_chunks() for i in range(n_keys)]
+            change = np.zeros(max(0, table.num_rows - 1), bool)
+            for key in keys:
+                change |= _differs(key)
+            starts = np.concatenate([[0], np.flatnonzero(change) + 1])
+            out = table.select(list(range(n_keys))).take(pa.array(starts))
+            for name in ("seen", "moved"):
+                out = out.append_column(name, pa.array(np.bitwise_or.reduceat(table.column(name).to_numpy(), starts)))
+            done, held = out.slice(0, out.num_rows - 1), out.slice(out.num_rows - 1)
+            if done.num_rows:
+                yield from chosen(done, [0] if first else [])
+                first = False
+        if held is not None:
+            yield from chosen(held, [0])
+
+    return merge
+
+
 def set_changes(rows: DataFrame, period: str, keys: Sequence[str], members: Sequence[str], order: Sequence[int]) -> DataFrame:
     """(period, keys..., change) where a key's set of members differs between deliveries.
 
     A key is added or removed with its first or last member; it is changed if it stands in both
     deliveries and any member stands in one of them only. Null counts as a member, a null key is
-    a key, repeated rows count once. The set of a key is never gathered: each member carries the
-    word of deliveries it was seen in, words are combined before any exchange, and the merge over
-    a key's sorted members ors their words.
+    a key, repeated rows count once. Rows of periods not in ``order`` are left out.
+
+    The set of a key is never gathered. Each member carries the word of deliveries it was seen
+    in; words are combined before any exchange. Ranges are cut by key and member, so even a key
+    with a third of all rows spreads over several; a range gives one row for it, and what the
+    ranges found of a key is put together at the end, where only keys that moved still are.
     """
     k = [f"k{i}" for i in range(len(keys))]
     m = [f"m{i}" for i in range(len(members))]
@@ -83,18 +134,22 @@ def set_changes(rows: DataFrame, period: str, keys: Sequence[str], members: Sequ
     for start in range(0, max(1, len(order) - 1), WORD - 1):
         stretch = list(order[start : start + WORD])
         at = _position(F.col(period), stretch)
-        base = rows.select(F.call_function("shiftleft", F.lit(1).cast("long"), at).alias("seen"), *[F.col(c).alias(n) for c, n in zip(keys, k)], *[F.col(c).alias(n) for c, n in zip(members, m)])
-        words = base.where(F.col("seen").isNotNull()).groupBy(*k, *m).agg(F.bit_or("seen").alias("seen"))
-        laid = words.repartitionByRange(*k).sortWithinPartitions(*k, *m)
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), at).alias("seen")
+        base = rows.select(one, *[F.col(c).alias(n) for c, n in zip(keys, k)], *[F.col(c).alias(n) for c, n in zip(members, m)])
+        words = base.where(F.col("seen").isNotNull()).groupBy(*k, *m).agg(F.bit_or("seen").alias("seen")).select(*k, *m, "seen")
+        laid = words.repartitionByRange(*k, *m).sortWithinPartitions(*k, *m)
         # bit i of seen ^ (seen << 1): the member stands in exactly one of deliveries i-1 and i
-        merged = laid.groupBy(*k).agg(F.bit_or("seen").alias("seen"), F.bit_or(F.col("seen").bitwiseXOR(F.shiftleft("seen", 1))).alias("moved"))
+        moves = (1 << len(stretch)) - 2
+        kinds = ", ".join(f"{n} {base.schema[n].dataType.simpleString()}" for n in k)
+        merged = laid.mapInArrow(_merge_runs(len(k), moves), f"{kinds}, seen long, moved long")
+        whole = merged.groupBy(*k).agg(F.bit_or("seen").alias("seen"), F.bit_or("moved").alias("moved"))
         steps = []
         for i in range(1, len(stretch)):
             now, before = (F.getbit("seen", F.lit(i)) == 1), (F.getbit("seen", F.lit(i - 1)) == 1)
             change = F.when(now & ~before, "added").when(before & ~now, "removed").when(now & before & (F.getbit("moved", F.lit(i)) == 1), "changed")
             steps.append(F.when(change.isNotNull(), F.struct(F.lit(stretch[i]).cast("int").alias("period"), change.alias("change"))))
         none = F.lit(None).cast("struct<period:int,change:string>")
-        events = merged.select(*k, F.explode(F.array_compact(F.array(*(steps or [none])))).alias("e"))
+        events = whole.select(*k, F.explode(F.array_compact(F.array(*(steps or [none])))).alias("e"))
         parts.append(events.select(F.col("e.period").alias(period), *[F.col(n).alias(c) for c, n in zip(keys, k)], F.col("e.change").alias("change")))
     out = parts[0]
     for part in parts[1:]:
