@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwright.plans import dealt
+from meshwright.plans import dealt, graphops
 
-_MODULES = (dealt,)
+_MODULES = (dealt, graphops)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
