@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwright.plans import dealt, graphops
+from meshwright.plans import coverops, dealt, graphops
 
-_MODULES = (dealt, graphops)
+_MODULES = (dealt, graphops, coverops)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dealt.p1_found(spark, sf_dir)
+    return graphops.QUERIES["impact_of"](spark, sf_dir)
