@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwright.plans import coverops, dealt, graphops
+from meshwright.plans import coverops, dealt, graphops, upkeepops
 
-_MODULES = (dealt, graphops, coverops)
+_MODULES = (dealt, graphops, coverops, upkeepops)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

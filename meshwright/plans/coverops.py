@@ -54,22 +54,29 @@ def co_change(spark: SparkSession, d: str, anchor: str = ANCHOR, limit: int = 20
 
 
 def audit_graph(spark: SparkSession, d: str) -> DataFrame:
-    """(snapshot, test_id, executed, hit, reached, recall): what tests ran against what they lead to."""
+    """(snapshot, test_id, executed, hit, reached, recall): what tests ran against what they lead to.
+
+    A test that is a node leads to what the node does; any other to what those functions do that
+    it ran though nothing else it ran calls them.
+    """
     g = load_graph(spark, d)
     ids = g.nodes.select("snapshot", "id")
     ran = _graph_pairs(spark, d, g).join(ids.withColumnRenamed("id", "function_id"), ["snapshot", "function_id"], "left_semi")
-    ran = ran.join(ids.withColumnRenamed("id", "test_id"), ["snapshot", "test_id"], "left_semi").select("snapshot", "test_id", "function_id")
-    tests = ran.select("snapshot", F.col("test_id").alias("id")).distinct()
-    numbered = sweeps.lanes(tests.withColumn("group", F.concat_ws("\x1f", F.col("snapshot").cast("string"), "id")))
-    labels = sweeps.lane_reach(g.adjacency(), numbered.select("snapshot", "word", "id", "mask"))
-    lane = numbered.select("snapshot", F.col("id").alias("test_id"), "word", "mask")
+    adj = g.adjacency()
+    own = ran.select("snapshot", "test_id").distinct().join(ids.withColumnRenamed("id", "test_id"), ["snapshot", "test_id"], "left_semi")
+    calls = adj.where("s <> d").withColumnsRenamed({"s": "function_id"})
+    called = ran.join(calls, ["snapshot", "function_id"]).select("snapshot", "test_id", F.col("d").alias("function_id")).distinct()
+    entry = ran.join(own, ["snapshot", "test_id"], "left_anti").join(called, ["snapshot", "test_id", "function_id"], "left_anti")
+    seeds = own.select("snapshot", "test_id", F.col("test_id").alias("id")).unionByName(entry.select("snapshot", "test_id", F.col("function_id").alias("id")))
+    numbered = sweeps.lanes(seeds.withColumn("group", F.concat_ws("\x1f", F.col("snapshot").cast("string"), "test_id")))
+    labels = sweeps.lane_reach(adj, numbered.select("snapshot", "word", "id", "mask"))
+    lane = numbered.select("snapshot", "test_id", "word", "mask", (F.col("number") % 64).cast("int").alias("bit")).distinct()
     bits = ran.join(lane, ["snapshot", "test_id"]).join(labels.withColumnsRenamed({"id": "function_id", "mask": "seen"}), ["snapshot", "word", "function_id"], "left")
     hit = F.sum(F.when(F.col("mask").bitwiseAND(F.coalesce("seen", F.lit(0).cast("long"))) != 0, 1).otherwise(0))
-    per = bits.groupBy("snapshot", "test_id").agg(F.count(F.lit(1)).alias("executed"), hit.alias("hit"))
+    per = bits.groupBy("snapshot", "test_id", "word", "bit").agg(F.count(F.lit(1)).alias("executed"), hit.alias("hit"))
     bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("getbit", F.col("mask"), i) == 1))
     sizes = labels.select("snapshot", "word", bit.alias("bit")).groupBy("snapshot", "word", "bit").agg(F.count(F.lit(1)).alias("reached"))
-    place = numbered.select("snapshot", F.col("id").alias("test_id"), "word", (F.col("number") % 64).cast("int").alias("bit"))
-    out = per.join(place, ["snapshot", "test_id"]).join(sizes, ["snapshot", "word", "bit"])
+    out = per.join(sizes, ["snapshot", "word", "bit"])
     return out.select("snapshot", "test_id", "executed", "hit", "reached", F.round(F.col("hit") / F.col("executed"), 3).alias("recall"))
 
 
@@ -132,6 +139,12 @@ def runtime_risk(spark: SparkSession, d: str) -> DataFrame:
     return churn.hotspots(churn.churn(_commits(spark, d)), _behaviour(_pairs(spark, d), product_only=False))
 
 
+def cochange_orders(spark: SparkSession, d: str) -> DataFrame:
+    """(a, b, together): suppliers that stand in the same orders, an order taken as a commit."""
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("commit_id"), F.col("l_suppkey").alias("file"))
+    return churn.cochange(lines, least=5)
+
+
 def hidden_cochange(spark: SparkSession, d: str) -> DataFrame:
     """(a, b, together): files that change together though nothing links them."""
     e = load_graph(spark, d).edges.select(file_of(F.col("src")).alias("x"), file_of(F.col("dst_id")).alias("y")).distinct()
@@ -267,6 +280,7 @@ QUERIES = {
     "risk": risk,
     "runtime_risk": runtime_risk,
     "hidden_cochange": hidden_cochange,
+    "cochange_orders": cochange_orders,
     "find_hotspots": find_hotspots,
     "find_modes": find_modes,
     "feature_map": feature_map,
@@ -363,14 +377,17 @@ ORDER BY score DESC, shared DESC, function_id LIMIT 20""",
     + _RUN
     + ", "
     + _RECONCILED
-    + """, ran AS (SELECT * FROM mapped m WHERE EXISTS (SELECT 1 FROM n WHERE n.snapshot = m.snapshot AND n.id = m.function_id) AND EXISTS (SELECT 1 FROM n WHERE n.snapshot = m.snapshot AND n.id = m.test_id)),
-walk AS (SELECT DISTINCT snapshot, test_id, test_id AS id FROM ran UNION SELECT w.snapshot, w.test_id, l.dst_id FROM walk w JOIN live l ON l.snapshot = w.snapshot AND l.src = w.id)
+    + """, ran AS (SELECT * FROM mapped m WHERE EXISTS (SELECT 1 FROM n WHERE n.snapshot = m.snapshot AND n.id = m.function_id)),
+own AS (SELECT DISTINCT snapshot, test_id FROM ran WHERE (snapshot, test_id) IN (SELECT (snapshot, id) FROM n)),
+called AS (SELECT DISTINCT r.snapshot, r.test_id, l.dst_id AS id FROM ran r JOIN live l ON l.snapshot = r.snapshot AND l.src = r.function_id WHERE l.src <> l.dst_id),
+walk AS (
+  SELECT snapshot, test_id, test_id AS id FROM own
+  UNION SELECT snapshot, test_id, function_id FROM ran r WHERE (snapshot, test_id) NOT IN (SELECT (snapshot, test_id) FROM own)
+    AND NOT EXISTS (SELECT 1 FROM called c WHERE c.snapshot = r.snapshot AND c.test_id = r.test_id AND c.id = r.function_id)
+  UNION SELECT w.snapshot, w.test_id, l.dst_id FROM walk w JOIN live l ON l.snapshot = w.snapshot AND l.src = w.id)
 SELECT r.snapshot, r.test_id, r.executed, coalesce(h.hit, 0) AS hit, w.reached, round(coalesce(h.hit, 0) / r.executed, 3) AS recall
 FROM (SELECT snapshot, test_id, count(*) AS executed FROM ran GROUP BY 1, 2) r JOIN (SELECT snapshot, test_id, count(*) AS reached FROM walk GROUP BY 1, 2) w USING (snapshot, test_id)
-LEFT JOIN (SELECT snapshot, test_id, count(*) AS hit FROM ran JOIN walk ON walk.snapshot = ran.snapshot AND walk.test_id = ran.test_id AND walk.id = ran.function_id GROUP BY ran.snapshot, ran.test_id, snapshot, test_id) h USING (snapshot, test_id)""".replace(
-        "SELECT snapshot, test_id, count(*) AS hit FROM ran JOIN walk ON walk.snapshot = ran.snapshot AND walk.test_id = ran.test_id AND walk.id = ran.function_id GROUP BY ran.snapshot, ran.test_id, snapshot, test_id",
-        "SELECT ran.snapshot, ran.test_id, count(*) AS hit FROM ran JOIN walk ON walk.snapshot = ran.snapshot AND walk.test_id = ran.test_id AND walk.id = ran.function_id GROUP BY 1, 2",
-    ),
+LEFT JOIN (SELECT ran.snapshot, ran.test_id, count(*) AS hit FROM ran JOIN walk ON walk.snapshot = ran.snapshot AND walk.test_id = ran.test_id AND walk.id = ran.function_id GROUP BY 1, 2) h USING (snapshot, test_id)""",
     "coactivation": "WITH " + _RUN + "," + _COACT + " SELECT a, b, score, shared FROM scored",
     "find_coupling": GRAPH
     + ", "
@@ -407,6 +424,9 @@ SELECT 'gained' AS change, function_id FROM w WHERE function_id NOT IN (SELECT f
 linked AS (SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b FROM (SELECT split_part(src, '::', 1) AS x, split_part(dst_id, '::', 1) AS y FROM e) WHERE x <> y)
 SELECT a, b, together FROM (SELECT x.file AS a, y.file AS b, count(*) AS together FROM commits x JOIN commits y ON x.c = y.c AND x.file < y.file WHERE x.c IN (SELECT c FROM small) GROUP BY 1, 2 HAVING count(*) >= 2)
 WHERE (a, b) NOT IN (SELECT (a, b) FROM linked)""",
+    "cochange_orders": """
+WITH c AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS f FROM lineitem WHERE l_orderkey IS NOT NULL AND l_suppkey IS NOT NULL), small AS (SELECT k FROM c GROUP BY 1 HAVING count(*) BETWEEN 2 AND 30)
+SELECT x.f AS a, y.f AS b, count(*) AS together FROM c x JOIN c y ON x.k = y.k AND x.f < y.f WHERE x.k IN (SELECT k FROM small) GROUP BY 1, 2 HAVING count(*) >= 5""",
     "find_hotspots": GRAPH
     + ", "
     + ", ".join([_RUN, _SURE, _COMMITS])
