@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwright.plans import coverops, dealt, graphops, upkeepops
+from meshwright.plans import coverops, dealt, graphops, sourceops, upkeepops
 
-_MODULES = (dealt, graphops, coverops, upkeepops)
+_MODULES = (dealt, graphops, coverops, upkeepops, sourceops)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
