@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from meshwright.functions.ids import file_of, language_of, owner_of, set_signature
 from meshwright.operators import forest
 from meshwright.operators.graph import Graph
+from meshwright.runtime import Workspace
 
 EDGE_COLUMNS = ("snapshot", "src", "relation", "dst_symbol", "dst_id", "weight", "provenance", "source", "name_based")
 
@@ -122,33 +123,32 @@ def replace_files(graph: Graph, changed: DataFrame, nodes: DataFrame, edges: Dat
     then, like all holes, are held against the names of today. One whole pass of joins instead of a
     walk from row to row; applied to all files it is the full build.
     """
-    keys = ["snapshot", "file"]
-    kept_nodes = graph.nodes.join(changed, keys, "left_anti")
-    new_nodes = kept_nodes.unionByName(nodes.select(*kept_nodes.columns))
+    ws = Workspace(graph.nodes.sparkSession, "replace")
+    keys, group = ["snapshot", "file"], ["snapshot", "src", "relation", "dst_symbol"]
+    hole = [*group, "name_based"]
+    kept = graph.nodes.join(changed, keys, "left_anti")
+    now = ws.write(kept.unionByName(nodes.select(*kept.columns)), "nodes")
     keep = lambda df: df.withColumn("file", file_of(F.col("src"))).join(changed, keys, "left_anti").drop("file")
-    flat = keep(graph.edges).select(*EDGE_COLUMNS).unionByName(edges.where(F.col("dst_id").isNotNull()).select(*EDGE_COLUMNS))
-    hole_columns = ["snapshot", "src", "relation", "dst_symbol", "name_based"]
-    holes = keep(graph.holes).select(*hole_columns).unionByName(edges.where(F.col("dst_id").isNull()).select(*hole_columns))
-    opened = dangling(Graph(new_nodes, flat, holes)).distinct()
-    closed = flat.join(opened, ["snapshot", "src", "relation", "dst_symbol", "dst_id"], "left_anti")
-    holes = holes.unionByName(opened.select(*hole_columns[:4], F.lit(True).alias("name_based"))).distinct()
-    state = Graph(new_nodes, closed, holes)
-    gone = redundant_holes(state).distinct()
-    state = Graph(new_nodes, closed, holes.join(gone, hole_columns, "left_anti"))
-    bound = resolve_holes(state)
-    rest = state.holes.join(bound.select(*hole_columns[:4]), hole_columns[:4], "left_anti")
-    more = bound.select(*hole_columns[:4], "dst_id", "weight", "provenance", F.lit("names").alias("source"), F.lit(True).alias("name_based"))
-    wide = rewiden(Graph(new_nodes, closed.unionByName(more.select(*EDGE_COLUMNS)), rest))
-    group = hole_columns[:4]
-    both = closed.unionByName(more.select(*EDGE_COLUMNS))
+    flat = ws.write(keep(graph.edges).select(*EDGE_COLUMNS).unionByName(edges.where(F.col("dst_id").isNotNull()).select(*EDGE_COLUMNS)), "edges")
+    holes = keep(graph.holes).select(*hole).unionByName(edges.where(F.col("dst_id").isNull()).select(*hole))
+
+    opened = ws.write(dangling(Graph(now, flat, holes)).distinct(), "opened")
+    closed = ws.write(flat.join(opened, [*group, "dst_id"], "left_anti"), "closed")
+    holes = ws.write(holes.unionByName(opened.select(*group, F.lit(True).alias("name_based"))).distinct(), "holes")
+    gone = redundant_holes(Graph(now, closed, holes)).distinct()
+    state = Graph(now, closed, ws.write(holes.join(gone, hole, "left_anti"), "holes"))
+    bound = ws.write(resolve_holes(state), "bound")
+    rest = state.holes.join(bound.select(*group), group, "left_anti")
+    more = [*group, "dst_id", "weight", "provenance", F.lit("names").alias("source"), F.lit(True).alias("name_based")]
+    both = ws.write(closed.unionByName(bound.select(*more).select(*EDGE_COLUMNS)), "both")
+    wide = ws.write(rewiden(Graph(now, both, rest)), "wide")
     redone = wide.select(*group).distinct()
-    fresh = wide.select(*group, "dst_id", "weight", "provenance", F.lit("names").alias("source"), F.lit(True).alias("name_based"))
     stays = both.where(~F.col("name_based")).unionByName(both.where("name_based").join(redone, group, "left_anti").select(*EDGE_COLUMNS))
-    merged = stays.unionByName(fresh.select(*EDGE_COLUMNS))
+    merged = stays.unionByName(wide.select(*more).select(*EDGE_COLUMNS))
     rest_of = [c for c in EDGE_COLUMNS if c not in ("snapshot", "src", "relation", "dst_id", "weight")]
     best = F.min(F.struct((-F.col("weight")).alias("w"), *rest_of)).alias("x")
     one = merged.groupBy("snapshot", "src", "relation", "dst_id").agg(best).select("snapshot", "src", "relation", "dst_id", (-F.col("x.w")).alias("weight"), *[f"x.{c}" for c in rest_of])
-    return Graph(new_nodes, one.select(*EDGE_COLUMNS), rest)
+    return Graph(now, one.select(*EDGE_COLUMNS), rest)
 
 
 def sync_exported(nodes: DataFrame, exported: DataFrame) -> DataFrame:

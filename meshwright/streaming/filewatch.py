@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from meshwright.operators.graph import Graph
 from meshwright.operators.maintain import replace_files
+from meshwright.runtime import Workspace
 from meshwright.sources import pysource
 
 LOG_SCHEMA = "snapshot int, path string, text string"
+EDGE_SCHEMA = "snapshot int, src string, relation string, dst_symbol string, dst_id string, weight double, provenance string, source string, name_based boolean"
+HOLE_SCHEMA = "snapshot int, src string, relation string, dst_symbol string, name_based boolean"
 
 
 class GraphWatch:
@@ -32,20 +35,17 @@ class GraphWatch:
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         self.spark = batch.sparkSession
-        sources = batch.where(F.col("text").isNotNull())
-        nodes = pysource.definitions(sources)
-        changed = batch.select("snapshot", F.col("path").alias("file")).distinct()
-        if batch_id == 0:
-            before = Graph(nodes.limit(0), self._edges(nodes, sources).limit(0), self._edges(nodes, sources).limit(0).select("snapshot", "src", "relation", "dst_symbol", "name_based"))
-        else:
-            before = self.load(batch_id - 1)
+        ws = Workspace(self.spark, "watch")
+        files = ws.write(batch, "files")
+        sources = files.where(F.col("text").isNotNull())
+        nodes = ws.write(pysource.definitions(sources), "nodes")
+        changed = ws.write(files.select("snapshot", F.col("path").alias("file")).distinct(), "changed")
+        empty = Graph(*(self.spark.createDataFrame([], s) for s in (pysource.NODE_SCHEMA, EDGE_SCHEMA, HOLE_SCHEMA)))
+        before = self.load(batch_id - 1) if batch_id else empty
         kept = before.nodes.join(changed, ["snapshot", "file"], "left_anti")
-        everything = kept.unionByName(nodes.select(*kept.columns))
-        self.save(replace_files(before, changed, nodes, self._edges(everything, sources)), batch_id)
-
-    @staticmethod
-    def _edges(nodes: DataFrame, sources: DataFrame) -> DataFrame:
-        return pysource.resolve(nodes, pysource.references(sources))
+        everything = ws.write(kept.unionByName(nodes.select(*kept.columns)), "all-nodes")
+        edges = ws.write(pysource.resolve(everything, pysource.references(sources)), "edges")
+        self.save(replace_files(before, changed, nodes, edges), batch_id)
 
     def start(self, stream: DataFrame, checkpoint: str):
         return stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
