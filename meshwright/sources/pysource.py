@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshwright.functions.ids import same_language
+
 NODE_SCHEMA = "snapshot int, id string, kind string, name string, location string, end_line int, is_stub boolean, arity int, summary string, roles array<string>, file string"
 REF_SCHEMA = "snapshot int, src string, relation string, dst_symbol string, scope string, receiver boolean, line int, file string"
 SYMBOL_SCHEMA = "file string, kind string, name string"
@@ -301,6 +303,7 @@ def resolve(nodes: DataFrame, refs: DataFrame, consts: DataFrame | None = None)
 
     free = refs.where(F.col("relation") != "IMPORTS").join(sure.select("snapshot", "site"), ["snapshot", "site"], "left_anti")
     near = free.join(ids.where(F.col("dst_kind") != "Module").withColumnRenamed("dst_name", "dst_symbol"), ["snapshot", "dst_symbol"])
+    near = near.where(same_language(F.col("src"), F.col("dst_id")))
     n = near.groupBy("snapshot", "site", "src").agg(F.countDistinct("dst_id").alias("n"))
     near = near.join(n, ["snapshot", "site", "src"])
     guess = F.when(F.col("n") > 1, "ambiguous").when(F.col("receiver"), "inferred").otherwise("extracted")
