@@ -1,22 +1,34 @@
 """Sweeps over the graph: closures, ranks, components, circles and paths, by rounds of joins.
 
 A round writes its result to the shared folder, so plans stay short and lost executors cost one
-round. All sweeps run over all snapshots at once, keyed by (snapshot, id).
+round. All sweeps run over all snapshots at once, keyed by (snapshot, id). A graph of at most
+``local_edges`` edges is swept by the kernels instead, one task per snapshot.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshwright.operators import kernels
+from meshwright.operators.kernels import LOCAL_EDGES
 from meshwright.runtime import Workspace
 
 
+def _in_one_task(left: DataFrame, right: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], columns: str) -> DataFrame:
+    """A kernel over each snapshot's rows of two tables."""
+    kind = left.schema["snapshot"].dataType.simpleString()
+    return left.groupBy("snapshot").cogroup(right.groupBy("snapshot")).applyInPandas(kernel, f"snapshot {kind}, {columns}")
+
+
 def reverse(adj: DataFrame) -> DataFrame:
     return adj.select("snapshot", F.col("d").alias("s"), F.col("s").alias("d"))
 
 
-def reach(adj: DataFrame, seeds: DataFrame, *, rounds: int | None = None) -> DataFrame:
+def reach(adj: DataFrame, seeds: DataFrame, *, rounds: int | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(snapshot, id, hops): all that can be reached from the seeds, themselves included.
 
     ``adj``: (snapshot, s, d); ``seeds``: (snapshot, id). The frontier alone is joined in a
@@ -24,6 +36,9 @@ def reach(adj: DataFrame, seeds: DataFrame, *, rounds: int | None = None) -> Dat
     """
     ws = Workspace(adj.sparkSession, "reach")
     adj = ws.write(adj.distinct(), "adjacency")
+    if rounds is None and adj.count() <= local_edges:
+        start = seeds.select("snapshot", "id").distinct()
+        return ws.write(_in_one_task(adj, start, kernels.reach, "id string, hops int"), "reached")
     frontier = ws.write(seeds.select("snapshot", "id", F.lit(0).alias("hops")).distinct(), "frontier")
     seen, hops = [frontier], 0
     while rounds is None or hops < rounds:
@@ -37,7 +52,7 @@ def reach(adj: DataFrame, seeds: DataFrame, *, rounds: int | None = None) -> Dat
     return ws.together(seen)
 
 
-def lane_reach(adj: DataFrame, seeds: DataFrame) -> DataFrame:
+def lane_reach(adj: DataFrame, seeds: DataFrame, *, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(snapshot, word, id, mask): closures of many groups at once, 64 of them to a word.
 
     ``seeds``: (snapshot, word, id, mask), a bit for each group that starts at the id. Only bits
@@ -46,6 +61,8 @@ def lane_reach(adj: DataFrame, seeds: DataFrame) -> DataFrame:
     ws = Workspace(adj.sparkSession, "lanes")
     adj = ws.write(adj.distinct(), "adjacency")
     keys = ["snapshot", "word", "id"]
+    if adj.count() <= local_edges:
+        return ws.write(_in_one_task(adj, seeds.select(*keys, "mask"), kernels.lane_reach, "word long, id string, mask long"), "seen")
     frontier = seen = ws.write(seeds.groupBy(*keys).agg(F.bit_or("mask").alias("mask")), "seen")
     while True:
         step = frontier.withColumnRenamed("id", "s").join(adj, ["snapshot", "s"])
@@ -83,13 +100,16 @@ def lanes(groups: DataFrame, key: str = "group") -> DataFrame:
     return groups.join(numbered, key).withColumn("word", F.floor(F.col("number") / 64)).withColumn("mask", bit)
 
 
-def pagerank(nodes: DataFrame, adj: DataFrame, *, damping: float = 0.85, rounds: int = 40, every: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, adj: DataFrame, *, damping: float = 0.85, rounds: int = 40, every: int = 5, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(snapshot, id, rank) after a fixed number of rounds from a uniform start.
 
     Parallel edges count as often as they come; the mass of nodes without edges out is not handed
     on. ``adj`` keeps its multiplicity.
     """
     ws = Workspace(nodes.sparkSession, "pagerank")
+    adj = ws.write(adj.select("snapshot", "s", "d"), "adjacency")
+    if adj.count() <= local_edges:
+        return _in_one_task(nodes.select("snapshot", "id"), adj, lambda n, a: kernels.pagerank(n, a, damping, rounds), "id string, rank double")
     size = nodes.groupBy("snapshot").agg(F.count(F.lit(1)).alias("n"))
     base = ws.write(nodes.select("snapshot", "id").join(F.broadcast(size), "snapshot"), "nodes")
     out = adj.groupBy("snapshot", "s").agg(F.count(F.lit(1)).alias("out"))
@@ -106,7 +126,7 @@ def pagerank(nodes: DataFrame, adj: DataFrame, *, damping: float = 0.85, rounds:
     return ranks
 
 
-def components(nodes: DataFrame, adj: DataFrame) -> DataFrame:
+def components(nodes: DataFrame, adj: DataFrame, *, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(snapshot, id, component): weak components, each named by its least id.
 
     A round takes the least label among neighbours and then follows the label's own label, which
@@ -115,6 +135,8 @@ def components(nodes: DataFrame, adj: DataFrame) -> DataFrame:
     ws = Workspace(nodes.sparkSession, "components")
     both = adj.unionByName(reverse(adj)).where("s <> d").distinct()
     both = ws.write(both, "links")
+    if both.count() <= local_edges:
+        return _in_one_task(nodes.select("snapshot", "id"), both, kernels.components, "id string, component string")
     labels = ws.write(nodes.select("snapshot", "id", F.col("id").alias("label")), "labels")
     while True:
         around = both.join(labels.withColumnRenamed("id", "s"), ["snapshot", "s"]).groupBy("snapshot", F.col("d").alias("id")).agg(F.min("label").alias("near"))
@@ -128,7 +150,7 @@ def components(nodes: DataFrame, adj: DataFrame) -> DataFrame:
         labels = step.drop("old")
 
 
-def best_paths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def best_paths(edges: DataFrame, seeds: DataFrame, *, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(snapshot, id, score, hops, path): the way of the greatest product of weights to each node.
 
     ``edges``: (snapshot, s, d, w) with 0 < w <= 1; ``seeds``: (snapshot, id). Rounds relax the
@@ -136,6 +158,8 @@ def best_paths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """
     ws = Workspace(edges.sparkSession, "paths")
     edges = ws.write(edges.groupBy("snapshot", "s", "d").agg(F.max("w").alias("w")), "edges")
+    if edges.count() <= local_edges:
+        return _in_one_task(edges, seeds.select("snapshot", "id").distinct(), kernels.best_paths, "id string, score double, hops int, path array<string>")
     start = seeds.select("snapshot", "id", F.lit(1.0).alias("score"), F.lit(0).alias("hops"), F.array("id").alias("path")).distinct()
     best = frontier = ws.write(start, "best")
     while True:

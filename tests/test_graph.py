@@ -33,25 +33,30 @@ def adjacency(spark, gs):
     return spark.createDataFrame([(g, s, d) for g, es in gs.items() for s, d in es], ADJ)
 
 
-def test_reach_and_reverse(spark):
+BOTH = pytest.mark.parametrize("local", [0, 10_000])
+
+
+@BOTH
+def test_reach_and_reverse(spark, local):
     gs = graphs()
     adj = adjacency(spark, gs)
     seeds = spark.createDataFrame([(g, "a") for g in gs] + [(0, "a")], "snapshot int, id string")
-    got = {(r.snapshot, r.id): r.hops for r in sweeps.reach(adj, seeds).collect()}
+    got = {(r.snapshot, r.id): r.hops for r in sweeps.reach(adj, seeds, local_edges=local).collect()}
     assert got == {(g, x): h for g, es in gs.items() for x, h in closure(es, "a").items()}
-    back = {(r.snapshot, r.id): r.hops for r in sweeps.reach(sweeps.reverse(adj), seeds).collect()}
+    back = {(r.snapshot, r.id): r.hops for r in sweeps.reach(sweeps.reverse(adj), seeds, local_edges=local).collect()}
     assert back == {(g, x): h for g, es in gs.items() for x, h in closure([(b, a) for a, b in es], "a").items()}
-    assert sweeps.reach(adj, seeds.limit(0)).collect() == []
+    assert sweeps.reach(adj, seeds.limit(0), local_edges=local).collect() == []
 
 
-def test_lanes_equal_single_sweeps(spark):
+@BOTH
+def test_lanes_equal_single_sweeps(spark, local):
     rng = random.Random(2)
     ids = [f"n{i}" for i in range(70)]
     edges = [(rng.choice(ids), rng.choice(ids)) for _ in range(120)]
     adj = spark.createDataFrame([(1, s, d) for s, d in edges], ADJ)
     groups = spark.createDataFrame([(1, f"g{i:02d}", x) for i, x in enumerate(ids)] + [(1, "g00", "n69")], "snapshot int, group string, id string")
     numbered = sweeps.lanes(groups)
-    labels = sweeps.lane_reach(adj, numbered.select("snapshot", "word", "id", "mask")).collect()
+    labels = sweeps.lane_reach(adj, numbered.select("snapshot", "word", "id", "mask"), local_edges=local).collect()
     number = {r.group: r.number for r in numbered.collect()}
     assert sorted(set(number.values())) == list(range(70))
     got = {(r.word * 64 + b, r.id) for r in labels for b in range(64) if r.mask >> b & 1}
@@ -59,7 +64,7 @@ def test_lanes_equal_single_sweeps(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("local", [0, 10_000])
+@BOTH
 def test_strong_components(spark, local):
     gs = graphs()
     got = {}
@@ -107,22 +112,25 @@ def test_articulation_by_tree(spark):
         assert got == {(1, "b"): 1, (1, "c"): 2, (1, "d"): 3, (1, "e"): 3}
 
 
-def test_components(spark):
+@BOTH
+def test_components(spark, local):
     gs = {1: [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(20)] + [("x", "y")], 2: [("a", "a")]}
     adj = adjacency(spark, gs)
     ids = spark.createDataFrame(sorted({(g, x) for g, es in gs.items() for e in es for x in e}), "snapshot int, id string")
-    got = {(r.snapshot, r.id): r.component for r in sweeps.components(ids, adj).collect()}
+    got = {(r.snapshot, r.id): r.component for r in sweeps.components(ids, adj, local_edges=local).collect()}
     assert {got[(1, f"n{i:02d}")] for i in range(21)} == {"n00"} and got[(1, "y")] == "x" and got[(2, "a")] == "a"
 
 
-def test_best_path(spark):
+@BOTH
+def test_best_path(spark, local):
     edges = [(1, "a", "b", 0.9), (1, "b", "c", 0.9), (1, "a", "c", 0.8), (1, "c", "d", 0.5), (1, "a", "d", 0.41), (1, "b", "a", 1.0)]
     df = spark.createDataFrame(edges, "snapshot int, s string, d string, w double")
-    got = {r.id: (round(r.score, 9), r.path) for r in sweeps.best_paths(df, spark.createDataFrame([(1, "a")], "snapshot int, id string")).collect()}
+    got = {r.id: (round(r.score, 9), r.path) for r in sweeps.best_paths(df, spark.createDataFrame([(1, "a")], "snapshot int, id string"), local_edges=local).collect()}
     assert got == {"a": (1.0, ["a"]), "b": (0.9, ["a", "b"]), "c": (0.81, ["a", "b", "c"]), "d": (0.41, ["a", "d"])}
 
 
-def test_pagerank(spark):
+@BOTH
+def test_pagerank(spark, local):
     edges = [("a", "b"), ("a", "b"), ("a", "c"), ("c", "a"), ("b", "c"), ("d", "c")]
     adj = adjacency(spark, {1: edges})
     nodes = spark.createDataFrame([(1, x) for x in "abcd"], "snapshot int, id string")
@@ -130,7 +138,7 @@ def test_pagerank(spark):
     out = {x: sum(a == x for a, _ in edges) for x in "abcd"}
     for _ in range(7):
         rank = {x: 0.15 / 4 + 0.85 * sum(rank[a] / out[a] for a, b in edges if b == x) for x in "abcd"}
-    got = {r.id: r["rank"] for r in sweeps.pagerank(nodes, adj, rounds=7, every=3).collect()}
+    got = {r.id: r["rank"] for r in sweeps.pagerank(nodes, adj, rounds=7, every=3, local_edges=local).collect()}
     assert got == pytest.approx(rank)
 
 
