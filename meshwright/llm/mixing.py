@@ -16,6 +16,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,14 +107,26 @@ def source_sizes(records: DataFrame, source: str, size: str) -> DataFrame:
     return records.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("tokens"))
 
 
+def _fill(block: pa.Table) -> pa.Table:
+    """Takes the records of one block in their order as far as each fits into what is left."""
+    block = block.sort_by([("h", "ascending"), ("id", "ascending"), ("size", "ascending")])
+    left, more = block.column("room")[0].as_py() if block.num_rows else 0, []
+    for size in block.column("size").to_pylist():
+        fits = size <= left
+        left -= size if fits else 0
+        more.append(int(fits))
+    return block.select(["id", "source", "size", "passes", "most"]).append_column("more", pa.array(more, pa.int32()))
+
+
 def realise(records: DataFrame, ident: str, source: str, size: str, budgets: list[tuple[str, int, int, int]], *, block: int = BLOCK, seed: int = 7) -> DataFrame:
     """(id, source, size, repeats) of the records that are used, at least once each.
 
     ``budgets``: (source, tokens of one pass, budget, max_repeats). A record is used once per
-    whole pass and once more if it comes before the end of the partial pass: the longest run of
-    the permutation that stays within the budget. So a source misses its budget by less than its
-    largest record, and none is used more often than max_repeats. Records of equal id and size
-    are records of their own; a null or negative size counts as 0. Empty input gives no rows.
+    whole pass and once more if its block comes before the one in which the budget ends; of that
+    block records are taken in order as far as they fit. So a source misses its budget by less
+    than the smallest record left out there, and none is used more often than max_repeats.
+    Records of equal id and size are records of their own; a null or negative size counts as 0.
+    Empty input gives no rows.
     """
     spark = records.sparkSession
     ws = Workspace(spark, "mixture")
@@ -136,8 +149,9 @@ def realise(records: DataFrame, ident: str, source: str, size: str, budgets: lis
     state = placed.join(starts, ["source", "block"])
     whole = F.col("start") + F.col("in_block") <= F.col("rest")
     cut = ~whole & (F.col("start") < F.col("rest"))
-    inside = Window.partitionBy("source", "block").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    edge = state.where(cut).withColumn("upto", F.col("start") + F.sum("size").over(inside)).withColumn("more", (F.col("upto") <= F.col("rest")).cast("int"))
+    kinds = ", ".join(f"{n} {placed.schema[n].dataType.simpleString()}" for n in ("id", "source", "size")) + ", passes int, most int, more int"
+    edge = state.where(cut).select("id", "source", "size", "passes", "most", "h", (F.col("rest") - F.col("start")).alias("room"))
+    edge = edge.groupBy("source").applyInArrow(_fill, kinds)
     clear = state.where(~cut).withColumn("more", (whole & (F.col("rest") > 0)).cast("int"))
     columns = ["id", "source", "size", F.least(F.col("passes") + F.col("more"), F.col("most")).alias("repeats")]
     return edge.select(*columns).unionByName(clear.select(*columns)).where("repeats > 0")

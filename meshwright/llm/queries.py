@@ -66,8 +66,8 @@ def p7_assigned(spark: SparkSession, d: str) -> DataFrame:
     return packed.agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("n_pieces"))
 
 
-def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, list[mixing.Share]]:
-    """Documents with source and size, and what each source of ``mix_targets`` is to give."""
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, list[mixing.Share], int]:
+    """Documents with source and size, what each source of ``mix_targets`` is to give, all tokens."""
     ws = Workspace(spark, "sized")
     docs = table(spark, d, "documents").select("doc_id", F.lower(F.trim("source")).alias("source"), token_count(F.col("text")).alias("tokens"))
     sized = ws.write(docs.where(F.col("source").isNotNull()), "documents")
@@ -75,11 +75,11 @@ def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, list[mixing.Share]
     by_source = mixing.source_sizes(sized, "source", "tokens")
     total = by_source.agg(F.sum("tokens")).first()[0] or 0
     asked = by_source.where(F.col("source").isin([s for s, _, _ in targets])).collect()
-    return sized, mixing.plan_mixture(targets, {r["source"]: (r["n"], r["tokens"]) for r in asked}, total)
+    return sized, mixing.plan_mixture(targets, {r["source"]: (r["n"], r["tokens"]) for r in asked}, total), total
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    _, plan = _mixture(spark, d)
+    _, plan, _ = _mixture(spark, d)
     return spark.createDataFrame([(x.source,) for x in plan if x.capped], "source string")
 
 
@@ -88,22 +88,21 @@ def _used(sized: DataFrame, plan: list[mixing.Share]) -> DataFrame:
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    sized, plan = _mixture(spark, d)
+    sized, plan, _ = _mixture(spark, d)
     return _used(sized, plan).select(F.col("id").alias("doc_id"), "source", F.col("size").alias("tokens"), "repeats")
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     """Shares asked and reached: of the total asked for, and of what the mixture really holds."""
-    sized, plan = _mixture(spark, d)
+    sized, plan, total = _mixture(spark, d)
     used = _used(sized, plan).groupBy("source").agg(F.sum(F.col("size") * F.col("repeats")).alias("used"), F.max("repeats").alias("most_repeats"))
-    total = sum(x.wanted / x.target_share for x in plan[:1] if x.target_share)
     asked = spark.createDataFrame(
         [(x.source, x.target_share, x.max_repeats, x.tokens, x.capped, x.within) for x in plan],
         "source string, target_share double, max_repeats int, tokens long, capped boolean, weight_within_limits double",
     )
     both = asked.join(F.broadcast(used), "source", "left").fillna(0, ["used", "most_repeats"])
     all_used = both.agg(F.sum("used")).first()[0] or 1
-    return both.withColumn("share_of_total", F.col("used") / F.lit(total or 1.0)).withColumn("share_of_mixture", F.col("used") / F.lit(float(all_used)))
+    return both.withColumn("share_of_total", F.col("used") / F.lit(float(total or 1))).withColumn("share_of_mixture", F.col("used") / F.lit(float(all_used)))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
