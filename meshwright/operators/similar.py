@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshwright.functions.ids import is_test_path
@@ -107,7 +107,7 @@ def cluster(embedding: DataFrame, columns: list[str], k: int, seed: int = 0) ->
     return model.transform(rows).select("id", F.col("prediction").alias("cluster"))
 
 
-def best_of(spark: SparkSession, scored: DataFrame, n: int) -> DataFrame:
+def best_of(scored: DataFrame, n: int) -> DataFrame:
     """The n best rows of each snapshot by score, then id: cut per salt before they are ranked."""
     order = (F.desc("score"), F.asc("id"))
     salted = scored.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))

@@ -253,11 +253,11 @@ def find_subsystems(spark: SparkSession, d: str) -> DataFrame:
 
 def find_similar(spark: SparkSession, d: str) -> DataFrame:
     found = similar.semantic(load_graph(spark, d), PURPOSE).withColumn("score", F.round("score", 6))
-    return similar.best_of(spark, found, 10).select("snapshot", "id", "score", "place")
+    return similar.best_of(found, 10).select("snapshot", "id", "score", "place")
 
 
 def find_component(spark: SparkSession, d: str) -> DataFrame:
-    return similar.best_of(spark, similar.component_scores(load_graph(spark, d), PURPOSE), 5)
+    return similar.best_of(similar.component_scores(load_graph(spark, d), PURPOSE), 5)
 
 
 def similar_dense(spark: SparkSession, d: str) -> DataFrame:
