@@ -61,6 +61,21 @@ class Workspace:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def latest_version(spark: SparkSession, folder: str) -> int:
+    """The greatest n of the folders ``v=<n>`` that were written whole, -1 if there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return -1
+    found = [-1]
+    for status in fs.listStatus(where):
+        name = status.getPath().getName()
+        done = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
+        if name.startswith("v=") and fs.exists(done):
+            found.append(int(name[2:]))
+    return max(found)
+
+
 def session(app: str = "meshwright", cores: str = "*", partitions: int = 8) -> SparkSession:
     """A local session with the settings that the test-suite and the bench use."""
     return (

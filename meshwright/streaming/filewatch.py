@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meshwright.operators.graph import Graph
 from meshwright.operators.maintain import replace_files
-from meshwright.runtime import Workspace
+from meshwright.runtime import Workspace, latest_version
 from meshwright.sources import pysource
 
 LOG_SCHEMA = "snapshot int, path string, text string"
@@ -16,22 +16,26 @@ HOLE_SCHEMA = "snapshot int, src string, relation string, dst_symbol string, nam
 
 
 class GraphWatch:
-    """Versions of a graph in a folder: nodes, edges and holes as Parquet under ``v=<n>``.
+    """Versions of a graph in a folder: nodes, edges and holes as Parquet, each under ``v=<n>``.
 
     A batch of (snapshot, path, text) rows replaces what these files held; a null text removes the
     file. The version of a batch is overwritten if the batch is run again.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.version = spark, folder.rstrip("/"), -1
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    @property
+    def version(self) -> int:
+        """The last batch that was written whole: its holes are written last."""
+        return latest_version(self.spark, f"{self.folder}/holes")
 
     def load(self, version: int) -> Graph:
-        return Graph(*(self.spark.read.parquet(f"{self.folder}/v={version}/{t}") for t in ("nodes", "edges", "holes")))
+        return Graph(*(self.spark.read.parquet(f"{self.folder}/{t}/v={version}") for t in ("nodes", "edges", "holes")))
 
     def save(self, graph: Graph, version: int) -> None:
         for name, df in (("nodes", graph.nodes), ("edges", graph.edges), ("holes", graph.holes)):
-            df.write.mode("overwrite").parquet(f"{self.folder}/v={version}/{name}")
-        self.version = version
+            df.write.mode("overwrite").parquet(f"{self.folder}/{name}/v={version}")
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         self.spark = batch.sparkSession

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwright.operators.orphans import INDEX_SCHEMA, PENDING, apply_period, grow_index
+from meshwright.runtime import latest_version
 
 LOG_SCHEMA = "period long, kind string, space string, key string, row_id long, field string"
 
@@ -45,7 +46,11 @@ class OrphanWatch:
             index, state = spark.createDataFrame([], INDEX_SCHEMA), spark.createDataFrame([], state_schema)
         index.write.mode("overwrite").parquet(f"{self.folder}/index/v={batch_id}")
         state.write.mode("overwrite").parquet(f"{self.folder}/state/v={batch_id}")
-        self.version = batch_id
+
+    @property
+    def version(self) -> int:
+        """The last batch whose state was written whole; known after a restart too."""
+        return latest_version(self.spark, f"{self.folder}/state")
 
     def start(self, stream: DataFrame, checkpoint: str):
         return stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
