@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwright.functions.ids import file_of, is_test_path
+from meshwright.runtime import Workspace, input_state, path_exists
 from meshwright.tables import node_versions, periods, relation_key, table
 
 # Kinds of nodes.
@@ -36,9 +37,12 @@ class Graph:
     nodes: DataFrame
     edges: DataFrame
     holes: DataFrame
+    live: DataFrame | None = None
 
     def adjacency(self, relations: Sequence[str] = LIVENESS, *, confident: bool = False) -> DataFrame:
         """(snapshot, s, d) once per relation between nodes that both exist."""
+        if self.live is not None and tuple(relations) == LIVENESS:
+            return (self.live.where("confident") if confident else self.live).select("snapshot", "s", "d")
         e = self.edges.where(F.col("relation").isin(list(relations)))
         if confident:
             e = e.where(F.col("provenance") == "extracted")
@@ -93,12 +97,39 @@ def dedup_holes(edges: DataFrame) -> DataFrame:
     return holes.groupBy("snapshot", "src", "relation", "dst_symbol").agg(F.max("name_based").alias("name_based"), F.min("seq").alias("seq"))
 
 
-def load_graph(spark: SparkSession, sf_dir: str) -> Graph:
+def build_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph as plans over the tables, nothing run yet."""
     edges = clean_edges(table(spark, sf_dir, "edges"))
     nodes = clean_nodes(table(spark, sf_dir, "nodes"), table(spark, sf_dir, "shared_nodes"), periods(spark, sf_dir))
     return Graph(nodes, dedup_resolved(edges), dedup_holes(edges))
 
 
+def store_graph(graph: Graph) -> Graph:
+    """The graph written to the shared folder, with the adjacency along which liveness spreads.
+
+    Files are sorted by relation, so that a query for few relations skips most row groups.
+    """
+    ws = Workspace(graph.nodes.sparkSession, "graph")
+    nodes = ws.write(graph.nodes, "nodes")
+    edges = ws.write(graph.edges.sortWithinPartitions("relation", "src"), "edges")
+    holes = ws.write(graph.holes, "holes")
+    ids = nodes.select("snapshot", "id")
+    live = edges.where(F.col("relation").isin(list(LIVENESS))).select("snapshot", F.col("src").alias("s"), F.col("dst_id").alias("d"), (F.col("provenance") == "extracted").alias("confident"))
+    for end in ("s", "d"):
+        live = live.join(ids.withColumnRenamed("id", end), ["snapshot", end], "left_semi")
+    return Graph(nodes, edges, holes, ws.write(live, "live"))
+
+
+def load_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The stored graph of some tables: built once per session and state of their files."""
+    held = spark.sparkContext.__dict__.setdefault("_meshwright_graphs", {})
+    key = input_state(spark, [f"{sf_dir}/{t}.parquet" for t in ("nodes", "edges", "shared_nodes", "snapshots")])
+    if key not in held or not all(path_exists(spark, path) for path, _ in held[key]):
+        made = store_graph(build_graph(spark, sf_dir))
+        held[key] = [(df._meshwright_path, df.schema) for df in (made.nodes, made.edges, made.holes, made.live)]
+    return Graph(*(spark.read.schema(schema).parquet(path) for path, schema in held[key]))
+
+
 def roots(nodes: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """(snapshot, id) of entry points: by role, kind or name, and the module of every file that
     owns one; where files of a directory start together, of every file in the directory."""

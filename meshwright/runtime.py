@@ -7,6 +7,9 @@ of our own is made only where the setting is missing, as in local tests.
 
 from __future__ import annotations
 
+import atexit
+import hashlib
+import shutil
 import tempfile
 import uuid
 
@@ -21,17 +24,29 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     made = getattr(sc, "_meshwright_dir", None)
     if made is None:
-        made = "file://" + tempfile.mkdtemp(prefix="meshwright-")
-        sc._meshwright_dir = made
+        local = tempfile.mkdtemp(prefix="meshwright-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        made = sc._meshwright_dir = "file://" + local
     return made
 
 
+def session_dir(spark: SparkSession) -> str:
+    """Where this application writes its intermediate tables."""
+    return f"{shared_dir(spark)}/meshwright/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results not yet written are lost."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Workspace:
     """Written tables of one run; ``drop`` frees those that nothing reads any more."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.base = f"{shared_dir(spark)}/meshwright/{name}-{uuid.uuid4().hex[:12]}"
+        self.base = f"{session_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
 
     def write(self, df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -61,6 +76,23 @@ class Workspace:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def input_state(spark: SparkSession, paths: list[str]) -> str:
+    """A digest of the files behind some paths: names, lengths and times of change."""
+    seen = []
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in sorted(fs.globStatus(where) or [], key=str):
+            files = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+            seen += sorted(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}" for f in files)
+    return hashlib.sha256("\n".join(seen).encode()).hexdigest()
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def latest_version(spark: SparkSession, folder: str) -> int:
     """The greatest n of the folders ``v=<n>`` that were written whole, -1 if there is none."""
     where = spark._jvm.org.apache.hadoop.fs.Path(folder)
