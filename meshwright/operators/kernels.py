@@ -120,3 +120,70 @@ def best_paths(edges: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
                 heapq.heappush(heap, (k * w, hops + 1, (*path, d)))
     rows = [(_snapshot(seeds, edges), x, *v) for x, v in done.items()]
     return pd.DataFrame(rows, columns=["snapshot", "id", "score", "hops", "path"])
+
+
+class Sparse:
+    """A binary matrix given by the places of its ones, for products with blocks of vectors."""
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, shape: tuple[int, int], weight: np.ndarray | None = None):
+        by_row, by_col = np.argsort(row, kind="stable"), np.argsort(col, kind="stable")
+        self.shape = shape
+        self.parts = [(row[by_row], col[by_row], None if weight is None else weight[by_row]), (col[by_col], row[by_col], None if weight is None else weight[by_col])]
+
+    def _times(self, which: int, block: np.ndarray) -> np.ndarray:
+        out_of, into, weight = self.parts[which]
+        out = np.zeros((self.shape[which], block.shape[1]))
+        if len(out_of):
+            first = np.flatnonzero(np.concatenate([[True], out_of[1:] != out_of[:-1]]))
+            values = block[into] if weight is None else block[into] * weight[:, None]
+            out[out_of[first]] = np.add.reduceat(values, first, axis=0)
+        return out
+
+    def times(self, block: np.ndarray) -> np.ndarray:
+        return self._times(0, block)
+
+    def transposed_times(self, block: np.ndarray) -> np.ndarray:
+        return self._times(1, block)
+
+
+def _leading(apply, n: int, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues from large to small and vectors of a symmetric positive operator."""
+    basis = np.linalg.qr(np.random.default_rng(1).standard_normal((n, k)))[0]
+    for _ in range(rounds):
+        basis = np.linalg.qr(apply(basis))[0]
+    small = basis.T @ apply(basis)
+    values, turn = np.linalg.eigh((small + small.T) / 2)
+    order = np.argsort(-values)
+    return values[order], basis @ turn[:, order]
+
+
+def _rows(kind: str, keys, block: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"kind": kind, "key": keys, "v": list(block)})
+
+
+def modes(pairs: pd.DataFrame, n_tests: int, k: int, width: int, rounds: int) -> pd.DataFrame:
+    """Rows (kind, key, v): of functions their loadings, of tests their coordinates, one of values."""
+    t, tests = pd.factorize(pairs["test_id"], sort=True)
+    f, functions = pd.factorize(pairs["function_id"], sort=True)
+    m = Sparse(t, f, (len(tests), len(functions)))
+    mean = np.bincount(f, minlength=len(functions)) / max(1, n_tests)
+
+    def centred(v: np.ndarray) -> np.ndarray:
+        return m.times(v) - mean @ v
+
+    def apply(v: np.ndarray) -> np.ndarray:
+        y = centred(v)
+        whole = y.sum(0) - (n_tests - len(tests)) * (mean @ v)
+        return m.transposed_times(y) - mean[:, None] * whole
+
+    values, vectors = _leading(apply, len(functions), min(width, len(functions)), rounds)
+    vectors = vectors[:, :k]
+    return pd.concat([_rows("f", np.asarray(functions), vectors), _rows("t", np.asarray(tests), centred(vectors)), _rows("s", ["s"], values[None, :k])])
+
+
+def spectral(adj: pd.DataFrame, k: int, rounds: int) -> pd.DataFrame:
+    g = Csr(adj["s"], adj["d"])
+    degree = np.bincount(g.s, minlength=len(g.ids)).astype(float)
+    p = Sparse(g.s, g.d, (len(g.ids), len(g.ids)), 1 / np.sqrt(degree[g.s] * degree[g.d]))
+    values, vectors = _leading(lambda v: (v + p.times(v)) / 2, len(g.ids), min(k, len(g.ids)), rounds)
+    return pd.concat([_rows("f", np.asarray(g.ids), vectors), _rows("s", ["s"], values[None, :])])

@@ -11,9 +11,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshwright.operators import kernels
+from meshwright.operators.kernels import LOCAL_EDGES
 from meshwright.runtime import Workspace
 
 
@@ -103,9 +106,20 @@ class Modes:
         return (int(np.searchsorted(cum, 0.9)) + 1, False) if cum[-1] >= 0.9 else (len(cum), True)
 
 
-def modes(pairs: DataFrame, n_tests: int, *, k: int = 16, spare: int = 4, rounds: int = 10) -> Modes:
+def _in_one_task(ws: Workspace, rows: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], kinds: dict[str, str]) -> tuple[np.ndarray, dict[str, DataFrame]]:
+    """The values of a kernel over all rows and its vectors by kind, one column per vector."""
+    out = ws.write(rows.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(lambda pdf: kernel(pdf), "kind string, key string, v array<double>"), "kernel")
+    first = out.where("kind = 's'").first()
+    values = np.array(first["v"] if first else [])
+    parts = {kind: out.where(F.col("kind") == kind).select(F.col("key").alias(name), *[F.col("v")[i].alias(f"v{i}") for i in range(len(values))]) for kind, name in kinds.items()}
+    return values, parts
+
+
+def modes(pairs: DataFrame, n_tests: int, *, k: int = 16, spare: int = 4, rounds: int = 10, local_pairs: int = LOCAL_EDGES) -> Modes:
     """Modes of the mean-centred matrix of tests and functions: the right singular vectors.
 
+    A matrix of at most ``local_pairs`` ones is iterated in one task, with more rounds.
+
     ``pairs``: distinct (test_id, function_id); tests without functions count in ``n_tests``.
     """
     ws = Workspace(pairs.sparkSession, "modes")
@@ -115,6 +129,11 @@ def modes(pairs: DataFrame, n_tests: int, *, k: int = 16, spare: int = 4, rounds
     total = float(n_tests) * ((row["a"] or 0.0) - (row["b"] or 0.0))
     width = max(1, min(k + spare, int(row["n"] or 1)))
     names = _columns(width)
+    if pairs.count() <= local_pairs and row["n"]:
+        keep = min(k, width)
+        values, parts = _in_one_task(ws, pairs, lambda pdf: kernels.modes(pdf, n_tests, keep, width, 8 * rounds), {"f": "function_id", "t": "test_id"})
+        values = np.maximum(values, 0.0)
+        return Modes([float(x / total) if total > 0 else 0.0 for x in values], np.sqrt(values), parts["f"], parts["t"], means, n_tests, total)
 
     def scores(v: DataFrame, shown: list[str]) -> tuple[DataFrame, list[float]]:
         drop = means.join(v, "function_id").agg(*[F.sum(F.col("mean") * F.col(c)).alias(c) for c in shown]).first()
@@ -171,13 +190,17 @@ def neighbours(found: Modes, anchor: str) -> DataFrame:
     return out.where("score > 0")
 
 
-def spectral_embedding(nodes: DataFrame, adj: DataFrame, *, k: int = 12, rounds: int = 24) -> tuple[np.ndarray, DataFrame]:
+def spectral_embedding(nodes: DataFrame, adj: DataFrame, *, k: int = 12, rounds: int = 24, local_edges: int = LOCAL_EDGES) -> tuple[np.ndarray, DataFrame]:
     """Smallest eigenvalues of the normalised Laplacian with their vectors (id, v0..).
 
     ``adj``: (s, d) undirected pairs in both directions; iterates (I + D^-1/2 A D^-1/2) / 2, whose
     largest eigenvalues are the Laplacian's smallest.
     """
     ws = Workspace(nodes.sparkSession, "spectral")
+    adj = ws.write(adj.select("s", "d"), "adjacency")
+    if 0 < adj.count() <= local_edges:
+        values, parts = _in_one_task(ws, adj, lambda pdf: kernels.spectral(pdf, k, 8 * rounds), {"f": "id"})
+        return 2 - 2 * values, parts["f"]
     degree = adj.groupBy(F.col("s").alias("id")).agg(F.count(F.lit(1)).alias("deg"))
     scaled = adj.join(degree.withColumnsRenamed({"id": "s", "deg": "ds"}), "s").join(degree.withColumnsRenamed({"id": "d", "deg": "dd"}), "d")
     links = ws.write(scaled.select("s", "d", (F.lit(1.0) / F.sqrt(F.col("ds") * F.col("dd"))).alias("w")), "links")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meshwright.operators.graph import load_graph
 from meshwright.plans import coverops, dealt, graphops, sourceops, upkeepops
 
 _MODULES = (dealt, graphops, coverops, upkeepops, sourceops)
@@ -20,4 +21,5 @@ def sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphops.QUERIES["impact_of"](spark, sf_dir)
+    """Blast radius of a function that much of the project calls."""
+    return graphops.impact_of(load_graph(spark, sf_dir), graphops.CALLED)

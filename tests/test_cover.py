@@ -85,7 +85,8 @@ def planted(tests=60):
     return sorted(out)
 
 
-def test_modes_equal_a_dense_decomposition(spark):
+@pytest.mark.parametrize("local", [0, 10_000])
+def test_modes_equal_a_dense_decomposition(spark, local):
     pairs = planted()
     tests, fns = sorted({t for t, _ in pairs}), sorted({f for _, f in pairs})
     m = np.zeros((len(tests) + 4, len(fns)))
@@ -93,7 +94,7 @@ def test_modes_equal_a_dense_decomposition(spark):
         m[tests.index(t), fns.index(f)] = 1
     u, s, vt = np.linalg.svd(m - m.mean(0), full_matrices=False)
     df = spark.createDataFrame(pairs, "test_id string, function_id string")
-    found = linalg.modes(df, len(m), k=5, spare=4, rounds=8)
+    found = linalg.modes(df, len(m), k=5, spare=4, rounds=8, local_pairs=local)
     assert found.singular[:3] == pytest.approx(s[:3], rel=1e-3) and found.total == pytest.approx((s**2).sum())
     load = {r.function_id: r.v0 for r in found.functions.collect()}
     assert np.abs([load[f] for f in fns]) == pytest.approx(np.abs(vt[0]), abs=1e-3)
@@ -104,11 +105,12 @@ def test_modes_equal_a_dense_decomposition(spark):
     assert all(r.kind in ("typical", "unique", "smoke") and 0 <= r.residual <= 1 for r in linalg.outliers(found, df).collect())
 
 
-def test_two_cliques_are_told_apart(spark):
+@pytest.mark.parametrize("local", [0, 10_000])
+def test_two_cliques_are_told_apart(spark, local):
     nodes = [f"{c}{i}" for c in "ab" for i in range(6)]
     pairs = [(x, y) for x in nodes for y in nodes if x != y and x[0] == y[0]] + [("a0", "b0"), ("b0", "a0")]
     ids = spark.createDataFrame([(n,) for n in nodes], "id string")
-    values, vectors = linalg.spectral_embedding(ids, spark.createDataFrame(pairs, "s string, d string"), k=4, rounds=30)
+    values, vectors = linalg.spectral_embedding(ids, spark.createDataFrame(pairs, "s string, d string"), k=4, rounds=30, local_edges=local)
     assert abs(values[0]) < 1e-3 and values[1] < 0.2
     groups = {}
     for r in similar.cluster(vectors, ["v0", "v1"], 2).collect():
