@@ -21,6 +21,8 @@ NODE_SCHEMA = "snapshot int, id string, kind string, name string, location strin
 REF_SCHEMA = "snapshot int, src string, relation string, dst_symbol string, scope string, receiver boolean, line int, file string"
 SYMBOL_SCHEMA = "file string, kind string, name string"
 
+#: Methods that change what they are called on.
+_MUTATORS = {"append", "add", "update", "pop", "popitem", "clear", "extend", "insert", "remove", "discard", "setdefault", "sort", "reverse", "appendleft"}
 _ROUTES = {"get", "post", "put", "delete", "patch", "route", "websocket"}
 
 
@@ -82,6 +84,8 @@ class _File(ast.NodeVisitor):
             for target in [*getattr(s, "targets", []), getattr(s, "target", None)]:
                 if isinstance(s, (ast.Assign, ast.AnnAssign)) and isinstance(target, ast.Name):
                     self.symbols.append(("const", target.id))
+        self.globals = {n for k, n in self.symbols if k == "const"}
+        self.declared: set[str] = set()
         self.owner, self.cls, self.qual = self.module, None, ""
         self.locals: dict[str, str] = {}
         for s in tree.body:
@@ -141,8 +145,8 @@ class _File(ast.NodeVisitor):
             for part in [*a.defaults, *[d for d in a.kw_defaults if d], *[x.annotation for x in [*a.posonlyargs, *a.args, *a.kwonlyargs] if x.annotation], *([node.returns] if node.returns else [])]:
                 self.visit(part)
         self._node(ident, kind, node.name, node.lineno, node.end_lineno, stub, arity, ast.get_docstring(node), self._roles(node, node.name, not self.qual))
-        held = self.owner, self.cls, self.qual, self.locals
-        self.owner, self.qual, self.locals = ident, qual, {}
+        held = self.owner, self.cls, self.qual, self.locals, self.declared
+        self.owner, self.qual, self.locals, self.declared = ident, qual, {}, set()
         if kind == "Class":
             self.cls = f"{self.path}::{qual}"
         else:
@@ -151,7 +155,7 @@ class _File(ast.NodeVisitor):
                     self.locals[x.arg] = name
         for s in node.body:
             self.visit(s)
-        self.owner, self.cls, self.qual, self.locals = held
+        self.owner, self.cls, self.qual, self.locals, self.declared = held
 
     def _ref_from(self, src: str, relation: str, symbol: str, node: ast.AST):
         self.refs.append((src, relation, symbol, None, False, node.lineno))
@@ -179,7 +183,35 @@ class _File(ast.NodeVisitor):
             if a.name != "*":
                 self._ref("IMPORTS", a.name, node, f"from {base}")
 
+    def _state(self, relation: str, target: ast.AST):
+        """A read or write of a variable of the module or of the object, kept by file or class."""
+        if self.owner == self.module:
+            return
+        if isinstance(target, ast.Name) and target.id in self.globals:
+            self._ref(relation, target.id, target, f"state {self.path}")
+        elif isinstance(target, ast.Attribute) and isinstance(target.value, ast.Name) and target.value.id == "self" and self.cls:
+            self._ref(relation, target.attr, target, f"state {self.cls}")
+
+    def _written(self, target: ast.AST):
+        if isinstance(target, ast.Subscript):
+            self._state("WRITES", target.value)
+        elif isinstance(target, ast.Attribute) or (isinstance(target, ast.Name) and target.id in self.declared):
+            self._state("WRITES", target)
+        elif isinstance(target, (ast.Tuple, ast.List)):
+            for t in target.elts:
+                self._written(t)
+
+    def visit_Global(self, node):  # noqa: N802
+        self.declared |= set(node.names)
+
+    def visit_AugAssign(self, node):  # noqa: N802
+        self._written(node.target)
+        self._state("READS", node.target)
+        self.generic_visit(node)
+
     def visit_Assign(self, node):  # noqa: N802
+        for t in node.targets:
+            self._written(t)
         if isinstance(node.value, ast.Call) and (name := _last_name(node.value)) and name[:1].isupper():
             for t in node.targets:
                 if isinstance(t, ast.Name):
@@ -195,24 +227,43 @@ class _File(ast.NodeVisitor):
         f = node.func
         if isinstance(f, ast.Name):
             self._ref("CALLS", f.id, f)
-            if f.id == "getattr" and len(node.args) > 1 and isinstance(node.args[1], ast.Constant) and isinstance(node.args[1].value, str):
-                self._ref("REFERENCES", node.args[1].value, node, None, True)
+            if f.id == "getattr" and len(node.args) > 1:
+                self._dispatch(node.args[1], node)
         elif isinstance(f, ast.Attribute):
             self._member("CALLS", f)
+            if f.attr in _MUTATORS:
+                self._state("WRITES", f.value)
             self.visit(f.value)
         else:
             self.visit(f)
         for x in [*node.args, *[k.value for k in node.keywords]]:
             self.visit(x)
 
+    def _dispatch(self, name: ast.AST, node: ast.AST):
+        """A name made at run time: what is literal of it, before and after, is a pattern."""
+        text = lambda e: e.value if isinstance(e, ast.Constant) and isinstance(e.value, str) else None
+        if text(name):
+            self._ref("REFERENCES", text(name), node, None, True)
+            return
+        if isinstance(name, ast.JoinedStr) and name.values:
+            before, after = text(name.values[0]) or "", text(name.values[-1]) or ""
+        elif isinstance(name, ast.BinOp) and isinstance(name.op, ast.Add):
+            before, after = text(name.left) or "", text(name.right) or ""
+        else:
+            return
+        if len(before) + len(after) > 1:
+            self._ref("REFERENCES", f"{before}*{after}", node, "pattern", True)
+
     def visit_Attribute(self, node):  # noqa: N802
         if isinstance(node.ctx, ast.Load):
             self._member("REFERENCES", node)
+            self._state("READS", node)
         self.visit(node.value)
 
     def visit_Name(self, node):  # noqa: N802
         if isinstance(node.ctx, ast.Load):
             self._ref("REFERENCES", node.id, node)
+            self._state("READS", node)
 
     def visit_With(self, node):  # noqa: N802
         for item in node.items:
@@ -264,6 +315,24 @@ def symbols(sources: DataFrame) -> DataFrame:
     return sources.select(F.lit(0).alias("snapshot"), "path", "text").mapInPandas(_emit("symbols"), SYMBOL_SCHEMA)
 
 
+def state_edges(refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of mutable state: variables that some function writes, with those that write
+    and read them; state of an object only if one method writes what another reads."""
+    used = refs.where(F.startswith("scope", F.lit("state "))).withColumn("holder", F.expr("substring(scope, 7)"))
+    used = used.select("snapshot", "src", "relation", "dst_symbol", "holder", F.concat(F.lit("var::"), "holder", F.lit("::"), "dst_symbol").alias("dst_id"), "file").distinct()
+    writes, reads = used.where("relation = 'WRITES'"), used.where("relation = 'READS'")
+    key = ["snapshot", "dst_id"]
+    pairs = writes.select(*key, F.col("src").alias("writer")).join(reads.select(*key, F.col("src").alias("reader")), key)
+    apart = pairs.where("writer <> reader").select(*key).distinct()
+    shared = used.where(~F.col("holder").contains("::")).join(writes.select(*key).distinct(), key, "left_semi")
+    own = used.where(F.col("holder").contains("::")).join(apart, key, "left_semi")
+    both = shared.unionByName(own.select(*shared.columns))
+    edges = both.select("snapshot", "src", "relation", "dst_symbol", "dst_id", F.lit(1.0).alias("weight"), F.lit("extracted").alias("provenance"), F.lit("ast").alias("source"), F.lit(False).alias("name_based"))
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("location", "string"), ("end_line", "int"))]
+    made = both.select("snapshot", F.col("dst_id").alias("id"), F.lit("Variable").alias("kind"), F.col("dst_symbol").alias("name"), *none, F.lit(False).alias("is_stub"), F.lit(None).cast("int").alias("arity"), F.lit(None).cast("string").alias("summary"), F.array().cast("array<string>").alias("roles"), "file")
+    return made.distinct(), edges
+
+
 def resolve(nodes: DataFrame, refs: DataFrame, consts: DataFrame | None = None) -> DataFrame:
     """Edges of references, in the order of certainty: a member of the enclosing class, an import
     by module path, a member of a typed local (widened by name too), all nodes of the name.
@@ -273,6 +342,7 @@ def resolve(nodes: DataFrame, refs: DataFrame, consts: DataFrame | None = None)
     module of the project that does not define it, not even as a constant, leaves a hole.
     """
     ids = nodes.select("snapshot", F.col("id").alias("dst_id"), F.col("kind").alias("dst_kind"), F.col("name").alias("dst_name"), F.col("file").alias("dst_file"))
+    refs = refs.where(F.col("scope").isNull() | ~F.startswith("scope", F.lit("state ")))
     refs = refs.withColumn("site", F.xxhash64("src", "relation", "dst_symbol", "scope", "line"))
     base = ["snapshot", "src", "relation", "dst_symbol", "receiver", "site"]
 
@@ -309,5 +379,14 @@ def resolve(nodes: DataFrame, refs: DataFrame, consts: DataFrame | None = None)
     guess = F.when(F.col("n") > 1, "ambiguous").when(F.col("receiver"), "inferred").otherwise("extracted")
     near = near.select(*base, "dst_id", F.round(F.lit(1.0) / F.col("n"), 3).alias("weight"), guess.alias("provenance"), F.lit(True).alias("name_based"))
     near = near.where((F.col("src") != F.col("dst_id")) | (F.col("relation") == "CALLS"))
-    everything = sure.unionByName(lost).unionByName(typed).unionByName(near)
+    # a name made at run time: every name that begins and ends like it, found by the longer end's letters
+    made = free.where("scope = 'pattern'").withColumn("head", F.substring_index("dst_symbol", "*", 1)).withColumn("tail", F.substring_index("dst_symbol", "*", -1))
+    made = made.withColumn("by_head", F.length("head") >= F.length("tail")).withColumn("hint", F.when(F.col("by_head"), F.substring("head", 1, 1)).otherwise(F.expr("right(tail, 1)")))
+    ends = F.explode(F.array(F.struct(F.lit(True).alias("by_head"), F.substring("dst_name", 1, 1).alias("hint")), F.struct(F.lit(False).alias("by_head"), F.expr("right(dst_name, 1)").alias("hint"))))
+    names_by_end = ids.where(F.col("dst_kind") != "Module").select("snapshot", "dst_id", "dst_name", ends.alias("x")).select("snapshot", "dst_id", "dst_name", "x.*")
+    fits = F.startswith(F.col("dst_name"), F.col("head")) & F.endswith(F.col("dst_name"), F.col("tail")) & (F.length("dst_name") > F.length("head") + F.length("tail"))
+    made = made.join(names_by_end, ["snapshot", "by_head", "hint"]).where(fits & same_language(F.col("src"), F.col("dst_id")))
+    many = made.groupBy("snapshot", "site", "src").agg(F.countDistinct("dst_id").alias("n"))
+    made = made.join(many, ["snapshot", "site", "src"]).select(*base, "dst_id", F.round(F.lit(1.0) / F.col("n"), 3).alias("weight"), F.lit("ambiguous").alias("provenance"), F.lit(False).alias("name_based"))
+    everything = sure.unionByName(lost).unionByName(typed).unionByName(near).unionByName(made)
     return everything.select("snapshot", "src", "relation", "dst_symbol", "dst_id", "weight", "provenance", F.lit("ast").alias("source"), "name_based").distinct()

@@ -81,6 +81,53 @@ def test_names_shared_by_several(spark):
     assert sorted((r.dst_id, r.weight, r.provenance) for r in edges) == [("a.py::f", 0.5, "ambiguous"), ("b.py::f", 0.5, "ambiguous")]
 
 
+STATE = """CACHE = {}
+LIMIT = 3
+count = 0
+
+
+def put(k, v):
+    CACHE[k] = v
+
+
+def get(k):
+    return CACHE[k] + LIMIT
+
+
+def bump():
+    global count
+    count += 1
+
+
+class Box:
+    def fill(self, x):
+        self.items = [x]
+        self.alone = 1
+
+    def take(self):
+        return self.items.pop()
+
+
+def run(obj, what):
+    return getattr(obj, f"fi{what}")() or getattr(obj, "take")()
+"""
+
+
+def test_state_and_names_made_at_run_time(spark):
+    s = sources(spark, {"m.py": STATE})
+    refs = pysource.references(s)
+    made, edges = pysource.state_edges(refs)
+    got = {(r.src.split("::")[1], r.relation, r.dst_id) for r in edges.collect()}
+    assert got == {
+        ("put", "WRITES", "var::m.py::CACHE"), ("get", "READS", "var::m.py::CACHE"), ("put", "READS", "var::m.py::CACHE"), ("bump", "WRITES", "var::m.py::count"), ("bump", "READS", "var::m.py::count"),
+        ("Box.fill", "WRITES", "var::m.py::Box::items"), ("Box.take", "WRITES", "var::m.py::Box::items"), ("Box.take", "READS", "var::m.py::Box::items"),
+    }
+    assert {(r.id, r.kind) for r in made.collect()} == {(f"var::m.py::{n}", "Variable") for n in ("CACHE", "count", "Box::items")}
+    found = pysource.resolve(pysource.definitions(s), refs).where("src = 'm.py::run' AND relation = 'REFERENCES'").collect()
+    by = {(r.dst_symbol, r.dst_id) for r in found}
+    assert ("fi*", "m.py::Box.fill") in by and ("take", "m.py::Box.take") in by
+
+
 def fn(text):
     return ast.parse(text).body[0]
 
