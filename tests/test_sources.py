@@ -272,3 +272,20 @@ def test_links(spark):
     assert got[("route::/Greeter/Hello", "ROUTES_TO", "g.py::GreeterServicer.Hello")] == (0.9, "inferred", "grpc")
     assert {s for (a, r, b), (_, _, s) in got.items()} >= {"openapi", "spring", "urlconf"}
     assert {("db::person", "DBTable"), ("event::saved", "Event"), ("template::form.html", "Template"), ("route::/users", "Route")} <= {(r.id, r.kind) for r in made.collect()}
+
+
+def test_import_of_a_store(spark, tmp_path):
+    import sqlite3
+
+    from meshwright.sources import sqlite_store
+
+    db = sqlite3.connect(tmp_path / "s.db")
+    db.execute("CREATE TABLE nodes(id, kind, name, location, is_stub, roles)")
+    db.execute("CREATE TABLE edges(src, relation, dst_symbol, dst_id, weight)")
+    db.executemany("INSERT INTO nodes VALUES (?,?,?,?,?,?)", [("a::f", "Function", "f", "a:1", 1, "exported,test"), (b"x", "Function", "g", None, 0, ""), ("b", "Class", "b", 7, 0, None)])
+    db.executemany("INSERT INTO edges VALUES (?,?,?,?,?)", [("a::f", "CALLS", "g", None, "heavy"), ("a::f", "CALLS", "b", "b", 0.5), (None, "CALLS", "b", "b", 0.5)])
+    db.commit()
+    db.close()
+    nodes, edges = sqlite_store.import_store(spark, str(tmp_path / "s.db"), str(tmp_path / "out"))
+    assert {(r.id, r.location, tuple(r.roles), r.is_stub) for r in nodes.collect()} == {("a::f", "a:1", ("exported", "test"), True), ("b", None, (), False)}
+    assert {(r.src, r.dst_id, r.weight) for r in edges.collect()} == {("a::f", None, None), ("a::f", "b", 0.5)}
