@@ -3,8 +3,8 @@
 Records with equal sets form a class, and classes are what is compared: copies cost one row.
 A class gets a minwise signature, cut into bands; classes that share a bucket of any band are
 candidates, once, and the exact overlap of the sets decides. With ``bands`` bands of ``rows`` a
-pair of similarity s is missed with probability (1 - s^rows)^bands: 1e-11 at 0.8 and the default
-64 x 4 less than 1e-14.
+pair of similarity s is missed with probability (1 - s^rows)^bands; both follow from the threshold
+so that this is at most ``MISSED`` for every pair that counts (62 bands of 4 rows at 0.8).
 
 A bucket of more than ``bucket`` classes is not paired as a whole. There, two sets that are
 similar enough must share one of their rarest items: of x, the smaller, one of the first
@@ -15,6 +15,7 @@ items that a third of all records have in common no longer pairs them all.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from meshwright.llm.itemcodes import code, safe_seed
 from meshwright.runtime import Workspace
 
-BANDS, ROWS = 64, 4
+#: Probability that a pair just at the threshold shares no bucket; bands that are made for it.
+MISSED, MOST_BANDS = 1e-14, 64
 #: Classes of a bucket up to which it is paired as it is.
 BUCKET = 48
 #: Most frequent items that are ordered by frequency; the order of all others is their code's.
@@ -35,6 +37,17 @@ BUCKET = 48
 ORDERED_ITEMS = 2048
 
 
+def plan_bands(threshold: float, missed: float = MISSED, most: int = MOST_BANDS) -> tuple[int, int]:
+    """(bands, rows): the most rows, and so the fewest chance candidates, within ``most`` bands;
+    one row and as many bands as it takes where even that needs more."""
+    for rows in range(8, 0, -1):
+        hit = threshold**rows
+        bands = 1 if hit >= 1 else math.ceil(math.log(missed) / math.log1p(-hit))
+        if bands <= most or rows == 1:
+            return bands, rows
+    raise AssertionError
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that leaves no structure (the splitmix64 finaliser)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -108,8 +121,6 @@ def similar_sets(
     *,
     other: DataFrame | None = None,
     min_items: int = 1,
-    bands: int = BANDS,
-    rows_per_band: int = ROWS,
     bucket: int = BUCKET,
 ) -> SimilarSets:
     """Classes of equal sets and the links between classes of Jaccard similarity >= threshold.
@@ -122,6 +133,9 @@ def similar_sets(
     within one table are not looked for. Further columns are ignored; no rows, no pairs.
     """
     t = _fraction(threshold)
+    if not 0 < t <= 1:
+        raise ValueError("the threshold is above 0 and at most 1")
+    bands, rows_per_band = plan_bands(float(t))
     ws = Workspace(rows.sparkSession, "setjoin")
     long = _sides([rows] if other is None else [rows, other], record, item)
     counted = ws.write(long.groupBy("item").count(), "items")

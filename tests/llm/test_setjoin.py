@@ -47,6 +47,22 @@ def test_equals_brute_force(spark, bucket):
     assert classes == {t: (min(x for x in whole if whole[x] == s), sum(t in p for p in want)) for t, s in whole.items()}
 
 
+@pytest.mark.parametrize("t,num", [("0.4", 4), ("1", 10)])
+def test_other_thresholds(spark, t, num):
+    sets = noisy(7, 50)
+    found = setjoin.similar_sets(frame(spark, sets), "test", "fn", t, bucket=8)
+    assert {tuple(r) for r in setjoin.record_pairs(found).collect()} == brute(sets, num, 10)[1]
+
+
+def test_bands_follow_the_threshold():
+    assert setjoin.plan_bands(0.8) == (62, 4)
+    for t in (0.1, 0.3, 0.5, 0.7, 0.9, 0.99, 1.0):
+        bands, rows = setjoin.plan_bands(t)
+        assert (1 - t**rows) ** bands <= 1e-14 and rows >= 1
+    with pytest.raises(ValueError):
+        setjoin.similar_sets(None, "a", "b", "0")
+
+
 def test_between_two_tables(spark):
     one, two = noisy(2, 40), noisy(3, 40) + noisy(2, 5)
     found = setjoin.similar_sets(frame(spark, one), "test", "fn", "0.7", other=frame(spark, two), bucket=4)
