@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from meshwright.operators import churn, cover, linalg, similar, sweeps
 from meshwright.operators.graph import Graph, is_test_node, load_graph
 from meshwright.plans.graphops import degrees, live_set
 from meshwright.plans.graphsql import GRAPH, ROOTS, test_path
-from meshwright.tables import table
+from meshwright.tables import periods, table
 
 #: Parameters of the registered queries.
 ANCHOR = "vendor/testkit/case.py::WorldCase.open_world"
@@ -227,25 +229,32 @@ def similar_behaviour(spark: SparkSession, d: str, anchor: str = ANCHOR) -> Data
     return linalg.neighbours(found, anchor).orderBy(F.desc("score"), "function_id").limit(10)
 
 
-def find_subsystems(spark: SparkSession, d: str) -> DataFrame:
-    """(cluster, size, label) of the largest component of the last snapshot's undirected graph."""
-    g = load_graph(spark, d)
-    adj = g.adjacency().where("s <> d")
-    last = adj.agg(F.max("snapshot")).first()[0]
-    adj = adj.where(F.col("snapshot") == last)
+def subsystems(graph: Graph, snapshot: int) -> DataFrame:
+    """(snapshot, cluster, size, exemplar, label) of the largest component of one snapshot's
+    undirected graph; a snapshot without edges has none."""
+    adj = graph.adjacency().where((F.col("s") != F.col("d")) & (F.col("snapshot") == snapshot))
     pairs = adj.select("s", "d").unionByName(adj.select(F.col("d").alias("s"), F.col("s").alias("d"))).distinct()
-    ids = pairs.select(F.lit(last).alias("snapshot"), F.col("s").alias("id")).distinct()
+    ids = pairs.select(F.lit(snapshot).alias("snapshot"), F.col("s").alias("id")).distinct()
     comps = sweeps.components(ids, adj)
-    giant = comps.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").first()["component"]
-    members = comps.where(F.col("component") == giant).select("id")
-    inside = pairs.join(members.withColumnRenamed("id", "s"), "s", "left_semi")
-    values, vectors = linalg.spectral_embedding(members, inside)
+    giant = comps.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").first()
+    if giant is None:
+        return ids.limit(0).select("snapshot", F.lit(0).alias("cluster"), F.lit(0).cast("long").alias("size"), F.col("id").alias("exemplar"), F.lit("").alias("label"))
+    members = comps.where(F.col("component") == giant["component"]).select("id")
+    values, vectors = linalg.spectral_embedding(members, pairs.join(members.withColumnRenamed("id", "s"), "s", "left_semi"))
     gaps = [(float(values[i + 1] - values[i]), i + 1) for i in range(1, len(values) - 1)]
     k = max(2, max(gaps)[1]) if gaps else 2
-    assigned = similar.cluster(vectors, [f"v{i}" for i in range(k)], k)
+    assigned = similar.cluster(vectors, [f"v{i}" for i in range(min(k, len(values)))], k)
     named = assigned.withColumn("name", qual_of(F.col("id")))
     label = _labels(named, "cluster", "name", named.select("name"), named.count(), 5)
-    return named.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("exemplar")).join(label, "cluster", "left")
+    found = named.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("exemplar")).join(label, "cluster", "left")
+    return found.select(F.lit(snapshot).alias("snapshot"), "cluster", "size", "exemplar", "label")
+
+
+def find_subsystems(spark: SparkSession, d: str) -> DataFrame:
+    """Subsystems of every snapshot; each is decomposed by itself."""
+    g = load_graph(spark, d)
+    parts = [subsystems(g, p) for p in periods(spark, d)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 # -- similarity --------------------------------------------------------------
