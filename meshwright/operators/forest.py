@@ -231,10 +231,42 @@ def hierarchy(
 
 
 def descendants(nodes: DataFrame, scope: str) -> DataFrame:
-    """(scope, id, descendant_id, distance): each node with every node below it, one row each.
+    """(scope, id, descendant_id, distance): each node with every node below it whose way up ends,
+    one row each; ``circular_descendants`` gives the others.
 
     ``nodes`` comes from ``hierarchy(paths=True)``; rows stay rows, no list grows with a tree.
     """
     return nodes.select(scope, F.col("id").alias("descendant_id"), F.posexplode("path").alias("at", "id")).select(
         scope, "id", "descendant_id", (F.col("at") + 1).alias("distance")
     )
+
+
+def circular_descendants(found: Hierarchy, scope: str, child: str, parent: str) -> DataFrame:
+    """(scope, id, descendant_id, distance, on_circle): each node with every other node below it
+    whose way up never ends; ``on_circle`` tells descendants on the circle from those on a tail.
+
+    The way of a node is its walk up to the first repeated id. Among the nodes that are parents it
+    doubles per round until none grows, so a walk of n ids takes log2(n) rounds and one that shows
+    the end; a leaf adds its parent to the way of that parent.
+    """
+    ws = Workspace(found.nodes.sparkSession, "circular")
+    kind = found.links.schema[scope].dataType
+    names = F.col(scope).cast("string").alias("g")
+    astray = found.nodes.where("depth < 0").select(names, F.col("id").alias("c"))
+    links = ws.write(found.links.select(names, F.col(child).alias("c"), F.col(parent).alias("p")).join(astray, ["g", "c"], "left_semi"), "links")
+    parents = links.select("g", F.col("p").alias("c")).distinct()
+    way = ws.write(links.join(parents, ["g", "c"], "left_semi").select("g", "c", F.col("p").alias("top"), F.array("p").alias("way")), "ways")
+    while True:
+        at = way.select(F.col("g").alias("g2"), F.col("c").alias("c2"), F.col("top").alias("top2"), F.col("way").alias("way2"))
+        longer = F.array_distinct(F.concat("way", "way2"))
+        step = way.join(at, (way.g == at.g2) & (way.top == at.c2)).select("g", "c", F.col("top2").alias("top"), longer.alias("way"), (F.size(longer) > F.size("way")).alias("grew"))
+        step = ws.write(step, "ways")
+        ws.drop(way)
+        way = step.drop("grew")
+        if step.where("grew").isEmpty():
+            break
+    above = way.select("g", F.col("c").alias("p"), "way")
+    leaves = links.join(way, ["g", "c"], "left_anti").join(above, ["g", "p"]).select("g", "c", F.array_distinct(F.concat(F.array("p"), "way")).alias("way"))
+    both = way.select("g", "c", "way").unionByName(leaves)
+    pairs = both.select("g", F.col("c").alias("descendant_id"), F.array_contains("way", F.col("c")).alias("on_circle"), F.posexplode("way").alias("at", "id"))
+    return pairs.where("id <> descendant_id").select(F.col("g").cast(kind).alias(scope), "id", "descendant_id", (F.col("at") + 1).alias("distance"), "on_circle")

@@ -68,14 +68,18 @@ def rewiden(graph: Graph) -> DataFrame:
     return out.select(*group, "dst_id", w.alias("weight"), F.when(F.col("n") > 1, "ambiguous").otherwise("inferred").alias("provenance"))
 
 
-def override_edges(graph: Graph) -> DataFrame:
+def override_edges(graph: Graph, *, circular: bool = False) -> DataFrame:
     """Edges that a call or reference to ``Base.m`` also has to every existing ``Sub.m``, where Sub
-    is below Base, however far; those that exist are left out. They are ambiguous, not by name."""
+    is below Base, however far; those that exist are left out. They are ambiguous, not by name.
+
+    Subs whose bases lead round in a circle are told apart: ``circular`` gives their edges instead.
+    """
     classes = graph.nodes.where(F.col("kind") == "Class").select("snapshot", "id")
     links = graph.edges.where((F.col("relation") == "INHERITS") & (F.col("src") != F.col("dst_id"))).select("snapshot", "src", "dst_id")
     for end in ("src", "dst_id"):
         links = links.join(classes.withColumnRenamed("id", end), ["snapshot", end], "left_semi")
-    below = forest.descendants(forest.hierarchy(links, "snapshot", "src", "dst_id", paths=True).nodes, "snapshot")
+    found = forest.hierarchy(links, "snapshot", "src", "dst_id", paths=not circular)
+    below = forest.circular_descendants(found, "snapshot", "src", "dst_id") if circular else forest.descendants(found.nodes, "snapshot")
     uses = graph.edges.where(F.col("relation").isin("CALLS", "REFERENCES")).select("snapshot", "src", "relation", "dst_id")
     members = uses.select("snapshot", "dst_id").distinct().select("snapshot", "dst_id", owner_of(F.col("dst_id")).alias("owner"), F.substring_index("dst_id", ".", -1).alias("member"))
     pairs = members.where(F.col("owner").isNotNull()).join(below.select("snapshot", F.col("id").alias("owner"), "descendant_id"), ["snapshot", "owner"])

@@ -32,6 +32,12 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     return forest.descendants(nodes, "snapshot")
 
 
+def p1_circular_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs that ``p1_descendants`` has not: subclasses whose bases lead round in a circle."""
+    found = forest.hierarchy(_inherits(spark, d), "snapshot", "src", "dst_id")
+    return forest.circular_descendants(found, "snapshot", "src", "dst_id")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     edges = table(spark, d, "edges").select("src", "dst_id")
     return treeagg.heavy_keys(edges, ["dst_id", "src"], HEAVY_SHARE).select("field", "node_id")
@@ -86,6 +92,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_paths": p1_paths,
     "p1_descendants": p1_descendants,
+    "p1_circular_descendants": p1_circular_descendants,
     "p2_found": p2_found,
     "p2_degrees": p2_degrees,
     "p3_found": p3_found,
@@ -157,6 +164,9 @@ SQL = {
     "p1_descendants": _LINKS
     + """SELECT snapshot, way[i + 1] AS id, id AS descendant_id, CAST(i AS INTEGER) AS distance
 FROM (SELECT snapshot, id, way, unnest(range(1, len(way))) AS i FROM found WHERE depth > 0)""",
+    "p1_circular_descendants": _LINKS
+    + """SELECT snapshot, way[i + 1] AS id, id AS descendant_id, CAST(i AS INTEGER) AS distance, spot = id AS on_circle
+FROM (SELECT snapshot, id, spot, way, unnest(range(1, len(way) - 1)) AS i FROM rings)""",
     "p2_found": """
 SELECT field, node_id FROM (
   SELECT 'dst_id' AS field, dst_id AS node_id, count(*) AS n FROM edges WHERE dst_id IS NOT NULL GROUP BY 2

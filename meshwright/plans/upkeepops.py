@@ -33,6 +33,7 @@ QUERIES = {
     "dangling_edges": _with_graph(maintain.dangling),
     "rewiden": _with_graph(maintain.rewiden),
     "override_edges": _with_graph(maintain.override_edges),
+    "circular_override_edges": _with_graph(lambda g: maintain.override_edges(g, circular=True)),
     "edge_groups": edge_groups,
     "expanded_edges": expanded_edges,
 }
@@ -78,6 +79,17 @@ SELECT DISTINCT u.snapshot, u.src, u.relation, split_part(u.dst_id, '.', -1) AS
 JOIN good g ON g.snapshot = u.snapshot AND strpos(substr(u.dst_id, strpos(u.dst_id, '::')), '.') > 0 AND g.base = regexp_replace(u.dst_id, '\\.[^.]*$', '')
 WHERE EXISTS (SELECT 1 FROM n WHERE n.snapshot = u.snapshot AND n.id = g.id || '.' || split_part(u.dst_id, '.', -1))
   AND NOT EXISTS (SELECT 1 FROM uses x WHERE x.snapshot = u.snapshot AND x.src = u.src AND x.relation = u.relation AND x.dst_id = g.id || '.' || split_part(u.dst_id, '.', -1))""",
+    "circular_override_edges": GRAPH
+    + """, links AS (SELECT e.snapshot, e.src, min(e.dst_id) AS dst FROM e JOIN n a ON a.snapshot = e.snapshot AND a.id = e.src AND a.kind = 'Class' JOIN n b ON b.snapshot = e.snapshot AND b.id = e.dst_id AND b.kind = 'Class'
+  WHERE e.relation = 'INHERITS' AND e.src <> e.dst_id GROUP BY 1, 2),
+up AS (SELECT snapshot, src AS id, dst AS spot, [src, dst] AS way FROM links
+  UNION ALL SELECT u.snapshot, u.id, l.dst, list_append(u.way, l.dst) FROM up u JOIN links l ON l.snapshot = u.snapshot AND l.src = u.spot WHERE NOT list_contains(u.way[:-2], u.spot)),
+below AS (SELECT snapshot, id, unnest(way[2:-2]) AS base FROM up WHERE list_contains(way[:-2], spot)),
+uses AS (SELECT snapshot, src, relation, dst_id FROM e WHERE relation IN ('CALLS', 'REFERENCES'))
+SELECT DISTINCT u.snapshot, u.src, u.relation, split_part(u.dst_id, '.', -1) AS dst_symbol, b.id || '.' || split_part(u.dst_id, '.', -1) AS dst_id FROM uses u
+JOIN below b ON b.snapshot = u.snapshot AND strpos(substr(u.dst_id, strpos(u.dst_id, '::')), '.') > 0 AND b.base = regexp_replace(u.dst_id, '\\.[^.]*$', '')
+WHERE EXISTS (SELECT 1 FROM n WHERE n.snapshot = u.snapshot AND n.id = b.id || '.' || split_part(u.dst_id, '.', -1))
+  AND NOT EXISTS (SELECT 1 FROM uses x WHERE x.snapshot = u.snapshot AND x.src = u.src AND x.relation = u.relation AND x.dst_id = b.id || '.' || split_part(u.dst_id, '.', -1))""",
     "edge_groups": GRAPH
     + """SELECT snapshot, src, relation, dst_symbol, min(weight) AS weight, CAST(count(*) AS INTEGER) AS n_members FROM e GROUP BY 1, 2, 3, 4
 HAVING count(*) >= 2 AND bool_and(provenance = 'ambiguous') AND count(DISTINCT weight) = 1 AND count(source) = count(*) AND count(DISTINCT source) = 1 AND count(DISTINCT name_based) = 1""",

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from meshwright.operators.forest import WeightedForest, descendants, hierarchy
+from meshwright.operators.forest import WeightedForest, circular_descendants, descendants, hierarchy
 
 SCHEMA = "snapshot int, src string, dst_id string, relation string, depth int, id string, path string"
 
@@ -84,6 +84,26 @@ def test_descendants(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("per", [3, 10_000])
+def test_circular_descendants(spark, per):
+    links = random_links(3, 30) + [(3, "D", "A"), (3, "A", "B"), (3, "B", "C"), (3, "C", "B"), (3, "self", "self"), (3, "below", "self"), (3, "lone", "top")]
+    links += [(4, f"r{i:02d}", f"r{(i + 1) % 11:02d}") for i in range(11)] + [(4, "leaf", "tail"), (4, "tail", "r05")]
+    up, want = {(s, c): p for s, c, p in reversed(links)}, set()
+    for (s, x), (_, depth, _) in walk(links).items():
+        way, at = [x], x
+        while depth < 0 and up[(s, at)] not in way:
+            at = up[(s, at)]
+            way.append(at)
+        want |= {(s, a, x, i, up[(s, at)] == x) for i, a in enumerate(way) if i}
+    df = spark.createDataFrame(links, "snapshot int, src string, dst_id string")
+    found = hierarchy(df, "snapshot", "src", "dst_id", paths=True, links_per_partition=per)
+    got = [tuple(r) for r in circular_descendants(found, "snapshot", "src", "dst_id").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {(3, "A", "D", 1, False), (3, "B", "D", 2, False), (3, "C", "D", 3, False), (3, "C", "B", 1, True)} <= want
+    assert not {x[:3] for x in got} & {tuple(r)[:3] for r in descendants(found.nodes, "snapshot").collect()}
+    assert circular_descendants(hierarchy(df.limit(0), "snapshot", "src", "dst_id"), "snapshot", "src", "dst_id").collect() == []
+
+
 def test_offsets():
     f = WeightedForest()
     for c, p in [("d", "c"), ("b", "a"), ("c", "b"), ("a", "top")]:

@@ -36,6 +36,16 @@ def test_overrides_follow_the_subclasses(spark):
     assert {(r.src, r.dst_symbol, r.dst_id) for r in maintain.override_edges(g).collect()} == {("z.py::s", "m", "q.py::C.m")}
 
 
+def test_overrides_of_circular_subclasses(spark):
+    names = ["D", "A", "B", "C"]
+    nodes = [n for c in names for n in (node(f"p.py::{c}", "Class"), node(f"p.py::{c}.m", "Method"))] + [node("z.py::s")]
+    e = lambda s, r, d: (s, r, d.rsplit(".", 1)[-1], d, 1.0, "extracted", "ast", False)
+    up = [e(f"p.py::{a}", "INHERITS", f"p.py::{b}") for a, b in ("DA", "AB", "BC", "CB")]
+    g = graph(spark, nodes, [*up, e("z.py::s", "CALLS", "p.py::B.m")])
+    assert maintain.override_edges(g).collect() == []
+    assert {r.dst_id for r in maintain.override_edges(g, circular=True).collect()} == {"p.py::D.m", "p.py::A.m", "p.py::C.m"}
+
+
 def test_compression_keeps_the_rows(spark):
     rows = [("s", "CALLS", "f", f"t{i}", 0.25, "ambiguous", "ast", True) for i in range(4)] + [("r", "CALLS", "f", f"t{i}", 0.25, "ambiguous", "ast", True) for i in range(4)]
     rows += [("u", "CALLS", "g", "t0", 0.5, "ambiguous", "ast", True), ("u", "CALLS", "g", "t1", 0.4, "ambiguous", "ast", True), ("v", "CALLS", "h", "t0", 1.0, "extracted", "ast", False), ("w", "CALLS", "f", "t0", 0.5, "ambiguous", None, True), ("w", "CALLS", "f", "t1", 0.5, "ambiguous", None, True)]
