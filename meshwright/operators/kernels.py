@@ -146,22 +146,44 @@ class Sparse:
         return self._times(1, block)
 
 
-def _leading(apply, n: int, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Eigenvalues from large to small and vectors of a symmetric positive operator."""
-    basis = np.linalg.qr(np.random.default_rng(1).standard_normal((n, k)))[0]
-    for _ in range(rounds):
-        basis = np.linalg.qr(apply(basis))[0]
-    small = basis.T @ apply(basis)
+#: A vector is settled when the operator moves it out of its own line by at most this share of its eigenvalue.
+CLOSE = 1e-3
+
+
+def ritz(small: np.ndarray, moved: np.ndarray, keep: int, least: float) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Ritz values from large to small, the turn to their vectors, and whether the first ``keep`` are
+    settled. ``small``: basis times moved basis; ``moved``: Gram matrix of the moved basis. Eigenvalues
+    under a thousandth of the greatest or under ``least``, where rounding begins, count as that."""
     values, turn = np.linalg.eigh((small + small.T) / 2)
     order = np.argsort(-values)
-    return values[order], basis @ turn[:, order]
+    values, turn = values[order], turn[:, order]
+    residual = np.sqrt(np.maximum((turn * (moved @ turn)).sum(0) - values**2, 0.0))
+    return values, turn, bool((residual[:keep] <= CLOSE * np.maximum(np.maximum(values[:keep], 1e-3 * values[0]), least)).all())
+
+
+def _leading(apply, start: np.ndarray, keep: int, rounds: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues from large to small and vectors of a symmetric positive operator: iterated from
+    ``start`` until settled, which is looked at every ``rounds`` rounds."""
+    basis, at = np.linalg.qr(start)[0], 0
+    while True:
+        out, at = apply(basis), at + 1
+        if at % rounds == 0:
+            values, turn, settled = ritz(basis.T @ out, out.T @ out, keep, least)
+            if settled:
+                vectors = (basis @ turn)[:, :keep]
+                return values[:keep], vectors * np.where(start[:, 0] @ vectors < 0, -1.0, 1.0)
+        basis = np.linalg.qr(out)[0]
+
+
+def _placed(start: pd.DataFrame, key: str, ids) -> np.ndarray:
+    return start.set_index(key).drop(columns="all").loc[list(ids)].to_numpy()
 
 
 def _rows(kind: str, keys, block: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"kind": kind, "key": keys, "v": list(block)})
 
 
-def modes(pairs: pd.DataFrame, n_tests: int, k: int, width: int, rounds: int) -> pd.DataFrame:
+def modes(pairs: pd.DataFrame, start: pd.DataFrame, n_tests: int, k: int, rounds: int, least: float) -> pd.DataFrame:
     """Rows (kind, key, v): of functions their loadings, of tests their coordinates, one of values."""
     t, tests = pd.factorize(pairs["test_id"], sort=True)
     f, functions = pd.factorize(pairs["function_id"], sort=True)
@@ -176,14 +198,13 @@ def modes(pairs: pd.DataFrame, n_tests: int, k: int, width: int, rounds: int) ->
         whole = y.sum(0) - (n_tests - len(tests)) * (mean @ v)
         return m.transposed_times(y) - mean[:, None] * whole
 
-    values, vectors = _leading(apply, len(functions), min(width, len(functions)), rounds)
-    vectors = vectors[:, :k]
-    return pd.concat([_rows("f", np.asarray(functions), vectors), _rows("t", np.asarray(tests), centred(vectors)), _rows("s", ["s"], values[None, :k])])
+    values, vectors = _leading(apply, _placed(start, "function_id", functions), k, rounds, least)
+    return pd.concat([_rows("f", np.asarray(functions), vectors), _rows("t", np.asarray(tests), centred(vectors)), _rows("s", ["s"], values[None, :])])
 
 
-def spectral(adj: pd.DataFrame, k: int, rounds: int) -> pd.DataFrame:
+def spectral(adj: pd.DataFrame, start: pd.DataFrame, k: int, rounds: int) -> pd.DataFrame:
     g = Csr(adj["s"], adj["d"])
     degree = np.bincount(g.s, minlength=len(g.ids)).astype(float)
     p = Sparse(g.s, g.d, (len(g.ids), len(g.ids)), 1 / np.sqrt(degree[g.s] * degree[g.d]))
-    values, vectors = _leading(lambda v: (v + p.times(v)) / 2, len(g.ids), min(k, len(g.ids)), rounds)
+    values, vectors = _leading(lambda v: (v + p.times(v)) / 2, _placed(start, "id", g.ids), k, rounds, 0.0)
     return pd.concat([_rows("f", np.asarray(g.ids), vectors), _rows("s", ["s"], values[None, :])])

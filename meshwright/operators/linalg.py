@@ -58,30 +58,39 @@ def _whiten(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values, vectors * scale
 
 
+def _unit(key: str, i: int, seed: int = 1) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed * 1000 + i), F.col(key)), F.lit(2_000_003)) / F.lit(1_000_001.5) - 1
+
+
 def start_block(keys: DataFrame, key: str, k: int, seed: int = 1) -> DataFrame:
     """Pseudo-random vectors that follow from the keys alone."""
-    unit = lambda i: F.pmod(F.xxhash64(F.lit(seed * 1000 + i), F.col(key)), F.lit(2_000_003)) / F.lit(1_000_001.5) - 1
-    return keys.select(key, *[unit(i).alias(f"v{i}") for i in range(k)])
+    return keys.select(key, *[_unit(key, i, seed).alias(f"v{i}") for i in range(k)])
 
 
-def subspace(ws: Workspace, block: DataFrame, key: str, k: int, step: Callable[[DataFrame], DataFrame], rounds: int) -> tuple[np.ndarray, DataFrame]:
-    """Leading eigenvalues and vectors of the symmetric positive operator that ``step`` applies."""
+def subspace(ws: Workspace, block: DataFrame, key: str, k: int, step: Callable[[DataFrame], DataFrame], rounds: int, *, keep: int, least: float = 0.0) -> tuple[np.ndarray, DataFrame]:
+    """The ``keep`` leading eigenvalues and vectors of the symmetric positive operator that ``step``
+    applies to blocks of ``k``, iterated until they are settled (``kernels.ritz``), which is looked at
+    every ``rounds`` rounds. A vector's sign is that of its product with the first of ``start_block``."""
     cur = ws.write(block, "block")
     cur = combine(cur, [key], _whiten(gram(cur, k))[1])
-    values = np.zeros(k)
-    for i in range(rounds):
+    done, held = 0, ()
+    while True:
         cur = ws.write(cur, "basis")
-        nxt = ws.write(step(cur), "product")
-        if i == rounds - 1:  # Rayleigh-Ritz on the last basis
+        ws.drop(*held)
+        nxt, done = ws.write(step(cur), "product"), done + 1
+        g = gram(nxt, k)
+        if done % rounds == 0:
             both = cur.join(nxt.withColumnsRenamed({f"v{j}": f"w{j}" for j in range(k)}), key)
             row = both.agg(*[F.sum(F.col(f"v{a}") * F.col(f"w{b}")).alias(f"c{a}_{b}") for a in range(k) for b in range(k)]).first()
             small = np.array([[row[f"c{a}_{b}"] or 0.0 for b in range(k)] for a in range(k)])
-            values, turn = np.linalg.eigh((small + small.T) / 2)
-            order = np.argsort(-values)
-            return values[order], ws.write(combine(cur, [key], turn[:, order]), "vectors")
-        g = gram(nxt, k)
+            values, turn, settled = kernels.ritz(small, g, keep, least)
+            if settled:
+                vectors = ws.write(combine(cur, [key], turn[:, :keep]), "vectors")
+                lean = vectors.agg(*[F.sum(F.col(c) * _unit(key, 0)).alias(c) for c in _columns(keep)]).first()
+                signs = np.where(np.array([lean[c] or 0.0 for c in _columns(keep)]) < 0, -1.0, 1.0)
+                return values[:keep], vectors.select(key, *[(F.col(c) * F.lit(float(x))).alias(c) for c, x in zip(_columns(keep), signs)])
+        held = (cur, nxt)
         cur = combine(nxt, [key], _whiten(g)[1])
-    return values, cur
 
 
 @dataclass
@@ -106,9 +115,10 @@ class Modes:
         return (int(np.searchsorted(cum, 0.9)) + 1, False) if cum[-1] >= 0.9 else (len(cum), True)
 
 
-def _in_one_task(ws: Workspace, rows: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], kinds: dict[str, str]) -> tuple[np.ndarray, dict[str, DataFrame]]:
-    """The values of a kernel over all rows and its vectors by kind, one column per vector."""
-    out = ws.write(rows.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(lambda pdf: kernel(pdf), "kind string, key string, v array<double>"), "kernel")
+def _in_one_task(ws: Workspace, rows: DataFrame, start: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], kinds: dict[str, str]) -> tuple[np.ndarray, dict[str, DataFrame]]:
+    """The values of a kernel over all rows and a start block, and its vectors by kind, one column per vector."""
+    one, two = (df.withColumn("all", F.lit(1)).groupBy("all") for df in (rows, start))
+    out = ws.write(one.cogroup(two).applyInPandas(lambda pdf, block: kernel(pdf, block), "kind string, key string, v array<double>"), "kernel")
     first = out.where("kind = 's'").first()
     values = np.array(first["v"] if first else [])
     parts = {kind: out.where(F.col("kind") == kind).select(F.col("key").alias(name), *[F.col("v")[i].alias(f"v{i}") for i in range(len(values))]) for kind, name in kinds.items()}
@@ -118,7 +128,8 @@ def _in_one_task(ws: Workspace, rows: DataFrame, kernel: Callable[[pd.DataFrame]
 def modes(pairs: DataFrame, n_tests: int, *, k: int = 16, spare: int = 4, rounds: int = 10, local_pairs: int = LOCAL_EDGES) -> Modes:
     """Modes of the mean-centred matrix of tests and functions: the right singular vectors.
 
-    A matrix of at most ``local_pairs`` ones is iterated in one task, with more rounds.
+    A matrix of at most ``local_pairs`` ones is iterated in one task, from the same start and to the
+    same residual, which is looked at every ``rounds`` rounds.
 
     ``pairs``: distinct (test_id, function_id); tests without functions count in ``n_tests``.
     """
@@ -128,10 +139,10 @@ def modes(pairs: DataFrame, n_tests: int, *, k: int = 16, spare: int = 4, rounds
     row = means.agg(F.sum("mean").alias("a"), F.sum(F.col("mean") * F.col("mean")).alias("b"), F.count(F.lit(1)).alias("n")).first()
     total = float(n_tests) * ((row["a"] or 0.0) - (row["b"] or 0.0))
     width = max(1, min(k + spare, int(row["n"] or 1)))
-    names = _columns(width)
-    if pairs.count() <= local_pairs and row["n"]:
-        keep = min(k, width)
-        values, parts = _in_one_task(ws, pairs, lambda pdf: kernels.modes(pdf, n_tests, keep, width, 8 * rounds), {"f": "function_id", "t": "test_id"})
+    names, keep, ones = _columns(width), min(k, width), pairs.count()
+    start, least = start_block(means, "function_id", width), 1e-9 * ones
+    if ones <= local_pairs and row["n"]:
+        values, parts = _in_one_task(ws, pairs, start, lambda pdf, block: kernels.modes(pdf, block, n_tests, keep, rounds, least), {"f": "function_id", "t": "test_id"})
         values = np.maximum(values, 0.0)
         return Modes([float(x / total) if total > 0 else 0.0 for x in values], np.sqrt(values), parts["f"], parts["t"], means, n_tests, total)
 
@@ -140,22 +151,25 @@ def modes(pairs: DataFrame, n_tests: int, *, k: int = 16, spare: int = 4, rounds
         shift = [float(drop[c] or 0.0) for c in shown]
         return pairs.join(v, "function_id").groupBy("test_id").agg(*[F.sum(c).alias(c) for c in shown]), shift
 
+    held: list[DataFrame] = []
+
     def step(v: DataFrame) -> DataFrame:
         y, shift = scores(v, names)
+        ws.drop(*held)
         y = ws.write(y.select("test_id", *[(F.col(c) - F.lit(s)).alias(c) for c, s in zip(names, shift)]), "scores")
+        held[:] = [y]
         # tests without functions have the score -shift and meet no function; they count in the sum
         sums = y.agg(*[F.sum(c).alias(c) for c in names], F.count(F.lit(1)).alias("n")).first()
         whole = [float(sums[c] or 0.0) - s * (n_tests - sums["n"]) for c, s in zip(names, shift)]
         z = pairs.join(y, "test_id").groupBy("function_id").agg(*[F.sum(c).alias(c) for c in names])
         return z.join(means, "function_id").select("function_id", *[(F.col(c) - F.col("mean") * F.lit(w)).alias(c) for c, w in zip(names, whole)])
 
-    values, vectors = subspace(ws, start_block(means, "function_id", width), "function_id", width, step, rounds)
-    k = min(k, width)
-    kept = _columns(k)
+    values, vectors = subspace(ws, start, "function_id", width, step, rounds, keep=keep, least=least)
+    kept = _columns(keep)
     vectors = ws.write(vectors.select("function_id", *kept), "functions")
     y, shift = scores(vectors, kept)
     tests = ws.write(y.select("test_id", *[(F.col(c) - F.lit(s)).alias(c) for c, s in zip(kept, shift)]), "tests")
-    values = np.maximum(values[:k], 0.0)
+    values = np.maximum(values, 0.0)
     return Modes([float(x / total) if total > 0 else 0.0 for x in values], np.sqrt(values), vectors, tests, means, n_tests, total)
 
 
@@ -190,25 +204,30 @@ def neighbours(found: Modes, anchor: str) -> DataFrame:
     return out.where("score > 0")
 
 
-def spectral_embedding(nodes: DataFrame, adj: DataFrame, *, k: int = 12, rounds: int = 24, local_edges: int = LOCAL_EDGES) -> tuple[np.ndarray, DataFrame]:
+def spectral_embedding(nodes: DataFrame, adj: DataFrame, *, k: int = 12, spare: int = 8, rounds: int = 24, local_edges: int = LOCAL_EDGES) -> tuple[np.ndarray, DataFrame]:
     """Smallest eigenvalues of the normalised Laplacian with their vectors (id, v0..).
 
     ``adj``: (s, d) undirected pairs in both directions; iterates (I + D^-1/2 A D^-1/2) / 2, whose
-    largest eigenvalues are the Laplacian's smallest.
+    largest eigenvalues are the Laplacian's smallest. Nodes without a pair have no row. At most
+    ``local_edges`` pairs are iterated in one task, from the same start and to the same residual,
+    which is looked at every ``rounds`` rounds.
     """
     ws = Workspace(nodes.sparkSession, "spectral")
     adj = ws.write(adj.select("s", "d"), "adjacency")
+    degree = ws.write(adj.groupBy(F.col("s").alias("id")).agg(F.count(F.lit(1)).alias("deg")), "degree")
+    ids = ws.write(nodes.select("id").join(degree, "id", "left_semi"), "ids")
+    width = max(1, min(k + spare, ids.count()))
+    keep, start = min(k, width), start_block(ids, "id", width)
     if 0 < adj.count() <= local_edges:
-        values, parts = _in_one_task(ws, adj, lambda pdf: kernels.spectral(pdf, k, 8 * rounds), {"f": "id"})
+        values, parts = _in_one_task(ws, adj, start, lambda pdf, block: kernels.spectral(pdf, block, keep, rounds), {"f": "id"})
         return 2 - 2 * values, parts["f"]
-    degree = adj.groupBy(F.col("s").alias("id")).agg(F.count(F.lit(1)).alias("deg"))
     scaled = adj.join(degree.withColumnsRenamed({"id": "s", "deg": "ds"}), "s").join(degree.withColumnsRenamed({"id": "d", "deg": "dd"}), "d")
     links = ws.write(scaled.select("s", "d", (F.lit(1.0) / F.sqrt(F.col("ds") * F.col("dd"))).alias("w")), "links")
-    names = _columns(k)
+    names = _columns(width)
 
     def step(v: DataFrame) -> DataFrame:
         moved = links.join(v.withColumnRenamed("id", "s"), "s").groupBy(F.col("d").alias("id")).agg(*[F.sum(F.col(c) * F.col("w")).alias(f"m{c}") for c in names])
         return v.join(moved, "id", "left").select("id", *[((F.col(c) + F.coalesce(f"m{c}", F.lit(0.0))) / 2).alias(c) for c in names])
 
-    values, vectors = subspace(ws, start_block(nodes.select("id"), "id", k), "id", k, step, rounds)
+    values, vectors = subspace(ws, start, "id", width, step, rounds, keep=keep)
     return 2 - 2 * values, vectors

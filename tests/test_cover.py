@@ -118,6 +118,24 @@ def test_two_cliques_are_told_apart(spark, local):
     assert sorted(map(sorted, groups.values())) == [["a"], ["b"]]
 
 
+def test_size_does_not_change_modes_and_embedding(spark):
+    ring = [f"n{i:02d}" for i in range(40)]
+    pairs = [(a, b) for i, x in enumerate(ring) for y in (ring[i - 1], ring[i - 2 - i % 3]) for a, b in ((x, y), (y, x))]
+    ids, adj = spark.createDataFrame([(x,) for x in ring], "id string"), spark.createDataFrame(sorted(set(pairs)), "s string, d string")
+    rng = random.Random(9)
+    ran = sorted({(f"t{rng.randrange(80):02d}", f"f{int(30 * rng.random() ** 1.5):02d}") for _ in range(500)})
+    df = spark.createDataFrame(ran, "test_id string, function_id string")
+    for make in (
+        lambda n: linalg.spectral_embedding(ids, adj, k=4, spare=4, rounds=10, local_edges=n),
+        lambda n: (lambda found: (found.singular, found.functions))(linalg.modes(df, 80, k=3, spare=4, rounds=4, local_pairs=n)),
+    ):
+        (v0, far), (v1, near) = make(0), make(10_000)
+        assert v0 == pytest.approx(v1, rel=1e-6, abs=1e-9)
+        assert {r[0]: list(r[1:]) for r in far.collect()} == {r[0]: pytest.approx(list(r[1:]), abs=1e-5) for r in near.collect()}
+    flat = spark.createDataFrame([(f"t{i}", f) for i in range(5) for f in "abc"], "test_id string, function_id string")
+    assert all(linalg.modes(flat, 5, k=2, rounds=4, local_pairs=n).singular == pytest.approx([0, 0], abs=1e-6) for n in (0, 100))
+
+
 def test_churn_percentiles_and_hotspots(spark):
     commits = spark.createDataFrame([("1", "a"), ("1", "b"), ("1", "b"), ("2", "a"), ("2", "b"), ("3", "a"), ("4", None), (None, "a"), *[("big", f"z{i}") for i in range(40)]], "commit_id string, file string")
     assert {r.file: r.churn for r in churn.churn(commits).collect() if r.file in "ab"} == {"a": 3, "b": 2}
