@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from meshwright.functions.ids import base_test_id, file_of, qual_of
 from meshwright.runtime import Workspace
 
-#: Tests of more functions pair none of them, though they count for the sizes.
-PAIR_CAP = 400
+#: Functions of a test that one record holds; wider tests are taken apart into pairs of blocks.
+BLOCK = 400
 
 
 def runs(coverage: DataFrame, *, by_snapshot: bool = False) -> DataFrame:
@@ -55,18 +55,31 @@ def co_functions(pairs: DataFrame, anchor: str) -> DataFrame:
     return out.select("function_id", F.round(F.col("shared") / F.sqrt(F.col("n") * F.lit(n_own)), 4).alias("score"), "shared")
 
 
-def coactivation(pairs: DataFrame, *, min_shared: int = 3, cap: int = PAIR_CAP) -> DataFrame:
+def coactivation(pairs: DataFrame, *, min_shared: int = 3, cap: int | None = None, block: int = BLOCK) -> DataFrame:
     """(a, b, score, shared) of functions a < b that run together in ``min_shared`` tests or more.
 
-    Functions of fewer tests can be in no such pair and are left out before pairs are made.
+    Functions of fewer tests can be in no such pair and are left out before pairs are made. Tests
+    of more than ``block`` functions are split into blocks, each paired with itself and with every
+    later one, so no record holds more than two blocks. With ``cap``, tests of more functions
+    pair none of them, though they count for the sizes.
     """
     ws = Workspace(pairs.sparkSession, "coactivation")
     n = ws.write(sizes(pairs), "sizes")
-    width = pairs.groupBy("test_id").agg(F.count(F.lit(1)).alias("width")).where(F.col("width") <= cap).select("test_id")
-    kept = pairs.join(width, "test_id", "left_semi").join(n.where(F.col("n") >= min_shared).select("function_id"), "function_id", "left_semi")
-    lists = ws.write(kept.groupBy("test_id").agg(F.sort_array(F.collect_list("function_id")).alias("fs")).select("fs"), "lists")
+    kept = pairs.join(n.where(F.col("n") >= min_shared).select("function_id"), "function_id", "left_semi")
+    width = pairs.groupBy("test_id").agg(F.count(F.lit(1)).alias("width"))
+    if cap is not None:
+        width = width.where(F.col("width") <= cap)
+    # the hash spreads a wide test over about width / block blocks; a test of one block stays whole
+    parts = F.ceil(F.col("width") / block)
+    placed = kept.join(width, "test_id").select("test_id", "function_id", parts.alias("parts"), F.pmod(F.xxhash64("function_id"), parts).alias("part"))
+    lists = ws.write(placed.groupBy("test_id", "part", "parts").agg(F.sort_array(F.collect_list("function_id")).alias("fs")), "lists")
     tails = F.transform("fs", lambda f, i: F.struct(f.alias("a"), F.slice(F.col("fs"), i + 2, F.size("fs")).alias("bs")))
     two = lists.select(F.explode(tails).alias("x")).select("x.a", F.explode("x.bs").alias("b"))
+    wide = lists.where("parts > 1")
+    later = wide.select("test_id", F.col("part").alias("part2"), F.col("fs").alias("fs2"))
+    across = wide.select("test_id", "part", "fs").join(later, "test_id").where("part < part2")
+    across = across.select(F.explode("fs").alias("x"), "fs2").select("x", F.explode("fs2").alias("y"))
+    two = two.unionByName(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
     shared = two.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= min_shared)
     out = shared.join(n.select(F.col("function_id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("function_id").alias("b"), F.col("n").alias("nb")), "b")
     return out.select("a", "b", F.round(F.col("shared") / F.sqrt(F.col("na") * F.col("nb")), 4).alias("score"), "shared")

@@ -76,6 +76,16 @@ def test_coactivation_and_coupling(spark):
     assert cover.co_functions(df, "never").collect() == []
 
 
+def test_wide_tests_pair_their_functions(spark):
+    wide = [(t, f"g{i:03d}") for t in ("w1", "w2", "w3") for i in range(450)]
+    found = cover.coactivation(spark.createDataFrame(wide, "test_id string, function_id string"))
+    assert found.count() == 450 * 449 // 2 and found.where("a >= b OR shared <> 3 OR score <> 1").isEmpty()
+    pairs = random_pairs(3)
+    shared = Counter(p for s in by_test(pairs).values() for p in combinations(sorted(s), 2))
+    got = cover.coactivation(spark.createDataFrame(pairs, "test_id string, function_id string"), block=3).collect()
+    assert len(got) == len({(r.a, r.b) for r in got}) and {(r.a, r.b): r.shared for r in got} == {p: c for p, c in shared.items() if c >= 3}
+
+
 def planted(tests=60):
     rng = random.Random(5)
     out = set()
