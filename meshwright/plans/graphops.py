@@ -16,7 +16,6 @@ CALLED, CALLER = "vendor/textkit/fmt.py::render_text", "vendor/bootkit/wiring.py
 CHANGED = "vendor/corekit/base.py::BaseUnit"
 SINK = "vendor/logkit/sink.py::Sink.write_out"
 SUBSYSTEM = "vendor/corekit"
-MATRIX_LIMIT = 50_000
 TOP = 10
 
 
@@ -86,18 +85,19 @@ def find_holes(graph: Graph) -> DataFrame:
     return graph.holes.select(*columns).unionByName(lost.select(*columns)).distinct()
 
 
-def relation_matrix(graph: Graph, scope: str, relation: str = "CALLS", limit: int = 25) -> DataFrame:
+def relation_matrix(graph: Graph, scope: str, relation: str = "CALLS", limit: int | None = None) -> DataFrame:
     """Cells of the matrix of one relation between the nodes under a scope, greatest weight each.
 
-    A scope of more than ``limit`` nodes in a snapshot is refused there: it gives no cells.
+    With ``limit``, a scope of more nodes in a snapshot is refused there: it gives no cells.
     """
     cells = graph.edges.where((F.col("relation") == relation) & under_scope(F.col("src"), scope) & under_scope(F.col("dst_id"), scope))
     ids = graph.nodes.where(under_scope(F.col("id"), scope)).select("snapshot", "id")
     for end in ("src", "dst_id"):
         cells = cells.join(ids.withColumnRenamed("id", end), ["snapshot", end], "left_semi")
     cells = cells.groupBy("snapshot", "src", "dst_id").agg(F.max(F.round("weight", 2)).alias("weight"))
-    small = ids.groupBy("snapshot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= limit).select("snapshot")
-    ids = ids.join(F.broadcast(small), "snapshot")
+    if limit is not None:
+        small = ids.groupBy("snapshot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= limit).select("snapshot")
+        ids = ids.join(F.broadcast(small), "snapshot")
     place = ids.withColumn("at", F.row_number().over(Window.partitionBy("snapshot").orderBy("id")) - 1)
     cells = cells.join(place.withColumnsRenamed({"id": "src", "at": "row"}), ["snapshot", "src"])
     return cells.join(place.withColumnsRenamed({"id": "dst_id", "at": "col"}), ["snapshot", "dst_id"]).select("snapshot", "src", "dst_id", "row", "col", "weight")
@@ -398,7 +398,7 @@ QUERIES = {
     "get_callees": _with_graph(callees, CALLER),
     "call_confidence": _with_graph(call_confidence, CALLED),
     "find_holes": _with_graph(find_holes),
-    "get_matrix": _with_graph(relation_matrix, "services/core", "CALLS", MATRIX_LIMIT),
+    "get_matrix": _with_graph(relation_matrix, "services/core", "CALLS"),
     "live_set": _reach_nodes,
     "reach_hops": _reach_counts,
     "find_stale": _with_graph(find_stale),

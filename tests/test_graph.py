@@ -193,6 +193,17 @@ def test_ids(spark):
     assert got[:5] == ["f.py::t", "f.py::C.t", "f.py::t", "f.py::t", "x|runs"]
 
 
+def test_matrix_of_a_wide_scope(spark):
+    from meshwright.plans import graphops
+
+    rows = [(1, f"s/a.py::f{i:02d}", "Function", f"f{i:02d}", None, None, None, None, None, [], None, 0) for i in range(30)]
+    nodes = clean_nodes(spark.createDataFrame(rows, NODES), spark.createDataFrame([], "id string, kind string, name string, location string, roles array<string>"), [1])
+    edges = spark.createDataFrame([(1, "s/a.py::f29", "CALLS", "s/a.py::f03", 0.5)], "snapshot int, src string, relation string, dst_id string, weight double")
+    g = Graph(nodes, edges, edges)
+    assert [tuple(r) for r in graphops.relation_matrix(g, "s").collect()] == [(1, "s/a.py::f29", "s/a.py::f03", 29, 3, 0.5)]
+    assert graphops.relation_matrix(g, "s", limit=29).collect() == []
+
+
 def test_operations_do_not_raise_on_an_empty_graph(spark):
     from meshwright.plans import graphops
 
