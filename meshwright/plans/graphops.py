@@ -219,10 +219,16 @@ def transitive_fan_in(graph: Graph, samples: int = 64) -> DataFrame:
 
 
 def cycles(graph: Graph) -> DataFrame:
-    """(snapshot, id, component) of nodes on circles of calls and imports."""
+    """(snapshot, id, component) of nodes on circles of calls and imports through others."""
     return circles.scc(graph.adjacency(("CALLS", "IMPORTS")))
 
 
+def self_loops(graph: Graph) -> DataFrame:
+    """(snapshot, id) of nodes that call or import themselves; those on no larger circle are circles
+    of one beside ``cycles``."""
+    return graph.adjacency(("CALLS", "IMPORTS")).where("s = d").select("snapshot", F.col("s").alias("id")).distinct()
+
+
 def data_loops(graph: Graph) -> DataFrame:
     """Feedback through mutable state: circles of calls, writes and (turned round) reads that hold
     a variable."""
@@ -411,6 +417,7 @@ QUERIES = {
     "transitive_fan_in": _tfi_exact,
     "transitive_fan_in_sampled": _with_graph(transitive_fan_in, 64),
     "cycles": _with_graph(cycles),
+    "self_loops": _with_graph(self_loops),
     "cycle_issues": _with_graph(cycle_issues),
     "data_loops": _with_graph(data_loops),
     "find_chokepoints": _with_graph(chokepoints),
@@ -569,6 +576,7 @@ UNION ALL SELECT snapshot, 'data_loop', component, CAST(count(*) AS VARCHAR), 'o
 UNION ALL SELECT snapshot, 'god_object', id, fan_in || '/' || fan_out, CASE WHEN needs_review THEN 'green' ELSE 'orange' END FROM gods""",
     "impact_of": GRAPH + _IMPACT,
     "cycles": GRAPH + ", " + _CYCLES + " SELECT snapshot, id, component FROM cyc",
+    "self_loops": GRAPH + f"SELECT DISTINCT snapshot, src AS id FROM e WHERE relation IN ('CALLS', 'IMPORTS') AND src = dst_id AND {_EXISTS.format('src')}",
     "cycle_issues": GRAPH + ", " + _CYCLE_ISSUES + " SELECT * FROM issues",
     "data_loops": GRAPH + ", " + _LOOPS + " SELECT snapshot, id, component FROM loops",
     "god_objects": GRAPH + ", " + _GODS + " SELECT * FROM gods",

@@ -193,6 +193,14 @@ def test_ids(spark):
     assert got[:5] == ["f.py::t", "f.py::C.t", "f.py::t", "f.py::t", "x|runs"]
 
 
+def test_self_loops(spark):
+    from meshwright.plans import graphops
+
+    nodes = spark.createDataFrame([(1, x) for x in "abc"], "snapshot int, id string")
+    edges = spark.createDataFrame([(1, "a", "CALLS", "a"), (1, "a", "IMPORTS", "a"), (1, "b", "READS", "b"), (1, "b", "CALLS", "c"), (1, "c", "CALLS", "b"), (1, "x", "CALLS", "x")], "snapshot int, src string, relation string, dst_id string")
+    assert [tuple(r) for r in graphops.self_loops(Graph(nodes, edges, edges)).collect()] == [(1, "a")]
+
+
 def test_matrix_of_a_wide_scope(spark):
     from meshwright.plans import graphops
 
