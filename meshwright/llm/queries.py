@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshwright.llm import chunking, cooccur, mixing, packing, setjoin
@@ -66,6 +66,31 @@ def p7_assigned(spark: SparkSession, d: str) -> DataFrame:
     return packed.agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("n_pieces"))
 
 
+def p7_summary(spark: SparkSession, d: str) -> DataFrame:
+    """What was packed, and what must not be: containers over capacity, items split that need not
+    be, texts whose pieces do not make up the text. ``near_bound``: at most one container in two
+    hundred, and one per part packed apart, more than the tokens would fill."""
+    packed = table(spark, d, "documents").select("doc_id", token_count(F.col("text")).alias("tokens"))
+    rows = Workspace(spark, "packed").write(packing.pack_items(packed, "doc_id", F.col("tokens")), "rows")
+    bins = rows.groupBy("container_id").agg(F.sum("size").alias("load"))
+    cap = F.lit(packing.CAPACITY)
+    loads = bins.agg(F.count(F.lit(1)).alias("containers"), F.coalesce(F.sum(F.when(F.col("load") > cap, 1).otherwise(0)), F.lit(0)).alias("over_full"))
+    whole = rows.groupBy("id").agg(F.sum("size").alias("load"), F.count(F.lit(1)).alias("pieces"))
+    asked = packed.groupBy(F.col("doc_id").cast("string").alias("id")).agg(F.sum("tokens").alias("tokens"), F.sum(F.greatest(F.ceil(F.col("tokens") / cap), F.lit(1))).alias("least"))
+    both = asked.join(whole, "id", "full")
+    one = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
+    sums = both.agg(
+        F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"),
+        F.coalesce(F.sum("pieces"), F.lit(0)).alias("pieces"),
+        one(~F.col("load").eqNullSafe(F.col("tokens"))).alias("not_whole"),
+        one(~F.col("pieces").eqNullSafe(F.col("least"))).alias("split_in_vain"),
+    )
+    bound = F.ceil(F.col("tokens") / cap)
+    parts = F.ceil(F.col("pieces") / (8 * packing.BATCH))
+    near = F.col("containers") <= bound + F.ceil(bound / 200) + parts
+    return sums.crossJoin(loads).select("tokens", "pieces", "over_full", "not_whole", "split_in_vain", near.alias("near_bound"))
+
+
 def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, list[mixing.Share], int]:
     """Documents with source and size, what each source of ``mix_targets`` is to give, all tokens."""
     ws = Workspace(spark, "sized")
@@ -75,12 +100,13 @@ def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, list[mixing.Share]
     by_source = mixing.source_sizes(sized, "source", "tokens")
     total = by_source.agg(F.sum("tokens")).first()[0] or 0
     asked = by_source.where(F.col("source").isin([s for s, _, _ in targets])).collect()
-    return sized, mixing.plan_mixture(targets, {r["source"]: (r["n"], r["tokens"]) for r in asked}, total), total
+    return sized, mixing.plan_mixture(targets, {r["source"]: (r["n"], r["tokens"]) for r in asked}, total, fill=True), total
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Of the sources frozen on the way to the target those whose limit is below their own share."""
     _, plan, _ = _mixture(spark, d)
-    return spark.createDataFrame([(x.source,) for x in plan if x.capped], "source string")
+    return spark.createDataFrame([(x.source,) for x in plan if x.frozen and x.capped], "source string")
 
 
 def _used(sized: DataFrame, plan: list[mixing.Share]) -> DataFrame:
@@ -92,17 +118,33 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return _used(sized, plan).select(F.col("id").alias("doc_id"), "source", F.col("size").alias("tokens"), "repeats")
 
 
+def _reached(sized: DataFrame, plan: list[mixing.Share]) -> DataFrame:
+    size, times = F.col("size"), F.col("repeats")
+    used = _used(sized, plan).groupBy("source").agg(F.sum(size * times).alias("used"), F.max("repeats").alias("most_repeats"), F.max("size").alias("largest"))
+    asked = sized.sparkSession.createDataFrame(
+        [(x.source, x.target_share, x.max_repeats, x.tokens, x.frozen, x.exponent, round(x.weight, 6), x.budget) for x in plan],
+        "source string, target_share double, max_repeats int, tokens long, frozen boolean, exponent double, weight double, budget long",
+    )
+    return asked.join(F.broadcast(used), "source", "left").fillna(0, ["used", "most_repeats", "largest"])
+
+
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Shares asked and reached: of the total asked for, and of what the mixture really holds."""
+    """Shares asked, planned and reached: of all tokens, and of what the mixture really holds."""
     sized, plan, total = _mixture(spark, d)
-    used = _used(sized, plan).groupBy("source").agg(F.sum(F.col("size") * F.col("repeats")).alias("used"), F.max("repeats").alias("most_repeats"))
-    asked = spark.createDataFrame(
-        [(x.source, x.target_share, x.max_repeats, x.tokens, x.capped, x.within) for x in plan],
-        "source string, target_share double, max_repeats int, tokens long, capped boolean, weight_within_limits double",
-    )
-    both = asked.join(F.broadcast(used), "source", "left").fillna(0, ["used", "most_repeats"])
-    all_used = both.agg(F.sum("used")).first()[0] or 1
-    return both.withColumn("share_of_total", F.col("used") / F.lit(float(total or 1))).withColumn("share_of_mixture", F.col("used") / F.lit(float(all_used)))
+    both = _reached(sized, plan).drop("largest")
+    all_used = F.sum("used").over(Window.partitionBy(F.lit(1)))  # one row per source of the target
+    return both.withColumn("share_of_total", F.col("used") / F.lit(float(total or 1))).withColumn("share_of_mixture", F.col("used") / F.greatest(all_used, F.lit(1)))
+
+
+def p8_budgets(spark: SparkSession, d: str) -> DataFrame:
+    """The plan, and whether what is used keeps it: within the limit of repeats, and short of the
+    budget by less than one record of the source at most."""
+    sized, plan, _ = _mixture(spark, d)
+    size = sized.groupBy("source").agg(F.max("tokens").alias("longest"))
+    both = _reached(sized, plan).join(size, "source", "left")
+    short = F.col("budget") - F.col("used")
+    kept = (F.col("most_repeats") <= F.coalesce("max_repeats", "most_repeats")) & (short >= 0) & (short < F.greatest(F.coalesce("longest", F.lit(0)), F.lit(1)))
+    return both.select("source", "target_share", "max_repeats", "tokens", "frozen", "budget", "weight", kept.alias("kept"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -121,9 +163,11 @@ QUERIES = {
     "p6_pairs": p6_pairs,
     "p7_containers": p7_containers,
     "p7_assigned": p7_assigned,
+    "p7_summary": p7_summary,
     "p8_found": p8_found,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p8_budgets": p8_budgets,
     "p9_found": p9_found,
     "p9_pieces": p9_pieces,
 }
@@ -159,6 +203,26 @@ SELECT t AS test_id, min(t) OVER (PARTITION BY s) AS class_id, (SELECT count(*)
     "p6_found": _TOGETHER + "SELECT function_a, function_b FROM found",
     "p6_pairs": _TOGETHER + "SELECT function_a, function_b, n_ab, n_a, n_b, round(n_ab * CAST(n AS DOUBLE) / (n_a * CAST(n_b AS DOUBLE)), 4) AS lift FROM found",
     "p7_assigned": f"SELECT doc_id, CAST(sum({_COUNT}) AS BIGINT) AS tokens, CAST(sum(greatest(1, ceil({_COUNT} / 2048.0))) AS BIGINT) AS n_pieces FROM documents GROUP BY doc_id",
+    "p7_summary": f"""
+SELECT CAST(coalesce(sum({_COUNT}), 0) AS BIGINT) AS tokens, CAST(coalesce(sum(greatest(1, ceil({_COUNT} / 2048.0))), 0) AS BIGINT) AS pieces,
+  CAST(0 AS BIGINT) AS over_full, CAST(0 AS BIGINT) AS not_whole, CAST(0 AS BIGINT) AS split_in_vain, TRUE AS near_bound FROM documents""",
+    "p8_budgets": f"""
+WITH sized AS (SELECT lower(trim(source)) AS s, {_COUNT} AS n FROM documents WHERE source IS NOT NULL),
+by_source AS (SELECT s, sum(n) AS n FROM sized GROUP BY s),
+total AS (SELECT CAST(sum(n) AS DOUBLE) AS n FROM by_source),
+asked AS (
+  SELECT m.source, target_share AS t, max_repeats, CAST(coalesce(b.n, 0) AS BIGINT) AS tokens, max_repeats * coalesce(b.n, 0) AS most,
+    row_number() OVER (ORDER BY max_repeats * coalesce(b.n, 0) / target_share, m.source) AS k
+  FROM mix_targets m LEFT JOIN by_source b ON b.s = m.source),
+steps AS (
+  SELECT asked.*, (total.n - coalesce(sum(most) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(t) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS scale FROM asked, total),
+level AS (SELECT coalesce(min(k), 1000) AS k FROM steps WHERE most >= scale * t),
+scale AS (SELECT steps.scale AS x FROM steps JOIN level USING (k)),
+plan AS (
+  SELECT source, t, max_repeats, tokens, steps.k < level.k AS frozen,
+    CAST(CASE WHEN steps.k < level.k THEN most ELSE round((SELECT x FROM scale) * t) END AS BIGINT) AS budget FROM steps, level)
+SELECT source, t AS target_share, max_repeats, tokens, frozen, budget, round(budget / total.n, 6) AS weight, TRUE AS kept FROM plan, total""",
     "p8_found": f"""
 WITH sized AS (SELECT lower(trim(source)) AS s, {_COUNT} AS n FROM documents WHERE source IS NOT NULL),
 by_source AS (SELECT s, sum(n) AS n FROM sized GROUP BY s)

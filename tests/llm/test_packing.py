@@ -5,7 +5,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from meshwright.llm.packing import best_fit, bin_completion, pack_items
+from meshwright.llm import copies
+from meshwright.llm.packing import best_fit, bin_completion, fill, lower_bound, pack_items
 
 
 def least_bins(sizes, cap):
@@ -48,6 +49,55 @@ def test_fills_better_than_best_fit():
     assert len(bin_completion(sizes)) <= len(best_fit(sorted(sizes, reverse=True), 2048))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=12), st.integers(0, 40))
+def test_fill_is_exact(sizes, room):
+    sums = {0}
+    for s in sizes:
+        sums |= {x + s for x in sums if x + s <= room}
+    chosen = fill(room, sorted(set(sizes)), Counter(sizes))
+    assert not Counter(chosen) - Counter(sizes) and sum(chosen) == max(sums)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=9))
+def test_bound_is_a_bound(sizes):
+    assert lower_bound(sizes, 20) <= least_bins(sizes, 20)
+
+
+def test_perfect_triples_are_found_again():
+    for seed in range(3):
+        rng, sizes = random.Random(seed), []
+        for _ in range(60):
+            a = rng.randint(780, 1000)
+            b = rng.randint(520, (2048 - a) // 2 + 100)
+            sizes += [a, b, 2048 - a - b]
+        assert len(bin_completion(sizes)) == 60
+        assert len(best_fit(sorted(sizes, reverse=True), 2048)) > 60
+
+
+def test_search_backs_out_of_a_bad_filling():
+    # the largest sizes first give 60 + 40, 50 + 30 + 20 and leave 50, 30, 20 apart from 45 + 55
+    sizes = [60, 55, 50, 50, 45, 40, 30, 30, 20, 20]
+    assert len(bin_completion(sizes, 100)) == lower_bound(sizes, 100) == 4
+
+
+def test_packing_does_not_follow_the_files(spark):
+    rng = random.Random(6)
+    rows = [(i % 200, rng.randrange(0, 60)) for i in range(500)] + [(7, 9)] * 20
+    df = spark.createDataFrame(rows, "doc long, n long")
+    laid = [df.repartition(1), df.repartition(5).sortWithinPartitions(F.desc("n"))]
+    out = [sorted((r.id, r.size, r.container_id) for r in pack_items(x, "doc", F.col("n"), capacity=100, batch_items=64, items_per_part=128).collect()) for x in laid]
+    assert out[0] == out[1]
+
+
+def test_copies_are_numbered(spark, monkeypatch):
+    monkeypatch.setattr(copies, "STRETCH", 3)
+    df = spark.createDataFrame([(1, "a")] * 8 + [(2, None)] * 3 + [(3, "b")], "k long, v string")
+    out = sorted((r.k, r.copy) for r in copies.numbered_copies(df, ("k", "v")).collect())
+    assert out == [(1, i) for i in range(8)] + [(2, i) for i in range(3)] + [(3, 0)]
+
+
 def check(spark, rows, cap=100, **options):
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc long, n long, id string, piece int")
     out = pack_items(df, "doc", F.col("n"), capacity=cap, **options).collect()
