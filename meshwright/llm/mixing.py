@@ -103,15 +103,14 @@ def follow(natural: list[float], target: list[float], most: list[float], fill: b
         beyond = at(reached) if not holds(reached) else at(min(1.0, reached + 1e-9))
         tightest = max(w / most[i] if most[i] else math.inf for i, w in beyond.items())
         frozen |= {i: reached for i, w in beyond.items() if (w / most[i] if most[i] else math.inf) >= tightest * (1 - 1e-9)}
-    scale = 1.0
-    while fill:
+    while True:
         free = sum(t for i, t in enumerate(target) if i not in frozen)
-        scale = max(0.0, 1 - sum(most[i] for i in frozen if i not in none)) / free if free else math.inf
+        scale = 1.0 if not fill else max(0.0, 1 - sum(most[i] for i in frozen if i not in none)) / free if free else math.inf
         loose = [i for i in frozen if i not in none and scale * target[i] < most[i] * (1 - 1e-12)]
         over = [i for i, t in enumerate(target) if i not in frozen and scale * t > most[i] * (1 + 1e-12)]
         if not loose and not over:
             break
-        for i in loose:  # either step raises the scale, so this ends
+        for i in loose:  # neither step lowers the scale, so this ends
             del frozen[i]
         frozen |= dict.fromkeys(over, 1.0)
     weights = [0.0 if i in none else most[i] if i in frozen else scale * t for i, t in enumerate(target)]
