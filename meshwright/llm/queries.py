@@ -156,6 +156,18 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.split_items(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p9_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Per text that is split: whether its pieces keep the limit, repeat what they should, leave no
+    gap, and whether there are at most half as many again as the least number."""
+    pieces = chunking.split_items(table(spark, d, "documents"), "doc_id", "text", texts=False).groupBy("doc_id")
+    own = F.col("end_token") - F.col("own_token")
+    again = (F.col("piece") == 0) | (F.col("own_token") - F.col("start_token") == chunking.OVERLAP)
+    sums = pieces.agg(F.sum(own).alias("tokens"), F.max("n_tokens").alias("most"), F.bool_and(again).alias("repeats"), F.count(F.lit(1)).alias("n"), F.max("end_token").alias("upto"), F.max("n_pieces").alias("told"))
+    least = F.ceil((F.col("tokens") - chunking.OVERLAP) / (chunking.LIMIT - chunking.OVERLAP))
+    whole = (F.col("upto") == F.col("tokens")) & (F.col("n") == F.col("told"))
+    return sums.select("doc_id", "tokens", (F.col("most") <= chunking.LIMIT).alias("within"), "repeats", whole.alias("whole"), (F.col("n") * 2 <= least * 3 + 1).alias("few"))
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p4_classes": p4_classes,
@@ -170,6 +182,7 @@ QUERIES = {
     "p8_budgets": p8_budgets,
     "p9_found": p9_found,
     "p9_pieces": p9_pieces,
+    "p9_kept": p9_kept,
 }
 
 _RUNS = """
@@ -228,5 +241,6 @@ WITH sized AS (SELECT lower(trim(source)) AS s, {_COUNT} AS n FROM documents WHE
 by_source AS (SELECT s, sum(n) AS n FROM sized GROUP BY s)
 SELECT m.source FROM mix_targets m LEFT JOIN by_source b ON b.s = m.source
 WHERE m.max_repeats * coalesce(b.n, 0) < m.target_share * (SELECT sum(n) FROM by_source)""",
+    "p9_kept": f"SELECT doc_id, CAST({_COUNT} AS BIGINT) AS tokens, TRUE AS within, TRUE AS repeats, TRUE AS whole, TRUE AS few FROM documents WHERE {_COUNT} > 512",
     "p9_found": f"SELECT DISTINCT doc_id FROM documents WHERE {_COUNT} > 512",
 }
