@@ -69,7 +69,7 @@ def signatures(flat: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> n
 
 
 def _band_rows(bands: int, rows: int):
-    schema = pa.schema([("band", pa.int32()), ("bucket", pa.int64()), ("cid", pa.int64()), ("n", pa.int32()), ("side", pa.int32())])
+    schema = pa.schema([("bucket", pa.int64()), ("cid", pa.int64()), ("n", pa.int32()), ("side", pa.int32())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -79,13 +79,72 @@ def _band_rows(bands: int, rows: int):
                 offsets = items.offsets.to_numpy()
                 flat = items.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64)
                 words = signatures(flat, offsets[:-1] - offsets[0], bands, rows)
-                columns = [np.repeat(np.arange(bands, dtype=np.int32), batch.num_rows), words.reshape(-1).view(np.int64)]
-                columns += [np.tile(batch.column(c).to_numpy(), bands) for c in ("cid", "n", "side")]
+                columns = [words.reshape(-1).view(np.int64), *(np.tile(batch.column(c).to_numpy(), bands) for c in ("cid", "n", "side"))]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
     return emit
 
 
+#: Stands for the partner of a class of a large bucket, whose pairs are made otherwise.
+APART = -1
+
+
+def _pair_up(bucket: int, t: Fraction, two_sided: bool):
+    """Rows sorted by bucket and size -> the candidate pairs of small buckets, and the classes of
+    large ones, each with ``APART``. A large bucket is passed on as it comes and never held."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64())])
+
+    def out(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(a), 100_000):
+            cut = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (a, b, key)], schema=schema)
+
+    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, cid, n, side = rows
+        if not len(key):
+            return
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.repeat(np.diff(np.append(starts, len(key))), np.diff(np.append(starts, len(key))))
+        apart = size > bucket
+        yield from out(cid[apart], np.full(apart.sum(), APART), key[apart])
+        key, cid, n, side = (x[(size > 1) & ~apart] for x in rows)
+        for step in range(1, bucket):
+            met = np.flatnonzero(key[step:] == key[:-step]) if len(key) > step else ()
+            if not len(met):
+                return
+            far = met + step
+            good = n[met] * t.denominator >= n[far] * t.numerator
+            if two_sided:
+                good &= side[met] != side[far]
+            yield from out(cid[met[good]], cid[far[good]], key[met[good]])
+
+    def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, hot = None, None
+        for batch in batches:
+            rows = [batch.column(c).to_numpy().astype(np.int64) for c in ("bucket", "cid", "n", "side")]
+            if hot is not None:
+                more = rows[0] == hot
+                yield from out(rows[1][more], np.full(more.sum(), APART), rows[0][more])
+                if more.all():
+                    continue
+                rows, hot = [x[~more] for x in rows], None
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows)]
+            if not len(rows[0]):
+                continue
+            last = rows[0] == rows[0][-1]
+            if last.sum() > bucket:
+                held, hot = None, rows[0][-1]
+                yield from pairs(rows)
+            else:
+                held = [x[last] for x in rows]
+                yield from pairs([x[~last] for x in rows])
+        if held is not None:
+            yield from pairs(held)
+
+    return pair_up
+
+
 def _fraction(threshold: float | str) -> Fraction:
     return Fraction(str(threshold))
 
@@ -149,27 +208,18 @@ def similar_sets(
     classes = ws.write(grouped.select(F.monotonically_increasing_id().alias("cid"), "side", "items", F.size("items").alias("n"), "rep", "n_records"), "classes")
     members = sets.join(classes.select("side", "items", "cid"), ["side", "items"]).select("record", "cid", "side")
 
-    kinds = "band int, bucket long, cid long, n int, side int"
-    banded = ws.write(classes.select("cid", "items", "n", "side").mapInArrow(_band_rows(bands, rows_per_band), kinds), "bands")
-    met = banded.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = ws.write(banded.join(met, ["band", "bucket"]), "shared")
-
-    def ordered_pair(x: str, y: str) -> Column:
-        smaller = (F.col(f"{x}.n") < F.col(f"{y}.n")) | ((F.col(f"{x}.n") == F.col(f"{y}.n")) & (F.col(f"{x}.cid") < F.col(f"{y}.cid")))
-        near = F.col(f"{x}.n") * F.lit(t.denominator) >= F.col(f"{y}.n") * F.lit(t.numerator)
-        return smaller & near & (F.lit(True) if other is None else F.col(f"{x}.side") != F.col(f"{y}.side"))
-
-    def pairs(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-        match = ordered_pair("x", "y")
-        for c in on:
-            match = match & (F.col(f"x.{c}") == F.col(f"y.{c}"))
-        return left.alias("x").join(right.alias("y"), match).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+    banded = classes.select("cid", "items", "n", "side").mapInArrow(_band_rows(bands, rows_per_band), "bucket long, cid long, n int, side int")
+    laid = banded.repartition("bucket").sortWithinPartitions("bucket", "n", "cid")
+    met = ws.write(laid.mapInArrow(_pair_up(bucket, t, other is not None), "a long, b long, bucket long"), "met")
 
-    small = shared.where(F.col("size") <= bucket)
-    large = shared.where(F.col("size") > bucket).join(classes.select("cid", "items"), "cid")
+    large = met.where(F.col("b") == APART).select(F.col("a").alias("cid"), "bucket").join(classes.select("cid", "items", "n", "side"), "cid")
     first = large.withColumn("item", F.explode(F.slice("items", F.lit(1), F.col("n") - _at_least(F.col("n"), 2 * t / (1 + t)) + 1))).drop("items")
     probe = large.withColumn("item", F.explode(F.slice("items", F.lit(1), F.col("n") - _at_least(F.col("n"), t) + 1))).drop("items")
-    found = pairs(small, small, ["band", "bucket"]).unionByName(pairs(first, probe, ["band", "bucket", "item"])).distinct()
+    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.cid") < F.col("y.cid")))
+    match = smaller & (F.col("x.n") * F.lit(t.denominator) >= F.col("y.n") * F.lit(t.numerator)) & (F.lit(True) if other is None else F.col("x.side") != F.col("y.side"))
+    match = match & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.item") == F.col("y.item"))
+    split = first.alias("x").join(probe.alias("y"), match).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+    found = met.where(F.col("b") != APART).select("a", "b").unionByName(split).distinct()
 
     left = classes.select(F.col("cid").alias("a"), F.col("items").alias("ia"), F.col("n").alias("na"))
     right = classes.select(F.col("cid").alias("b"), F.col("items").alias("ib"), F.col("n").alias("nb"))
