@@ -1,14 +1,18 @@
 """Parent-child links to full hierarchies.
 
-Weighted disjoint-set forests: each partition folds its own links into a forest whose entries
-hold the offset to their local top. The forests are then merged level by level: an open top is
-looked up among the entries of all forests, which doubles the reach of every entry, so a chain
-of length n needs log2(n) merges at most. Circles show up inside a partition when a link meets
-its own top, across partitions when a merge resolves nothing more.
+Weighted disjoint-set forests, merged hierarchically. Links are cut into ranges of ids; a task
+folds those of its range into a forest whose entries hold the offset to their local top. Of these
+forests only the entries that are tops elsewhere go on to the next level, as links that skip what
+was folded already, and there ``FAN_IN`` ranges meet in one task; so levels shrink up to one
+forest. Going back down, an entry looks up its top one level above once. Where a level is still
+too large for a task and no longer shrinks, doubling takes over: an open top is looked up among
+all entries of the level, and a chain of length n needs log2(n) such rounds at most. Circles show
+up when a link meets its own top, in the doubling when a round resolves nothing more.
 
 Only nodes that have a parent and are one take part in merging; leaves are resolved by a single
 lookup of their parent, roots are known beforehand. The hot case, a base with a third of all
-classes below it, is therefore never a key of the iterated joins on its leaves.
+classes below it, is therefore never a key of the iterated joins on its leaves, and the lookup
+takes hot bases apart (``lookups``).
 """
 
 from __future__ import annotations
@@ -21,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshwright.operators.lookups import look_up
 from meshwright.runtime import Workspace
 
-#: Links folded by one task; the number of partitions follows from it.
-LINKS_PER_PARTITION = 400_000
+#: Links folded by one task at most; forests of the first level at least; forests merged into one.
+LINKS_PER_PARTITION, LEAST_FORESTS, FAN_IN = 400_000, 16, 4
 
 OPEN, ROOTED, CIRCLE = "open", "rooted", "circle"
 
@@ -32,7 +37,9 @@ OPEN, ROOTED, CIRCLE = "open", "rooted", "circle"
 class WeightedForest:
     """Disjoint sets over links child -> parent with offsets to the top of each set.
 
-    Every child has one parent, so a child is the top of its own set until it is linked.
+    Every child has one parent, so a child is the top of its own set until it is linked. A link
+    may stand for several: ``links`` of them, ``least`` the smallest child among these, ``passed``
+    the ids from the first parent up to ``parent``.
     """
 
     def __init__(self) -> None:
@@ -54,24 +61,30 @@ class WeightedForest:
             self.above[entry] = (top, offset, low)
         return top, offset, low
 
-    def add(self, child, parent) -> None:
-        self.link_of[child] = parent
+    def add(self, child, parent, links: int = 1, least=None, passed: list | None = None) -> None:
+        least = child if least is None else least
+        self.link_of[child] = (parent, least, passed)
         top, _, _ = self.find(parent)
         if top == child:
-            least, at = child, parent
+            at = parent
             while at != child:
-                least = min(least, at)
-                at = self.link_of[at]
+                at, low, _ = self.link_of[at]
+                least = min(least, low)
             self.circles[child] = least
         else:
-            self.above[child] = (parent, 1, child)
+            self.above[child] = (parent, links, least)
+
+    def close(self, child, least: str) -> None:
+        """A child known to lead into the circle with this least id."""
+        self.link_of[child] = (child, least, None)
+        self.circles[child] = least
 
     def walk(self, child, top) -> list:
-        """Entries from the parent of ``child`` to ``top``."""
+        """Ids from the parent of ``child`` to ``top``."""
         out, at = [], child
         while at != top:
-            at = self.link_of[at]
-            out.append(at)
+            at, _, passed = self.link_of[at]
+            out += [at] if passed is None else passed
         return out
 
 
@@ -83,17 +96,20 @@ def _fold(paths: bool):
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = WeightedForest()
         for batch in batches:
-            for g, c, p in zip(*(batch.column(k).to_pylist() for k in ("g", "c", "p"))):
-                forest.add((g, c), (g, p))
+            for g, c, top, off, lo, state, *seg in zip(*(batch.column(k).to_pylist() for k in names)):
+                if state == CIRCLE:
+                    forest.close((g, c), top)
+                else:
+                    forest.add((g, c), (g, top), off, lo, *seg)
         rows = []
         for entry in forest.link_of:
             top, off, low = forest.find(entry)
             if top in forest.circles:
-                row = [*entry, forest.circles[top][1], -1, None, CIRCLE] + [None] * paths
+                row = [*entry, forest.circles[top], -1, None, CIRCLE] + [None] * paths
             else:
-                row = [*entry, top[1], off, low[1], OPEN]
+                row = [*entry, top[1], off, low, OPEN]
                 if paths:
-                    row.append([x[1] for x in forest.walk(entry, top)])
+                    row.append(forest.walk(entry, top))
             rows.append(row)
             if len(rows) == 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], schema=schema)
@@ -104,14 +120,14 @@ def _fold(paths: bool):
     return fold
 
 
-def _merge(cur: DataFrame, paths: bool) -> DataFrame:
-    """Look up every open top among the entries: reach doubles, resolved tops end the way."""
+def _merge(cur: DataFrame, known: DataFrame, paths: bool) -> DataFrame:
+    """Look up every open top among ``known`` entries; a top that is none of them is a root."""
     still = cur.where(F.col("state") == OPEN)
     done = cur.where(F.col("state") != OPEN)
-    at = cur.select(F.col("g").alias("g2"), F.col("c").alias("c2"), *[F.col(x).alias(x + "2") for x in ("top", "off", "lo", "state", *["seg"] * paths)])
-    hit = F.col("c2").isNotNull()
+    at = known.select("g", F.col("c").alias("top"), F.col("top").alias("top2"), *[F.col(x).alias(x + "2") for x in ("off", "lo", "state", *["seg"] * paths)])
+    hit = F.col("state2").isNotNull()
     into_circle = hit & (F.col("state2") == CIRCLE)
-    moved = still.join(at, (still.g == at.g2) & (still.top == at.c2), "left").select(
+    moved = look_up(still, at, ["g", "top"], "left").select(
         "g",
         "c",
         F.when(hit, F.col("top2")).otherwise(F.col("top")).alias("top"),
@@ -123,6 +139,44 @@ def _merge(cur: DataFrame, paths: bool) -> DataFrame:
     return done.unionByName(moved)
 
 
+def _double(ws: Workspace, cur: DataFrame, paths: bool) -> DataFrame:
+    """All entries of a level resolved by lookups among themselves."""
+    left = cur.where(F.col("state") == OPEN).count()
+    while left:
+        step = ws.write(_merge(cur, cur, paths), "merge")
+        cur, before, left = step, left, step.where(F.col("state") == OPEN).count()
+        if left == before:
+            return ws.write(_close_circles(ws, cur, paths), "closed")
+    return cur
+
+
+def _resolve(ws: Workspace, links: DataFrame, paths: bool, per_task: int) -> DataFrame:
+    """Top, offset and state of every link, by levels of forests."""
+    kinds = "g string, c string, top string, off long, lo string, state string" + ", seg array<string>" * paths
+    n = links.count()
+    parts = max(LEAST_FORESTS, math.ceil(n / per_task))
+    levels: list[DataFrame] = []
+    while True:
+        laid = links.repartitionByRange(parts, "g", "c") if parts > 1 else links.coalesce(1)
+        level = ws.write(laid.mapInArrow(_fold(paths), kinds), "forest")
+        if parts == 1:
+            levels.append(level.withColumn("state", F.when(F.col("state") == OPEN, F.lit(ROOTED)).otherwise(F.col("state"))))
+            break
+        levels.append(level)
+        tops = level.where(F.col("state") == OPEN).select("g", F.col("top").alias("c")).distinct()
+        links = ws.write(level.join(tops, ["g", "c"], "left_semi").select(*level.columns), "tops")
+        before, n = n, links.count()
+        fewer = max(math.ceil(n / per_task), math.ceil(parts / FAN_IN))
+        if n == before and fewer > 1 and fewer == math.ceil(n / per_task):
+            levels.append(_double(ws, links, paths))
+            break
+        parts = fewer if n else 1
+    known = levels.pop()
+    while levels:
+        known = ws.write(_merge(levels.pop(), known, paths), "resolved")
+    return known
+
+
 def _close_circles(ws: Workspace, cur: DataFrame, paths: bool) -> DataFrame:
     """What is still open leads into circles that cross partitions.
 
@@ -196,29 +250,17 @@ def hierarchy(
     parents = ws.write(table.select("g", F.col("p").alias("c")).distinct(), "parents")
     inner = ws.write(table.join(parents, ["g", "c"], "left_semi"), "inner")
 
-    parts = max(1, math.ceil(inner.count() / links_per_partition))
-    kinds = "g string, c string, top string, off long, lo string, state string" + ", seg array<string>" * paths
-    cur = ws.write(inner.repartition(parts, "g", "c").mapInArrow(_fold(paths), kinds), "forest")
-    if parts == 1:
-        cur = cur.withColumn("state", F.when(F.col("state") == OPEN, F.lit(ROOTED)).otherwise(F.col("state")))
-    else:
-        left = cur.where(F.col("state") == OPEN).count()
-        while left:
-            step = ws.write(_merge(cur, paths), "merge")
-            ws.drop(cur)
-            cur, before, left = step, left, step.where(F.col("state") == OPEN).count()
-            if left == before:
-                cur = ws.write(_close_circles(ws, cur, paths), "closed")
-                break
+    start = [F.lit(1).cast("long").alias("off"), F.col("c").alias("lo"), F.lit(OPEN).alias("state"), *[F.array("p").alias("seg")] * paths]
+    cur = _resolve(ws, inner.select("g", "c", F.col("p").alias("top"), *start), paths, links_per_partition)
 
     seg = ["seg"] * paths
     roots = parents.join(table, ["g", "c"], "left_anti").select(
         "g", "c", F.col("c").alias("top"), F.lit(0).cast("long").alias("off"), *[F.array().cast("array<string>").alias("seg")] * paths
     )
     known = roots.unionByName(cur.select("g", "c", "top", "off", *seg))
-    leaves = table.join(parents, ["g", "c"], "left_anti")
-    above = known.select(F.col("g").alias("g2"), F.col("c").alias("c2"), "top", "off", *seg)
-    placed = leaves.join(above, (leaves.g == above.g2) & (leaves.p == above.c2)).select(
+    leaves = ws.write(table.join(parents, ["g", "c"], "left_anti").select("g", "c", "p"), "leaves")
+    above = known.select("g", F.col("c").alias("p"), "top", "off", *seg)
+    placed = look_up(leaves, above, ["g", "p"]).select(
         "g", "c", "top", F.when(F.col("off") < 0, F.lit(-1)).otherwise(F.col("off") + 1).cast("long").alias("off"),
         *[F.when(F.col("off") >= 0, F.concat(F.array("p"), "seg")).alias("seg")] * paths,
     )

@@ -111,3 +111,33 @@ def test_offsets():
     assert f.find("d") == ("top", 4, "a") and f.find("d") == ("top", 4, "a")
     f.add("top", "c")
     assert f.circles == {"top": "a"}
+
+
+def test_levels_that_do_not_shrink_are_doubled(spark):
+    # more links than a task may hold at every level: the last of them can't be folded into one
+    links = random_links(5, 60)
+    assert run(spark, links, links_per_partition=1) == walk(links)
+
+
+def test_links_that_stand_for_several():
+    f = WeightedForest()
+    f.add("a", "d", 3, "a", ["b", "c", "d"])
+    f.add("d", "f", 2, "d", ["e", "f"])
+    f.close("x", "w")
+    f.add("y", "x", 1, "y", ["x"])
+    assert f.find("a") == ("f", 5, "a") and f.walk("a", "f") == ["b", "c", "d", "e", "f"]
+    assert f.find("y")[0] == "x" and f.circles["x"] == "w"
+    f.add("f", "a", 1, "0", ["a"])
+    assert f.circles["f"] == "0"
+
+
+def test_lookup_takes_hot_keys_apart(spark, monkeypatch):
+    from meshwright.operators import lookups
+
+    monkeypatch.setattr(lookups, "FEW", 5)
+    rows = [(1, "hot", i) for i in range(40)] + [(1, f"k{i}", i) for i in range(20)] + [(2, None, 0), (2, "hot", 1), (1, "gone", 1)] + [(3, "lost", i) for i in range(30)]
+    left = spark.createDataFrame(rows, "g int, k string, v int")
+    right = spark.createDataFrame([(1, "hot", "h"), (2, "hot", "h2"), *[(1, f"k{i}", f"x{i}") for i in range(25)]], "g int, k string, name string")
+    for how in ("inner", "left"):
+        want = sorted(map(str, left.join(right, ["g", "k"], how).collect()))
+        assert sorted(map(str, lookups.look_up(left, right, ["g", "k"], how).collect())) == want
