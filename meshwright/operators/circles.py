@@ -1,8 +1,10 @@
 """Circles and cut vertices.
 
-Strongly connected components: what is not on a circle is trimmed in rounds; once the rest fits
-into one task it is finished there, else by colouring: the greatest id spreads along edges, and
-of all nodes of a colour those that lead back to its origin are one component.
+Strongly connected components: what is not on a circle is trimmed in rounds. In the rest the
+greatest id spreads along the edges and, in the same rounds, against them. The node that named
+both labels of another lies on circles with it: these are components. Edges between nodes with
+different labels are on no circle and are cut, and what is left starts again in smaller pieces.
+A piece of few edges is finished by the task that has it.
 
 Cut vertices: partitions reduce their edges to a certificate, a breadth-first forest and a
 spanning forest of the rest. Certificates of certificates keep which nodes any single removal
@@ -17,11 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.operators.sweeps import reach, reverse
-from meshwright.runtime import Workspace
+from meshwright.runtime import Workspace, lay_out
 
-#: Edges up to which the untrimmed rest of all snapshots is finished in one task per snapshot.
-LOCAL_EDGES = 1_000_000
+#: Edges of a piece up to which one task finishes it.
+PIECE = 20_000
 
 
 def strong_components(adj: dict) -> list[list]:
@@ -76,50 +77,72 @@ def _finish(pdf: pd.DataFrame) -> pd.DataFrame:
     return out[["snapshot", "id", "component"]]
 
 
-def scc(adj: DataFrame, *, local_edges: int = LOCAL_EDGES, trims: int = 3) -> DataFrame:
-    """(snapshot, id, component) of nodes on circles through others, named by the least id."""
+def scc(adj: DataFrame, *, local_edges: int = PIECE, trims: int = 3) -> DataFrame:
+    """(snapshot, id, component) of nodes on circles through others, named by the least id.
+
+    Pieces of at most ``local_edges`` edges, at first the trimmed edges of a snapshot, are finished
+    by one task each; 0 leaves everything to the rounds.
+    """
     spark = adj.sparkSession
     ws = Workspace(spark, "scc")
     kinds = f"snapshot {adj.schema['snapshot'].dataType.simpleString()}, id string, component string"
-    rest = ws.write(adj.where("s <> d").distinct(), "edges")
-    found, n = [], rest.count()
+    rest, seen = ws.write_counted(adj.where("s <> d").select("snapshot", F.lit("").alias("piece"), "s", "d").distinct(), "edges")
+    found, n = [], seen["n"]
     while n:
         for _ in range(trims):
             into = rest.select("snapshot", F.col("d").alias("s")).distinct()
             out = rest.select("snapshot", F.col("s").alias("d")).distinct()
-            cut = ws.write(rest.join(into, ["snapshot", "s"], "left_semi").join(out, ["snapshot", "d"], "left_semi").select("snapshot", "s", "d"), "edges")
+            kept = rest.join(into, ["snapshot", "s"], "left_semi").join(out, ["snapshot", "d"], "left_semi")
+            cut, seen = ws.write_counted(kept.select("snapshot", "piece", "s", "d"), "edges")
             ws.drop(rest)
-            rest, before, n = cut, n, cut.count()
+            rest, before, n = cut, n, seen["n"]
             if n == before:
                 break
-        if n <= local_edges:
-            found.append(rest.groupBy("snapshot").applyInPandas(_finish, kinds))
+        if local_edges:
+            small = rest.groupBy("snapshot", "piece").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= local_edges).select("snapshot", "piece")
+            own = rest.join(small, ["snapshot", "piece"], "left_semi")
+            found.append(ws.write(own.groupBy("snapshot", "piece").applyInPandas(_finish, kinds), "found"))
+            rest, seen = ws.write_counted(rest.join(small, ["snapshot", "piece"], "left_anti").select("snapshot", "piece", "s", "d"), "edges")
+            n = seen["n"]
+        if not n:
             break
-        colours = ws.write(rest.select("snapshot", F.col("s").alias("id")).unionByName(rest.select("snapshot", F.col("d").alias("id"))).distinct().withColumn("colour", F.col("id")), "colours")
-        while True:
-            given = rest.join(colours.withColumnRenamed("id", "s"), ["snapshot", "s"]).groupBy("snapshot", F.col("d").alias("id")).agg(F.max("colour").alias("c2"))
-            step = ws.write(colours.join(given, ["snapshot", "id"], "left").select("snapshot", "id", F.greatest("colour", "c2").alias("colour"), (F.col("c2") > F.col("colour")).alias("moved")), "colours")
-            ws.drop(colours)
-            colours = step.drop("moved")
-            if step.where("moved").isEmpty():
-                break
-        cs = colours.select("snapshot", F.col("id").alias("s"), F.col("colour").alias("cs"))
-        cd = colours.select("snapshot", F.col("id").alias("d"), F.col("colour").alias("cd"))
-        same = rest.join(cs, ["snapshot", "s"]).join(cd, ["snapshot", "d"]).where("cs = cd")
-        origin = colours.where("id = colour").select("snapshot", "id")
-        members = reach(reverse(same.select("snapshot", "s", "d")), origin).join(colours, ["snapshot", "id"])
-        sizes = members.groupBy("snapshot", "colour").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        done = ws.write(members.join(sizes, ["snapshot", "colour"]).select("snapshot", "id", "component"), "found")
-        found.append(done)
-        left = rest.join(members.select("snapshot", F.col("id").alias("s")), ["snapshot", "s"], "left_anti").join(members.select("snapshot", F.col("id").alias("d")), ["snapshot", "d"], "left_anti")
-        rest = ws.write(left.select("snapshot", "s", "d"), "edges")
-        n = rest.count()
+        labels = _labels(ws, rest)
+        members = labels.where("forward = backward").select("snapshot", "id", F.col("forward").alias("label"))
+        least = members.groupBy("snapshot", "label").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        found.append(ws.write(members.join(least, ["snapshot", "label"]).select("snapshot", "id", "component"), "found"))
+        both = F.concat_ws("\x1f", "forward", "backward")
+        ends = [labels.where("forward <> backward").select("snapshot", F.col("id").alias(x), both.alias(f"label_{x}")) for x in ("s", "d")]
+        left = rest.join(ends[0], ["snapshot", "s"]).join(ends[1], ["snapshot", "d"]).where("label_s = label_d")
+        rest, seen = ws.write_counted(left.select("snapshot", F.col("label_s").alias("piece"), "s", "d"), "edges")
+        n = seen["n"]
     if not found:
         return spark.createDataFrame([], kinds)
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out
+    return ws.together(found)
+
+
+def _labels(ws: Workspace, edges: DataFrame) -> DataFrame:
+    """(snapshot, id, forward, backward): the greatest id that leads to a node, and that it leads to.
+
+    Nodes whose labels grew in a round are all that send in the next one.
+    """
+    there = edges.select("snapshot", "s", "d", F.lit(True).alias("along"))
+    back = edges.select("snapshot", F.col("d").alias("s"), F.col("s").alias("d"), F.lit(False).alias("along"))
+    links = lay_out(there.unionByName(back), "snapshot", "s")
+    ids = links.select("snapshot", F.col("s").alias("id")).distinct()
+    labels, seen = ws.write_counted(ids.select("snapshot", "id", F.col("id").alias("forward"), F.col("id").alias("backward"), F.lit(True).alias("f"), F.lit(True).alias("b")), "labels")
+    grew = seen["n"]
+    while grew:
+        sent = links.join(labels.where("f OR b").withColumnRenamed("id", "s"), ["snapshot", "s"])
+        sent = sent.where((F.col("along") & F.col("f")) | (~F.col("along") & F.col("b"))).groupBy("snapshot", F.col("d").alias("id"))
+        came = sent.agg(F.max(F.when(F.col("along"), F.col("forward"))).alias("f2"), F.max(F.when(~F.col("along"), F.col("backward"))).alias("b2"))
+        moved = [F.coalesce(F.col(new) > F.col(old), F.lit(False)).alias(flag) for new, old, flag in (("f2", "forward", "f"), ("b2", "backward", "b"))]
+        step = labels.drop("f", "b").join(came, ["snapshot", "id"], "left")
+        step = step.select("snapshot", "id", F.greatest("forward", "f2").alias("forward"), F.greatest("backward", "b2").alias("backward"), *moved)
+        step, seen = ws.write_counted(step, "labels", grew=F.count_if(F.col("f") | F.col("b")))
+        ws.drop(labels)
+        labels, grew = step, seen["grew"]
+    links.unpersist()
+    return labels
 
 
 def certificate(edges: list[tuple]) -> list[tuple]:

@@ -1,8 +1,8 @@
 """Sweeps over one graph that fits into a task: the bounded twin of the rounds in ``sweeps``.
 
-A round of joins costs about half a second whatever it moves, so a graph whose edges are few is
-swept by one Arrow task per snapshot instead. The bound is checked before; both ways give the same
-rows, and tests hold them against each other.
+A round of joins costs about a third of a second whatever it moves, so a graph whose edges are few
+can be swept by one Arrow task per snapshot instead, on request or, for lanes, by default. The bound
+is checked before; both ways give the same rows, and tests hold them against each other.
 """
 
 from __future__ import annotations

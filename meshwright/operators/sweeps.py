@@ -1,8 +1,10 @@
 """Sweeps over the graph: closures, ranks, components, circles and paths, by rounds of joins.
 
 A round writes its result to the shared folder, so plans stay short and lost executors cost one
-round. All sweeps run over all snapshots at once, keyed by (snapshot, id). A graph of at most
-``local_edges`` edges is swept by the kernels instead, one task per snapshot.
+round; the same job tells how many rows it found. Edges are laid out by their start once, so that
+a round moves the frontier and not the graph. All sweeps run over all snapshots at once, keyed by
+(snapshot, id). With ``local_edges``, a graph of at most so many edges is swept by the kernels
+instead, one task per snapshot; but for ``lane_reach`` the default is the rounds, at every size.
 """
 
 from __future__ import annotations
@@ -10,12 +12,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshwright.operators import kernels
 from meshwright.operators.kernels import LOCAL_EDGES
-from meshwright.runtime import Workspace
+from meshwright.runtime import Workspace, lay_out
+
+#: Written frontiers after which what was seen is put together into one table.
+COMPACT = 16
 
 
 def _in_one_task(left: DataFrame, right: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], columns: str) -> DataFrame:
@@ -24,56 +29,72 @@ def _in_one_task(left: DataFrame, right: DataFrame, kernel: Callable[[pd.DataFra
     return left.groupBy("snapshot").cogroup(right.groupBy("snapshot")).applyInPandas(kernel, f"snapshot {kind}, {columns}")
 
 
+def _fits(edges: DataFrame, local_edges: int) -> bool:
+    return local_edges > 0 and edges.count() <= local_edges
+
+
 def reverse(adj: DataFrame) -> DataFrame:
     return adj.select("snapshot", F.col("d").alias("s"), F.col("s").alias("d"))
 
 
-def reach(adj: DataFrame, seeds: DataFrame, *, rounds: int | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """(snapshot, id, hops): all that can be reached from the seeds, themselves included.
+def reach(adj: DataFrame, seeds: DataFrame, *, rounds: int | None = None, local_edges: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
+    """(snapshot, by..., id, hops): all that can be reached from the seeds, themselves included.
 
-    ``adj``: (snapshot, s, d); ``seeds``: (snapshot, id). The frontier alone is joined in a
-    round, and what was seen before is taken out of it, so every edge is followed once.
+    ``adj``: (snapshot, by..., s, d); ``seeds``: (snapshot, by..., id). ``by`` names what keeps
+    several sweeps apart that run in the same rounds. The frontier alone is joined in a round, and
+    what was seen before is taken out of it, so every edge is followed once.
     """
     ws = Workspace(adj.sparkSession, "reach")
-    adj = ws.write(adj.distinct(), "adjacency")
-    if rounds is None and adj.count() <= local_edges:
+    keys = ["snapshot", *by]
+    if rounds is None and not by and _fits(adj, local_edges):
         start = seeds.select("snapshot", "id").distinct()
-        return ws.write(_in_one_task(adj, start, kernels.reach, "id string, hops int"), "reached")
-    frontier = ws.write(seeds.select("snapshot", "id", F.lit(0).alias("hops")).distinct(), "frontier")
+        return ws.write(_in_one_task(adj.distinct(), start, kernels.reach, "id string, hops int"), "reached")
+    links = lay_out(adj.select(*keys, "s", "d"), *keys, "s")
+    frontier, found = ws.write_counted(seeds.select(*keys, "id", F.lit(0).alias("hops")).distinct(), "frontier")
     seen, hops = [frontier], 0
-    while rounds is None or hops < rounds:
+    while found["n"] and (rounds is None or hops < rounds):
         hops += 1
-        known = ws.together(seen).select("snapshot", "id")
-        step = frontier.select("snapshot", F.col("id").alias("s")).join(adj, ["snapshot", "s"]).select("snapshot", F.col("d").alias("id")).distinct()
-        frontier = ws.write(step.join(known, ["snapshot", "id"], "left_anti").select("snapshot", "id", F.lit(hops).alias("hops")), "frontier")
-        if frontier.isEmpty():
-            break
+        if len(seen) == COMPACT:
+            seen = [ws.write(ws.together(seen), "seen")]
+        known = ws.together(seen).select(*keys, "id")
+        step = frontier.select(*keys, F.col("id").alias("s")).join(links, [*keys, "s"]).select(*keys, F.col("d").alias("id")).distinct()
+        frontier, found = ws.write_counted(step.join(known, [*keys, "id"], "left_anti").select(*keys, "id", F.lit(hops).alias("hops")), "frontier")
         seen.append(frontier)
+    links.unpersist()
     return ws.together(seen)
 
 
 def lane_reach(adj: DataFrame, seeds: DataFrame, *, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(snapshot, word, id, mask): closures of many groups at once, 64 of them to a word.
 
+    The rows follow groups times nodes, not edges, so here the kernel is the default for graphs of
+    few edges; ``local_edges`` = 0 takes the rounds at every size.
+
     ``seeds``: (snapshot, word, id, mask), a bit for each group that starts at the id. Only bits
     that are new at a node go on to the next round.
     """
     ws = Workspace(adj.sparkSession, "lanes")
-    adj = ws.write(adj.distinct(), "adjacency")
     keys = ["snapshot", "word", "id"]
-    if adj.count() <= local_edges:
-        return ws.write(_in_one_task(adj, seeds.select(*keys, "mask"), kernels.lane_reach, "word long, id string, mask long"), "seen")
-    frontier = seen = ws.write(seeds.groupBy(*keys).agg(F.bit_or("mask").alias("mask")), "seen")
-    while True:
-        step = frontier.withColumnRenamed("id", "s").join(adj, ["snapshot", "s"])
+    if _fits(adj, local_edges):
+        return ws.write(_in_one_task(adj.distinct(), seeds.select(*keys, "mask"), kernels.lane_reach, "word long, id string, mask long"), "seen")
+    links = lay_out(adj.select("snapshot", "s", "d").distinct(), "snapshot", "s")
+    frontier, found = ws.write_counted(seeds.groupBy(*keys).agg(F.bit_or("mask").alias("mask")), "seen")
+    seen = [frontier]
+
+    def whole() -> DataFrame:
+        return ws.together(seen).groupBy(*keys).agg(F.bit_or("mask").alias("mask"))
+
+    while found["n"]:
+        step = frontier.withColumnRenamed("id", "s").join(links, ["snapshot", "s"])
         step = step.groupBy("snapshot", "word", F.col("d").alias("id")).agg(F.bit_or("mask").alias("mask"))
-        old = seen.withColumnRenamed("mask", "old")
+        if len(seen) == COMPACT:
+            seen = [ws.write(whole(), "seen")]
         fresh = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long"))))
-        new = ws.write(step.join(old, keys, "left").select(*keys, fresh.alias("mask")).where("mask <> 0"), "frontier")
-        if new.isEmpty():
-            return seen
-        grown = ws.write(seen.unionByName(new).groupBy(*keys).agg(F.bit_or("mask").alias("mask")), "seen")
-        frontier, seen = new, grown
+        new = step.join(whole().withColumnRenamed("mask", "old"), keys, "left").select(*keys, fresh.alias("mask")).where("mask <> 0")
+        frontier, found = ws.write_counted(new, "frontier")
+        seen.append(frontier)
+    links.unpersist()
+    return ws.write(whole(), "seen")
 
 
 def lanes(groups: DataFrame, key: str = "group") -> DataFrame:
@@ -91,8 +112,6 @@ def lanes(groups: DataFrame, key: str = "group") -> DataFrame:
         total += counts[part]
     if not starts:
         return groups.withColumn("number", F.lit(0).cast("long")).withColumn("word", F.lit(0).cast("long")).withColumn("mask", F.lit(0).cast("long")).limit(0)
-    from pyspark.sql import Window
-
     at = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
     base = spark.createDataFrame(starts, "part int, base long")
     numbered = names.join(F.broadcast(base), "part").select(key, (F.col("base") + at).alias("number"))
@@ -100,33 +119,36 @@ def lanes(groups: DataFrame, key: str = "group") -> DataFrame:
     return groups.join(numbered, key).withColumn("word", F.floor(F.col("number") / 64)).withColumn("mask", bit)
 
 
-def pagerank(nodes: DataFrame, adj: DataFrame, *, damping: float = 0.85, rounds: int = 40, every: int = 5, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def pagerank(nodes: DataFrame, adj: DataFrame, *, damping: float = 0.85, rounds: int = 40, every: int = 4, local_edges: int = 0) -> DataFrame:
     """(snapshot, id, rank) after a fixed number of rounds from a uniform start.
 
     Parallel edges count as often as they come; the mass of nodes without edges out is not handed
-    on. ``adj`` keeps its multiplicity.
+    on. ``adj`` keeps its multiplicity. Links lie by their start and nodes by their id, so a round
+    moves sums once; ranks are written every few rounds.
     """
     ws = Workspace(nodes.sparkSession, "pagerank")
-    adj = ws.write(adj.select("snapshot", "s", "d"), "adjacency")
-    if adj.count() <= local_edges:
+    adj = adj.select("snapshot", "s", "d")
+    if _fits(adj, local_edges):
         return _in_one_task(nodes.select("snapshot", "id"), adj, lambda n, a: kernels.pagerank(n, a, damping, rounds), "id string, rank double")
     size = nodes.groupBy("snapshot").agg(F.count(F.lit(1)).alias("n"))
-    base = ws.write(nodes.select("snapshot", "id").join(F.broadcast(size), "snapshot"), "nodes")
+    base = lay_out(nodes.select("snapshot", "id").join(F.broadcast(size), "snapshot"), "snapshot", "id")
     out = adj.groupBy("snapshot", "s").agg(F.count(F.lit(1)).alias("out"))
     links = adj.groupBy("snapshot", "s", "d").agg(F.count(F.lit(1)).alias("m")).join(out, ["snapshot", "s"])
-    links = ws.write(links.select("snapshot", "s", "d", (F.col("m") / F.col("out")).alias("w")), "links")
+    links = lay_out(links.select("snapshot", F.col("s").alias("id"), "d", (F.col("m") / F.col("out")).alias("w")), "snapshot", "id")
     ranks = base.select("snapshot", "id", (F.lit(1.0) / F.col("n")).alias("rank"))
     for i in range(rounds):
-        given = links.join(ranks.withColumnRenamed("id", "s"), ["snapshot", "s"]).groupBy("snapshot", F.col("d").alias("id")).agg(F.sum(F.col("w") * F.col("rank")).alias("x"))
+        given = links.join(ranks, ["snapshot", "id"]).groupBy("snapshot", F.col("d").alias("id")).agg(F.sum(F.col("w") * F.col("rank")).alias("x"))
         ranks = base.join(given, ["snapshot", "id"], "left").select(
             "snapshot", "id", (F.lit(1 - damping) / F.col("n") + F.lit(damping) * F.coalesce("x", F.lit(0.0))).alias("rank")
         )
-        if (i + 1) % every == 0:
+        if (i + 1) % every == 0 or i == rounds - 1:
             ranks = ws.write(ranks, "ranks")
+    base.unpersist()
+    links.unpersist()
     return ranks
 
 
-def components(nodes: DataFrame, adj: DataFrame, *, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def components(nodes: DataFrame, adj: DataFrame, *, local_edges: int = 0) -> DataFrame:
     """(snapshot, id, component): weak components, each named by its least id.
 
     A round takes the least label among neighbours and then follows the label's own label, which
@@ -134,42 +156,50 @@ def components(nodes: DataFrame, adj: DataFrame, *, local_edges: int = LOCAL_EDG
     """
     ws = Workspace(nodes.sparkSession, "components")
     both = adj.unionByName(reverse(adj)).where("s <> d").distinct()
-    both = ws.write(both, "links")
-    if both.count() <= local_edges:
+    if _fits(both, local_edges):
         return _in_one_task(nodes.select("snapshot", "id"), both, kernels.components, "id string, component string")
-    labels = ws.write(nodes.select("snapshot", "id", F.col("id").alias("label")), "labels")
-    while True:
-        around = both.join(labels.withColumnRenamed("id", "s"), ["snapshot", "s"]).groupBy("snapshot", F.col("d").alias("id")).agg(F.min("label").alias("near"))
+    links = lay_out(both, "snapshot", "s")
+    labels, moved = ws.write(nodes.select("snapshot", "id", F.col("id").alias("label")), "labels"), 1
+    while moved:
+        around = links.join(labels.withColumnRenamed("id", "s"), ["snapshot", "s"]).groupBy("snapshot", F.col("d").alias("id")).agg(F.min("label").alias("near"))
         least = labels.join(around, ["snapshot", "id"], "left").select("snapshot", "id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        least = ws.write(least, "least")
         jump = least.select("snapshot", F.col("id").alias("label"), F.col("label").alias("further"))
-        step = ws.write(least.join(jump, ["snapshot", "label"], "left").select("snapshot", "id", F.least("label", "further").alias("label"), "old"), "labels")
-        ws.drop(least)
-        if step.where("label <> old").isEmpty():
-            return step.select("snapshot", "id", F.col("label").alias("component"))
-        labels = step.drop("old")
+        step = least.join(jump, ["snapshot", "label"], "left").select("snapshot", "id", F.least("label", "further").alias("label"), "old")
+        step, seen = ws.write_counted(step, "labels", moved=F.count_if(F.col("label") != F.col("old")))
+        ws.drop(labels)
+        labels, moved = step.drop("old"), seen["moved"]
+        labels._meshwright_path = step._meshwright_path
+    links.unpersist()
+    return labels.select("snapshot", "id", F.col("label").alias("component"))
 
 
-def best_paths(edges: DataFrame, seeds: DataFrame, *, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def best_paths(edges: DataFrame, seeds: DataFrame, *, local_edges: int = 0) -> DataFrame:
     """(snapshot, id, score, hops, path): the way of the greatest product of weights to each node.
 
     ``edges``: (snapshot, s, d, w) with 0 < w <= 1; ``seeds``: (snapshot, id). Rounds relax the
-    nodes that improved; equal products keep the shorter way, then the lesser path.
+    nodes that improved; equal products keep the shorter way, then the lesser path. Products are
+    taken from the seed on, so a way has one product and the rounds end.
     """
     ws = Workspace(edges.sparkSession, "paths")
     edges = ws.write(edges.groupBy("snapshot", "s", "d").agg(F.max("w").alias("w")), "edges")
-    if edges.count() <= local_edges:
+    if _fits(edges, local_edges):
         return _in_one_task(edges, seeds.select("snapshot", "id").distinct(), kernels.best_paths, "id string, score double, hops int, path array<string>")
-    start = seeds.select("snapshot", "id", F.lit(1.0).alias("score"), F.lit(0).alias("hops"), F.array("id").alias("path")).distinct()
-    best = frontier = ws.write(start, "best")
-    while True:
-        step = frontier.withColumnRenamed("id", "s").join(edges, ["snapshot", "s"]).where(~F.array_contains("path", F.col("d")))
-        step = step.select("snapshot", F.col("d").alias("id"), (F.col("score") * F.col("w")).alias("score"), (F.col("hops") + 1).alias("hops"), F.concat("path", F.array("d")).alias("path"))
-        top = F.min(F.struct((-F.col("score")).alias("k"), "hops", "path")).alias("x")
-        step = step.groupBy("snapshot", "id").agg(top).select("snapshot", "id", (-F.col("x.k")).alias("score"), "x.hops", "x.path")
-        old = best.select("snapshot", "id", F.col("score").alias("old"))
-        new = ws.write(step.join(old, ["snapshot", "id"], "left").where("old IS NULL OR score > old * (1 + 1e-12)").drop("old"), "frontier")
-        if new.isEmpty():
-            return best
-        kept = best.join(new.select("snapshot", "id"), ["snapshot", "id"], "left_anti")
-        best, frontier = ws.write(kept.unionByName(new), "best"), new
+    links = lay_out(edges, "snapshot", "s")
+    start = seeds.select("snapshot", "id", F.lit(-1.0).alias("k"), F.lit(0).alias("hops"), F.array("id").alias("path")).distinct()
+    frontier, found = ws.write_counted(start, "frontier")
+    seen = [frontier]
+
+    def best() -> DataFrame:
+        return ws.together(seen).groupBy("snapshot", "id").agg(F.min(F.struct("k", "hops", "path")).alias("x"))
+
+    while found["n"]:
+        step = frontier.withColumnRenamed("id", "s").join(links, ["snapshot", "s"]).where(~F.array_contains("path", F.col("d")))
+        way = F.struct((F.col("k") * F.col("w")).alias("k"), (F.col("hops") + 1).alias("hops"), F.concat("path", F.array("d")).alias("path"))
+        step = step.groupBy("snapshot", F.col("d").alias("id")).agg(F.min(way).alias("y"))
+        if len(seen) == COMPACT:
+            seen = [ws.write(best().select("snapshot", "id", "x.*"), "best")]
+        new = step.join(best(), ["snapshot", "id"], "left").where(F.col("x").isNull() | (F.col("y") < F.col("x"))).select("snapshot", "id", "y.*")
+        frontier, found = ws.write_counted(new, "frontier")
+        seen.append(frontier)
+    links.unpersist()
+    return ws.write(best().select("snapshot", "id", (-F.col("x.k")).alias("score"), "x.hops", "x.path"), "best")

@@ -145,8 +145,12 @@ def find_stale(graph: Graph) -> DataFrame:
 def impact_of(graph: Graph, ident: str) -> DataFrame:
     """What depends on a node, nearest first: tier, hops, and whether it is a test to run."""
     seeds = graph.nodes.where(F.col("id") == ident).select("snapshot", "id")
-    all_ = sweeps.reach(sweeps.reverse(graph.adjacency()), seeds)
-    sure = sweeps.reach(sweeps.reverse(graph.adjacency(confident=True)), seeds).select("snapshot", "id", F.lit("confident").alias("tier"))
+    tiers = F.explode(F.array(F.lit("ambiguous"), F.lit("confident"))).alias("tier")
+    edges = sweeps.reverse(graph.adjacency()).withColumn("tier", F.lit("ambiguous"))
+    edges = edges.unionByName(sweeps.reverse(graph.adjacency(confident=True)).withColumn("tier", F.lit("confident")))
+    both = sweeps.reach(edges, seeds.select("snapshot", "id", tiers), by=("tier",))
+    all_ = both.where("tier = 'ambiguous'").drop("tier")
+    sure = both.where("tier = 'confident'").select("snapshot", "id", "tier")
     tests = graph.nodes.where(F.array_contains("roles", "test")).select("snapshot", "id", F.lit(True).alias("is_test"))
     out = all_.where("hops > 0").join(sure, ["snapshot", "id"], "left").join(tests, ["snapshot", "id"], "left")
     return out.select("snapshot", "id", F.coalesce("tier", F.lit("ambiguous")).alias("tier"), "hops", F.coalesce("is_test", F.lit(False)).alias("is_test"))

@@ -13,7 +13,9 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     made = getattr(sc, "_meshwright_dir", None)
     if made is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("a cluster must name a shared folder in spark.checkpoint.dir")
         local = tempfile.mkdtemp(prefix="meshwright-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         made = sc._meshwright_dir = "file://" + local
@@ -41,6 +45,14 @@ def clean(spark: SparkSession) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def lay_out(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` laid out by some keys once and kept by the executors, for loops that join it on these
+    keys again and again: only the other side moves then. What an executor loses is laid out again
+    from ``df``, which should be a short plan over written tables. The caller unpersists it."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 class Workspace:
     """Written tables of one run; ``drop`` frees those that nothing reads any more."""
 
@@ -61,6 +73,12 @@ class Workspace:
         back._meshwright_path = path
         return back
 
+    def write_counted(self, df: DataFrame, label: str, **sums: Column) -> tuple[DataFrame, dict]:
+        """``write`` and the number of rows ``n``, with further sums over them, from one job."""
+        seen = Observation()
+        table = self.write(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in sums.items()]), label)
+        return table, seen.get
+
     def together(self, parts: list[DataFrame]) -> DataFrame:
         """Written tables of one schema read as one: the plan does not grow with their number."""
         paths = [part._meshwright_path for part in parts]
