@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.sources.pysource import is_stub
+from meshwright.sources.pysource import is_stub, rescue
 
 ROUNDS = 3
 
@@ -264,10 +264,7 @@ def unused_parameters(function: ast.FunctionDef | ast.AsyncFunctionDef, *, metho
 
 def functions_of(path: str, text: str) -> Iterator[tuple[str, ast.AST, bool]]:
     """(id, function, is a method) of all functions of a file, nested ones too."""
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return
+    tree, _ = rescue(text)
     taken: Counter[str] = Counter()
     work = [(tree, "", False)]
     while work:

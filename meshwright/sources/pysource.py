@@ -8,6 +8,7 @@ or by name over the whole project with the weight shared by all candidates.
 from __future__ import annotations
 
 import ast
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -273,14 +274,98 @@ class _File(ast.NodeVisitor):
         self.generic_visit(node)
 
 
-def parse_file(path: str, text: str) -> _File | None:
-    """What a file holds, or None if it does not parse."""
+_HEADER = re.compile(r"([ \t]*)(?:async[ \t]+def|def|class)\b.*:[ \t]*(?:#.*)?\r?$")
+
+
+def _says(line: str) -> bool:
+    """Whether a line holds more than blanks and a comment."""
+    bare = line.strip()
+    return bool(bare) and not bare.startswith("#")
+
+
+def _parses(text: str) -> ast.Module | None:
     try:
-        return _File(path, ast.parse(text))
+        return ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
 
 
+def _with_bodies(lines: list[str]) -> list[str]:
+    """The lines with an empty body for every definition that has none, on its own line."""
+    out = list(lines)
+    spoken = [i for i, line in enumerate(lines) if _says(line)]
+    for i, after in zip(spoken, [*spoken[1:], None]):
+        if _HEADER.match(lines[i]) and (after is None or _indent(lines[after]) <= _indent(lines[i])):
+            head = lines[i].split("#")[0].rstrip() if "#" in lines[i] else lines[i].rstrip()
+            out[i] = head + " pass"
+    return out
+
+
+def _indent(line: str) -> int:
+    return len(line) - len(line.lstrip())
+
+
+#: Lines of one part that are given up before the part is.
+GIVEN_UP = 20
+
+
+def rescue(text: str) -> tuple[ast.Module, int]:
+    """The tree of a text, and how many of its lines had to be given up for it to parse.
+
+    Lines keep their numbers. A definition without a body gets an empty one; indented lines before
+    anything else, the rest of a body that was cut off, are given up; then, if it must be, in each
+    part between two unindented lines those that the parser stops at, or else the part. In place of
+    such a line stands an expression without meaning, so what lost its body is no stub.
+    """
+    if (tree := _parses(text)) is not None:
+        return tree, 0
+    lines = text.split("\n")
+    spoken = [i for i, line in enumerate(lines) if _says(line)]
+    lost = 0
+    for i in spoken:
+        if not _indent(lines[i]):
+            break
+        lines[i], lost = "", lost + 1
+    if (tree := _parses("\n".join(_with_bodies(lines)))) is not None:
+        return tree, lost
+    starts = [i for i in spoken if lines[i] and not _indent(lines[i])]
+    for a, b in zip(starts, [*starts[1:], len(lines)]):
+        part, gone, fits = lines[a:b], 0, False
+        while not fits and gone <= GIVEN_UP:
+            try:
+                ast.parse("\n".join(_with_bodies(part)))
+                fits = True
+            except SyntaxError as error:
+                at = min((error.lineno or 1), len(part)) - 1
+                while at > 0 and not _says(part[at]):
+                    at -= 1
+                if at <= 0:
+                    break
+                part[at], gone = " " * _indent(part[at]) + "None", gone + 1
+            except (ValueError, RecursionError, MemoryError):
+                break
+        lost += gone if fits else sum(map(_says, lines[a:b]))
+        lines[a:b] = part if fits else [""] * (b - a)
+    tree = _parses("\n".join(_with_bodies(lines)))
+    return (tree, lost) if tree is not None else (ast.Module([], []), len(spoken))
+
+
+def parse_file(path: str, text: str) -> _File | None:
+    """What a file holds; of one that does not parse, what can be rescued of it, None if nothing can."""
+    tree, lost = rescue(text)
+    return None if lost and not tree.body else _File(path, tree)
+
+
+def given_up(sources: DataFrame) -> DataFrame:
+    """(snapshot, path, n_lines) of files of which lines were given up to parse the rest."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pdf[["snapshot", "path"]].assign(n_lines=[rescue(t)[1] for t in pdf["text"]])
+
+    return sources.select("snapshot", "path", "text").mapInPandas(run, "snapshot int, path string, n_lines int").where("n_lines > 0")
+
+
 def _emit(what: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -302,7 +387,7 @@ def _emit(what: str):
 
 
 def definitions(sources: DataFrame) -> DataFrame:
-    """Nodes of (snapshot, path, text) rows; files that do not parse give none."""
+    """Nodes of (snapshot, path, text) rows; of files that do not parse, what can be rescued."""
     return sources.select("snapshot", "path", "text").mapInPandas(_emit("nodes"), NODE_SCHEMA)
 
 

@@ -289,3 +289,25 @@ def test_import_of_a_store(spark, tmp_path):
     nodes, edges = sqlite_store.import_store(spark, str(tmp_path / "s.db"), str(tmp_path / "out"))
     assert {(r.id, r.location, tuple(r.roles), r.is_stub) for r in nodes.collect()} == {("a::f", "a:1", ("exported", "test"), True), ("b", None, (), False)}
     assert {(r.src, r.dst_id, r.weight) for r in edges.collect()} == {("a::f", None, None), ("a::f", "b", 0.5)}
+
+
+def test_rescue_of_sources_that_do_not_parse():
+    from meshwright.sources.pysource import parse_file, rescue
+
+    text = "    return cut_off\n\ndef empty(a, b=None):\n    # nothing yet\n\nclass K(Base):\ndef f(x):\n    y = g(x\n    return y\r\n\nthis is prose, no code\nclass Late: # note\n"
+    tree, lost = rescue(text)
+    assert [n.name for n in tree.body if hasattr(n, "name")] == ["empty", "K", "f", "Late"] and lost >= 3
+    found = parse_file("m.py", text)
+    where = {n[2]: (n[1], n[3], n[5]) for n in found.nodes}
+    assert where["empty"] == ("Function", "m.py:3", True) and where["f"][1:] == ("m.py:7", False) and where["Late"][1] == "m.py:12"
+    assert ("m.py::K", "INHERITS", "Base") in {r[:3] for r in found.refs}
+    for odd in ("", "\n", "\x00", "def f(:\n", "((((", "  x", "def f(x):"):
+        assert rescue(odd)[0] is not None
+    assert rescue("x = 1\n")[1] == 0 and rescue("def f(:\n")[1] == 1
+
+
+def test_given_up_lines_are_told(spark):
+    from meshwright.sources.pysource import given_up
+
+    df = spark.createDataFrame([(1, "a.py", "x = 1\n"), (1, "b.py", "no code at all\n")], "snapshot int, path string, text string")
+    assert [tuple(r) for r in given_up(df).collect()] == [(1, "b.py", 1)]
