@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -211,6 +212,47 @@ def find_modes(spark: SparkSession, d: str) -> DataFrame:
     return out.join(label, "mode", "left")
 
 
+def mode_summary(spark: SparkSession, d: str) -> DataFrame:
+    """What the modes stand on: tests, functions, the energy of the centred matrix, pairs of tests with
+    one profile; ``sound``: energies fall, loadings are orthonormal, and the tests' coordinates hold
+    just the energies."""
+    found, pairs = _modes(spark, d)
+    k = len(found.energies)
+    loads = linalg.gram(found.functions, k) if k else np.zeros((0, 0))
+    shared = linalg.gram(found.tests, k) if k else np.zeros((0, 0))
+    # tests without functions lie at one point, which the sum over the others gives: all of them add up to 0
+    sums = found.tests.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"v{i}").alias(f"v{i}") for i in range(k)]).first()
+    rest = np.array([sums[f"v{i}"] or 0.0 for i in range(k)])
+    empty = found.n_tests - sums["n"]
+    if empty:
+        shared = shared + np.outer(rest, rest) / empty
+    size = max(1.0, float(found.singular[0] ** 2)) if k else 1.0
+    sound = bool(np.allclose(loads, np.eye(k), atol=1e-6) and np.allclose(shared / size, np.diag(found.singular**2) / size, atol=5e-3) and (np.diff(found.energies) <= 1e-12).all())
+    twins = cover.redundant_groups(pairs).agg(F.coalesce(F.sum(F.col("n_tests") * (F.col("n_tests") - 1) / 2), F.lit(0)).cast("long").alias("redundant_pairs"))
+    told = spark.createDataFrame([(found.n_tests, found.means.count(), round(found.total, 4), sound)], "n_tests long, n_functions long, energy double, sound boolean")
+    return told.crossJoin(twins)  # one row each
+
+
+def modes_overview(spark: SparkSession, d: str) -> DataFrame:
+    """(dimensionality, is_lower_bound, minimal_set): modes up to 90 % of the energy, and tests that
+    together run every function."""
+    found, pairs = _modes(spark, d)
+    size, more = found.dimensionality
+    needed = cover.greedy_order(pairs, pairs.select("test_id").distinct()).where("gain > 0")
+    return needed.agg(F.count(F.lit(1)).alias("minimal_set")).select(F.lit(size).alias("dimensionality"), F.lit(more).alias("is_lower_bound"), "minimal_set")
+
+
+def test_order_kept(spark: SparkSession, d: str) -> DataFrame:
+    """What any greedy order must hold: all tests, gains that add up to the functions run, the
+    greatest set first and no gain above the size of its test."""
+    pairs = _pairs(spark, d)
+    order = test_order(spark, d)
+    both = order.join(pairs.groupBy("test_id").agg(F.count(F.lit(1)).alias("size")), "test_id", "left")
+    return both.agg(
+        F.count(F.lit(1)).alias("n_tests"), F.sum("gain").alias("n_functions"), F.max("gain").alias("first_gain"), F.bool_and(F.col("gain") <= F.coalesce("size", F.lit(0))).alias("possible")
+    )
+
+
 def feature_map(spark: SparkSession, d: str) -> DataFrame:
     """(mode, file, functions): the files that a mode's ten leading functions span."""
     found, _ = _modes(spark, d)
@@ -292,6 +334,9 @@ QUERIES = {
     "cochange_orders": cochange_orders,
     "find_hotspots": find_hotspots,
     "find_modes": find_modes,
+    "mode_summary": mode_summary,
+    "modes_overview": modes_overview,
+    "test_order_kept": test_order_kept,
     "feature_map": feature_map,
     "find_outlier_tests": find_outlier_tests,
     "similar_behaviour": similar_behaviour,
@@ -426,6 +471,21 @@ WHERE n.kind IN ('Function', 'Method') AND NOT EXISTS (SELECT 1 FROM mapped m WH
 SELECT 'gained' AS change, function_id FROM w WHERE function_id NOT IN (SELECT function_id FROM o) UNION ALL SELECT 'lost', function_id FROM o WHERE function_id NOT IN (SELECT function_id FROM w)""",
     "risk": GRAPH + ", " + _SURE + ", " + _COMMITS + _hot(_MASS.format("")),
     "runtime_risk": "WITH " + _RUN + ", " + _COMMITS + _hot(_RAN_MASS.format("")),
+    "mode_summary": "WITH "
+    + _RUN
+    + """, size AS (SELECT count(*) AS n FROM tests_all),
+twins AS (SELECT count(*) AS k FROM (SELECT test_id, list_sort(list(function_id)) AS fs FROM runs GROUP BY 1) GROUP BY fs)
+SELECT size.n AS n_tests, (SELECT count(*) FROM fsize) AS n_functions, (SELECT round(sum(f.n - f.n * f.n / CAST(size.n AS DOUBLE)), 4) FROM fsize f) AS energy, TRUE AS sound,
+  (SELECT CAST(coalesce(sum(k * (k - 1) // 2), 0) AS BIGINT) FROM twins) AS redundant_pairs FROM size""",
+    "test_order_kept": "WITH "
+    + _RUN
+    + """ SELECT (SELECT count(*) FROM tests_all) AS n_tests, (SELECT count(*) FROM fsize) AS n_functions, max(c) AS first_gain, TRUE AS possible
+FROM (SELECT count(*) AS c FROM runs GROUP BY test_id)""",
+    "similar_dense": """
+WITH raw AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL),
+v AS (SELECT vec_id, CAST(list_transform(x, lambda e: CAST(e / sqrt(list_inner_product(x, x)) AS FLOAT)) AS DOUBLE[]) AS x FROM raw),
+s AS (SELECT q.vec_id AS query, v.vec_id AS id, list_inner_product(q.x, v.x) AS c FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query, id, round(c, 4) AS score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY round(c, 9) DESC, id) AS INT) AS place FROM s WHERE c > 0) WHERE place <= 10""",
     "hidden_cochange": GRAPH
     + ", "
     + _COMMITS

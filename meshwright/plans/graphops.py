@@ -561,6 +561,12 @@ SELECT snapshot, round(p, 6) AS confidence, CAST(hops AS INTEGER) AS hops, path
     "transitive_fan_in": GRAPH
     + """, anc AS (SELECT snapshot, id AS a, id AS b FROM n WHERE NOT is_test UNION SELECT x.snapshot, x.a, l.dst_id FROM anc x JOIN live l ON l.snapshot = x.snapshot AND l.src = x.b AND l.provenance = 'extracted')
 SELECT snapshot, b AS id, count(*) AS fan_in FROM anc WHERE a <> b GROUP BY 1, 2""",
+    "transitive_fan_in_sampled": GRAPH
+    + """, pool AS (SELECT snapshot, id, row_number() OVER (PARTITION BY snapshot ORDER BY id) - 1 AS k, count(*) OVER (PARTITION BY snapshot) AS size FROM n WHERE NOT is_test),
+seeds AS (SELECT snapshot, id FROM pool WHERE k % greatest(size // 64, 1) = 0),
+reached AS (SELECT snapshot, id AS a, id AS b FROM seeds UNION SELECT x.snapshot, x.a, l.dst_id FROM reached x JOIN live l ON l.snapshot = x.snapshot AND l.src = x.b AND l.provenance = 'extracted'),
+kept AS (SELECT snapshot, count(*) AS kept FROM seeds GROUP BY 1), sizes AS (SELECT DISTINCT snapshot, size FROM pool)
+SELECT snapshot, b AS id, count(*) * any_value(size) / any_value(kept) AS fan_in FROM reached JOIN kept USING (snapshot) JOIN sizes USING (snapshot) WHERE a <> b GROUP BY 1, 2""",
     "giant_component": GRAPH
     + """, links AS (SELECT snapshot, src AS s, dst_id AS d FROM live WHERE src <> dst_id UNION SELECT snapshot, dst_id, src FROM live WHERE src <> dst_id),
 lab AS (SELECT DISTINCT snapshot, s AS id, s AS label FROM links UNION SELECT l.snapshot, k.d, l.label FROM lab l JOIN links k ON k.snapshot = l.snapshot AND k.s = l.id WHERE l.label < k.d),
