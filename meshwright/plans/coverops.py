@@ -485,7 +485,7 @@ FROM (SELECT count(*) AS c FROM runs GROUP BY test_id)""",
 WITH raw AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL),
 v AS (SELECT vec_id, CAST(list_transform(x, lambda e: CAST(e / sqrt(list_inner_product(x, x)) AS FLOAT)) AS DOUBLE[]) AS x FROM raw),
 s AS (SELECT q.vec_id AS query, v.vec_id AS id, list_inner_product(q.x, v.x) AS c FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0)
-SELECT query, id, round(c, 4) AS score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY round(c, 9) DESC, id) AS INT) AS place FROM s WHERE c > 0) WHERE place <= 10""",
+SELECT query, id, round(round(c, 6), 4) AS score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY round(c, 9) DESC, id) AS INT) AS place FROM s WHERE c > 0) WHERE place <= 10""",
     "hidden_cochange": GRAPH
     + ", "
     + _COMMITS
