@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import ast
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -67,20 +69,47 @@ def _last_name(node: ast.AST) -> str | None:
     return node.id if isinstance(node, ast.Name) else None
 
 
+def _plain(text: str) -> str:
+    """Text that can be written: halves of surrogate pairs as escapes."""
+    return text.encode("utf-8", "backslashreplace").decode("utf-8")
+
+
+def _mentions(tree: ast.AST, word: str) -> bool:
+    """Whether a name or a string in a tree holds a word."""
+    said = (getattr(x, "id", None) or getattr(x, "attr", None) or getattr(x, "arg", None) or getattr(x, "value", None) for x in ast.walk(tree))
+    return any(word in x if isinstance(x, str) else word.encode() in x for x in said if isinstance(x, (str, bytes)))
+
+
+#: Frames of Python while a tree is walked; the parser's own bound on depth is below a third of it.
+FRAMES = 100_000
+
+
+@contextmanager
+def _deep():
+    """Room for trees as deep as the parser makes them: the walks are calls of Python in Python."""
+    held = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(held, FRAMES))
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(held)
+
+
 class _File(ast.NodeVisitor):
-    """What one file defines and names."""
+    """What one file defines and names. A file without a path has nodes without id and location."""
 
-    def __init__(self, path: str, tree: ast.Module):
+    def __init__(self, path: str | None, tree: ast.Module):
         self.path, self.nodes, self.refs, self.symbols = path, [], [], []
         self.taken: Counter[str] = Counter()
-        self.module = self._id(module_name(path).rsplit(".", 1)[-1])
+        own = "" if path is None else module_name(path)
+        self.module = self._id(own.rsplit(".", 1)[-1])
         self.exported = self._names_in_all(tree)
-        main = any(isinstance(s, ast.If) and "__main__" in ast.dump(s.test) and "__name__" in ast.dump(s.test) for s in tree.body)
+        main = any(isinstance(s, ast.If) and _mentions(s.test, "__main__") and _mentions(s.test, "__name__") for s in tree.body)
         last = max([1, *(getattr(s, "end_lineno", 1) or 1 for s in tree.body)])
-        self._node(self.module, "Module", module_name(path), 1, last, False, None, ast.get_docstring(tree), ["main"] if main else [])
+        self._node(self.module, "Module", own, 1, last, False, None, ast.get_docstring(tree), ["main"] if main else [])
         if main:
             self.symbols.append(("main", "__main__"))
-        self.symbols += [("export", n) for n in self.exported]
+        self.symbols += [("export", _plain(n)) for n in self.exported]
         for s in tree.body:
             for target in [*getattr(s, "targets", []), getattr(s, "target", None)]:
                 if isinstance(s, (ast.Assign, ast.AnnAssign)) and isinstance(target, ast.Name):
@@ -92,16 +121,16 @@ class _File(ast.NodeVisitor):
         for s in tree.body:
             self.visit(s)
 
-    def _id(self, qual: str) -> str:
+    def _id(self, qual: str) -> str | None:
         self.taken[qual] += 1
-        return f"{self.path}::{qual}" + (f"#{self.taken[qual]}" if self.taken[qual] > 1 else "")
+        return None if self.path is None else f"{self.path}::{qual}" + (f"#{self.taken[qual]}" if self.taken[qual] > 1 else "")
 
     def _node(self, ident, kind, name, line, end, stub, arity, doc, roles):
-        summary = (doc or "").strip().split("\n")[0] or None
-        self.nodes.append((ident, kind, name, f"{self.path}:{line}", end, stub, arity, summary, sorted(set(roles))))
+        summary = _plain((doc or "").strip().split("\n")[0]) or None
+        self.nodes.append((ident, kind, name, None if self.path is None else f"{self.path}:{line}", end, stub, arity, summary, sorted(set(roles))))
 
     def _ref(self, relation: str, symbol: str, node: ast.AST, scope: str | None = None, receiver: bool = False):
-        self.refs.append((self.owner, relation, symbol, scope, receiver, getattr(node, "lineno", 1)))
+        self.refs.append((self.owner, relation, _plain(symbol), scope, receiver, getattr(node, "lineno", 1)))
 
     @staticmethod
     def _names_in_all(tree: ast.Module) -> list[str]:
@@ -114,7 +143,7 @@ class _File(ast.NodeVisitor):
 
     def _roles(self, node, name: str, top: bool) -> list[str]:
         roles = []
-        file = self.path.rsplit("/", 1)[-1]
+        file = (self.path or "").rsplit("/", 1)[-1]
         if top and (name in self.exported or (file == "__init__.py" and not name.startswith("_"))):
             roles.append("exported")
         if name.startswith("test") and (file.startswith("test") or file.endswith("_test.py")):
@@ -149,7 +178,7 @@ class _File(ast.NodeVisitor):
         held = self.owner, self.cls, self.qual, self.locals, self.declared
         self.owner, self.qual, self.locals, self.declared = ident, qual, {}, set()
         if kind == "Class":
-            self.cls = f"{self.path}::{qual}"
+            self.cls = f"{self.path or ''}::{qual}"
         else:
             for x in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]:
                 if x.annotation is not None and (name := _last_name(x.annotation)):
@@ -176,8 +205,8 @@ class _File(ast.NodeVisitor):
     def visit_ImportFrom(self, node):  # noqa: N802
         base = node.module or ""
         if node.level:
-            parts = module_name(self.path).split(".")
-            keep = len(parts) - node.level + self.path.endswith("__init__.py")
+            parts = module_name(self.path or "").split(".")
+            keep = len(parts) - node.level + (self.path or "").endswith("__init__.py")
             base = ".".join([*parts[: max(0, keep)], *([base] if base else [])])
         self._ref("IMPORTS", base, node, "module")
         for a in node.names:
@@ -189,7 +218,7 @@ class _File(ast.NodeVisitor):
         if self.owner == self.module:
             return
         if isinstance(target, ast.Name) and target.id in self.globals:
-            self._ref(relation, target.id, target, f"state {self.path}")
+            self._ref(relation, target.id, target, f"state {self.path or ''}")
         elif isinstance(target, ast.Attribute) and isinstance(target.value, ast.Name) and target.value.id == "self" and self.cls:
             self._ref(relation, target.attr, target, f"state {self.cls}")
 
@@ -350,10 +379,11 @@ def rescue(text: str) -> tuple[ast.Module, int]:
     return (tree, lost) if tree is not None else (ast.Module([], []), len(spoken))
 
 
-def parse_file(path: str, text: str) -> _File | None:
+def parse_file(path: str | None, text: str) -> _File | None:
     """What a file holds; of one that does not parse, what can be rescued of it, None if nothing can."""
     tree, lost = rescue(text)
-    return None if lost and not tree.body else _File(path, tree)
+    with _deep():
+        return None if lost and not tree.body else _File(path, tree)
 
 
 def given_up(sources: DataFrame) -> DataFrame:

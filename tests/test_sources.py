@@ -311,3 +311,16 @@ def test_given_up_lines_are_told(spark):
 
     df = spark.createDataFrame([(1, "a.py", "x = 1\n"), (1, "b.py", "no code at all\n")], "snapshot int, path string, text string")
     assert [tuple(r) for r in given_up(df).collect()] == [(1, "b.py", 1)]
+
+
+def _files(spark, *rows):
+    return spark.createDataFrame([(1, path, text) for path, text in rows], "snapshot int, path string, text string")
+
+
+DEEP = "class A(B):\n    def f(self, a):\n        return a" + ".b()" * 700 + "\n"
+
+
+def test_nodes_of_deep_odd_and_unnamed_files(spark):
+    files = _files(spark, ("a.py", DEEP), (None, "def g():\n    return 1\n"), ("c.py", 'def h():\n    """x \\ud800"""\n'), ("d.py", "if 0x" + "f" * 5000 + ":\n    k = 1\n"))
+    got = {(r.id, r.name, r.location) for r in pysource.definitions(files).where("kind <> 'Module'").collect()}
+    assert got == {("a.py::A", "A", "a.py:1"), ("a.py::A.f", "f", "a.py:2"), (None, "g", None), ("c.py::h", "h", "c.py:1")}
