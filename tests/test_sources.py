@@ -324,3 +324,10 @@ def test_nodes_of_deep_odd_and_unnamed_files(spark):
     files = _files(spark, ("a.py", DEEP), (None, "def g():\n    return 1\n"), ("c.py", 'def h():\n    """x \\ud800"""\n'), ("d.py", "if 0x" + "f" * 5000 + ":\n    k = 1\n"))
     got = {(r.id, r.name, r.location) for r in pysource.definitions(files).where("kind <> 'Module'").collect()}
     assert got == {("a.py::A", "A", "a.py:1"), ("a.py::A.f", "f", "a.py:2"), (None, "g", None), ("c.py::h", "h", "c.py:1")}
+
+
+def test_bases_of_deep_and_unnamed_files(spark):
+    files = _files(spark, ("a.py", DEEP), (None, "class C(A):\n    pass\n"))
+    refs = pysource.references(files)
+    assert {(r.src, r.dst_symbol) for r in refs.where("relation = 'INHERITS'").collect()} == {("a.py::A", "B"), (None, "A")}
+    assert pysource.resolve(pysource.definitions(files), refs).where("relation = 'INHERITS'").count() == 0
