@@ -331,3 +331,9 @@ def test_bases_of_deep_and_unnamed_files(spark):
     refs = pysource.references(files)
     assert {(r.src, r.dst_symbol) for r in refs.where("relation = 'INHERITS'").collect()} == {("a.py::A", "B"), (None, "A")}
     assert pysource.resolve(pysource.definitions(files), refs).where("relation = 'INHERITS'").count() == 0
+
+
+def test_edges_of_deep_files_and_odd_names(spark):
+    files = _files(spark, ("a.py", DEEP + "def b():\n    return getattr(A, '\\\\ud800')\n"), (None, "def g():\n    return b()\n"))
+    edges = pysource.resolve(pysource.definitions(files), pysource.references(files), pysource.symbols(files)).collect()
+    assert {(e.src, e.relation, e.dst_id) for e in edges} == {("a.py::A.f", "CALLS", "a.py::b"), ("a.py::b", "REFERENCES", "a.py::A")}
