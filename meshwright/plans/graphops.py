@@ -300,8 +300,9 @@ def god_floors(deg: DataFrame, code: DataFrame) -> DataFrame:
     return out.select("snapshot", *[F.when(enough, F.col(t)).otherwise(F.lit(5)).alias(t) for t in ("t_in", "t_out")])
 
 
-def god_objects(graph: Graph, review_cap: int = 500) -> DataFrame:
-    """Code coupled strongly both ways, without the coupling that only the test-suite makes."""
+def god_objects(graph: Graph, review_cap: int | None = None) -> DataFrame:
+    """Code coupled strongly both ways, without the coupling that only the test-suite makes; with
+    ``review_cap``, at most so many flags of a snapshot that need review."""
     deg = degrees(graph)
     code = graph.nodes.where(F.col("kind").isin(list(CODE_KINDS))).select("snapshot", "id")
     product = graph.nodes.where(F.col("kind").isin(list(CODE_KINDS)) & ~F.array_contains("roles", "test") & ~is_test_path(F.col("id"))).select("snapshot", "id")
@@ -316,8 +317,10 @@ def god_objects(graph: Graph, review_cap: int = 500) -> DataFrame:
     artifact = (F.col("sure_in") < F.col("t_in")) | (F.col("sure_out") < F.col("t_out"))
     share = (F.col("sure_in") / F.col("own_in") + F.col("sure_out") / F.col("all_out")) / 2
     held = held.withColumn("needs_review", artifact).withColumn("confidence", F.round(F.lit(0.3) + F.lit(0.6) * share, 2))
-    place = F.row_number().over(Window.partitionBy("snapshot", "needs_review").orderBy(F.desc("confidence"), "id"))
-    return held.withColumn("place", place).where(~F.col("needs_review") | (F.col("place") <= review_cap)).select("snapshot", "id", "fan_in", "fan_out", "confidence", "needs_review")
+    if review_cap is not None:
+        place = F.row_number().over(Window.partitionBy("snapshot", "needs_review").orderBy(F.desc("confidence"), "id"))
+        held = held.withColumn("place", place).where(~F.col("needs_review") | (F.col("place") <= review_cap))
+    return held.select("snapshot", "id", "fan_in", "fan_out", "confidence", "needs_review")
 
 
 def cycle_issues(graph: Graph, show_heuristic: bool = False) -> DataFrame:
@@ -427,7 +430,7 @@ QUERIES = {
     "find_chokepoints": _with_graph(chokepoints),
     "giant_component": _with_graph(giant_component),
     "summarize_subsystem": _with_graph(summarize, SUBSYSTEM),
-    "god_objects": _with_graph(god_objects),
+    "god_objects": _with_graph(god_objects, 500),
     "scan": _with_graph(scan),
     "graph_diff": _with_graph(graph_diff, 1, 4),
 }
@@ -447,7 +450,7 @@ deg AS (
       CASE WHEN relation IN ('CALLS','IMPORTS','INHERITS','ROUTES_TO','REFERENCES','RENDERS','EMITS','HANDLES') AND provenance = 'extracted' THEN 1 ELSE 0 END AS ci, 0 AS fo, 0 AS co FROM known
     UNION ALL SELECT snapshot, src, 0, 0, CASE WHEN relation = 'CALLS' THEN 1 ELSE 0 END, CASE WHEN relation = 'CALLS' AND provenance = 'extracted' THEN 1 ELSE 0 END FROM known) GROUP BY 1, 2)"""
 
-_GODS = (
+_ALL_GODS = (
     _DEGREES
     + """, pop AS (SELECT deg.*, count(*) OVER (PARTITION BY deg.snapshot) AS size, row_number() OVER (PARTITION BY deg.snapshot ORDER BY fan_in) - 1 AS ri,
     row_number() OVER (PARTITION BY deg.snapshot ORDER BY fan_out) - 1 AS ro
@@ -464,7 +467,11 @@ gods AS (
   FROM deg d JOIN floors f USING (snapshot) JOIN n USING (snapshot, id) JOIN own_in i USING (snapshot, id) JOIN own_out o USING (snapshot, id)
   WHERE n.kind IN ('Function', 'Method', 'Class') AND NOT list_contains(n.roles, 'test') AND NOT """
     + test_path("n.id")
-    + """ AND d.fan_in >= f.t_in AND d.fan_out >= f.t_out AND i.t >= f.t_in
+    + """ AND d.fan_in >= f.t_in AND d.fan_out >= f.t_out AND i.t >= f.t_in"""
+)
+_GODS = (
+    _ALL_GODS
+    + """
   QUALIFY NOT needs_review OR row_number() OVER (PARTITION BY d.snapshot, needs_review ORDER BY confidence DESC, d.id) <= 500)"""
 )
 
@@ -575,7 +582,7 @@ SELECT snapshot, component, n_nodes FROM (SELECT snapshot, component, count(*) A
     "scan": GRAPH
     + ROOTS
     + ", "
-    + ", ".join([_HOLES, _CYCLE_ISSUES, _LOOPS, _GODS])
+    + ", ".join([_HOLES, _CYCLE_ISSUES, _LOOPS, _ALL_GODS + ")"])
     + f""", certain AS (SELECT snapshot, id FROM roots UNION SELECT l.snapshot, l.dst_id FROM certain r JOIN live l ON l.snapshot = r.snapshot AND l.src = r.id WHERE l.provenance = 'extracted'),
 stubs AS (SELECT n.snapshot, n.id, r.id IS NOT NULL AND NOT (list_contains(n.roles, 'test') OR {test_path('n.id')}) AS live, c.id IS NOT NULL AS sure
   FROM n LEFT JOIN reached r USING (snapshot, id) LEFT JOIN certain c ON c.snapshot = n.snapshot AND c.id = n.id WHERE n.is_stub)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from meshwright.operators import circles, sweeps
 from meshwright.operators.graph import CODE_KINDS, Graph, clean_edges, clean_nodes, dedup_holes, dedup_resolved, roots
+from meshwright.plans import graphops
 
 ADJ = "snapshot int, s string, d string"
 
@@ -223,3 +224,13 @@ def test_operations_do_not_raise_on_an_empty_graph(spark):
         [(graphops.impact_of, ("x",)), (graphops.trace_path, ("x", "y")), (graphops.summarize, ("x",)), (graphops.relation_matrix, ("x",)), (graphops.graph_diff, (1, 2))],
     ):
         assert op(g, *args).collect() == []
+
+
+def test_scan_lists_every_god_object_that_needs_review(spark):
+    light, heavy = [f"a.py::f{i}" for i in range(10_500)], [f"b.py::g{i}" for i in range(510)]
+    links = list(itertools.pairwise(light)) + [(x, heavy[(i + k) % len(heavy)]) for i, x in enumerate(heavy) for k in range(1, 7)]
+    nodes = spark.createDataFrame([(1, x, "Function", x[6:], False, [], x[:4]) for x in light + heavy], "snapshot int, id string, kind string, name string, is_stub boolean, roles array<string>, file string")
+    edges = spark.createDataFrame([(1, s, "CALLS", d, d, 1.0, "ambiguous", True) for s, d in links], "snapshot int, src string, relation string, dst_id string, dst_symbol string, weight double, provenance string, name_based boolean")
+    graph = Graph(nodes, edges, edges.limit(0).select("snapshot", "src", "relation", "dst_symbol"))
+    found = graphops.scan(graph).where("issue = 'god_object'")
+    assert {(r.id, r.urgency) for r in found.collect()} == {(x, "green") for x in heavy}
