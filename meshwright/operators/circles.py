@@ -15,66 +15,82 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshwright.runtime import Workspace, lay_out
 
-#: Edges of a piece up to which one task finishes it.
-PIECE = 20_000
+#: Edges of a piece up to which one task finishes it, with numbers for ids: about 100 bytes an edge.
+PIECE = 5_000_000
 
 
-def strong_components(adj: dict) -> list[list]:
-    """Components of a small graph {node: successors} by two stacks (path-based search)."""
-    order: dict = {}
-    component: dict = {}
-    open_nodes: list = []
-    bounds: list = []
-    out = []
-    for start in adj:
-        if start in order:
+def strong_components(start: list[int], to: list[int]) -> list[int]:
+    """Component numbers of nodes 0..n-1 by two stacks (path-based search); the successors of a
+    node are ``to[start[node]:start[node + 1]]``."""
+    n = len(start) - 1
+    order, component, at = [-1] * n, [-1] * n, start[:n]
+    open_nodes: list[int] = []
+    bounds: list[int] = []
+    counter = found = 0
+    for root in range(n):
+        if order[root] >= 0:
             continue
-        order[start] = len(order)
-        open_nodes.append(start)
-        bounds.append(start)
-        work = [(start, iter(adj[start]))]
+        order[root], counter = counter, counter + 1
+        open_nodes.append(root)
+        bounds.append(root)
+        work = [root]
         while work:
-            node, rest = work[-1]
-            for nxt in rest:
-                if nxt not in order:
-                    order[nxt] = len(order)
+            node = work[-1]
+            i = at[node]
+            if i < start[node + 1]:
+                at[node] = i + 1
+                nxt = to[i]
+                if order[nxt] < 0:
+                    order[nxt], counter = counter, counter + 1
                     open_nodes.append(nxt)
                     bounds.append(nxt)
-                    work.append((nxt, iter(adj.get(nxt, ()))))
-                    break
-                if nxt not in component:
+                    work.append(nxt)
+                elif component[nxt] < 0:
                     while order[bounds[-1]] > order[nxt]:
                         bounds.pop()
             else:
                 work.pop()
                 if bounds[-1] == node:
                     bounds.pop()
-                    found = []
                     while True:
                         member = open_nodes.pop()
-                        component[member] = len(out)
-                        found.append(member)
+                        component[member] = found
                         if member == node:
                             break
-                    out.append(found)
-    return out
+                    found += 1
+    return component
 
 
 def _finish(pdf: pd.DataFrame) -> pd.DataFrame:
-    adj: dict = {}
-    for s, d in zip(pdf["s"], pdf["d"]):
-        adj.setdefault(s, []).append(d)
-        adj.setdefault(d, [])
-    rows = [(min(c), x) for c in strong_components(adj) if len(c) > 1 for x in c]
-    out = pd.DataFrame(rows, columns=["component", "id"])
-    out["snapshot"] = pdf["snapshot"].iloc[0]
-    return out[["snapshot", "id", "component"]]
+    """(snapshot, code, component) of coded edges; a component is named by one of its codes."""
+    codes, ends = np.unique(np.concatenate([pdf["s"].to_numpy(), pdf["d"].to_numpy()]), return_inverse=True)
+    s, d = ends[: len(pdf)], ends[len(pdf) :]
+    start = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=len(codes)))])
+    of = np.array(strong_components(start.tolist(), d[np.argsort(s, kind="stable")].tolist()))
+    held = np.bincount(of)[of] > 1
+    name = np.zeros(of.max() + 1, dtype=np.int64)
+    name[of] = codes
+    return pd.DataFrame({"snapshot": pdf["snapshot"].iloc[0], "code": codes[held], "component": name[of][held]})
+
+
+def _finished(ws: Workspace, edges: DataFrame) -> DataFrame:
+    """(snapshot, id, component) of pieces that one task each takes; ids go there as numbers."""
+    kind = edges.schema["snapshot"].dataType.simpleString()
+    ids = edges.select("snapshot", F.explode(F.array("s", "d")).alias("id")).distinct()
+    codes = ws.write(ids.withColumn("code", F.monotonically_increasing_id()), "codes")
+    coded = edges.join(codes.withColumnsRenamed({"id": "s", "code": "a"}), ["snapshot", "s"]).join(codes.withColumnsRenamed({"id": "d", "code": "b"}), ["snapshot", "d"])
+    pieces = coded.select("snapshot", "piece", F.col("a").alias("s"), F.col("b").alias("d")).groupBy("snapshot", "piece")
+    of = ws.write(pieces.applyInPandas(_finish, f"snapshot {kind}, code long, component long"), "of")
+    named = of.join(codes, ["snapshot", "code"])
+    least = named.groupBy("snapshot", "component").agg(F.min("id").alias("least"))
+    return ws.write(named.join(least, ["snapshot", "component"]).select("snapshot", "id", F.col("least").alias("component")), "found")
 
 
 def scc(adj: DataFrame, *, local_edges: int = PIECE, trims: int = 3) -> DataFrame:
@@ -101,7 +117,7 @@ def scc(adj: DataFrame, *, local_edges: int = PIECE, trims: int = 3) -> DataFram
         if local_edges:
             small = rest.groupBy("snapshot", "piece").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= local_edges).select("snapshot", "piece")
             own = rest.join(small, ["snapshot", "piece"], "left_semi")
-            found.append(ws.write(own.groupBy("snapshot", "piece").applyInPandas(_finish, kinds), "found"))
+            found.append(_finished(ws, own))
             rest, seen = ws.write_counted(rest.join(small, ["snapshot", "piece"], "left_anti").select("snapshot", "piece", "s", "d"), "edges")
             n = seen["n"]
         if not n:

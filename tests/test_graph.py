@@ -234,3 +234,24 @@ def test_scan_lists_every_god_object_that_needs_review(spark):
     graph = Graph(nodes, edges, edges.limit(0).select("snapshot", "src", "relation", "dst_symbol"))
     found = graphops.scan(graph).where("issue = 'god_object'")
     assert {(r.id, r.urgency) for r in found.collect()} == {(x, "green") for x in heavy}
+
+
+RINGED = ["cycles"]
+
+
+@pytest.mark.parametrize("name", RINGED)
+def test_a_ring_of_many_edges_needs_no_rounds(spark, monkeypatch, name):
+    monkeypatch.setattr(circles, "_labels", lambda *_: pytest.fail("rounds along the ring"))
+    n = 21_000
+    ring = [f"a.py::f{i:05d}" for i in range(n)]
+    nodes = spark.createDataFrame([(1, x, "Function", x[6:], False, [], x[:4]) for x in ring] + [(1, "v", "Variable", "v", False, [], "v")], "snapshot int, id string, kind string, name string, is_stub boolean, roles array<string>, file string")
+    links = [(x, "CALLS", ring[(i + 1) % n]) for i, x in enumerate(ring)] + [(ring[5], "WRITES", "v"), (ring[3], "READS", "v")]
+    edges = spark.createDataFrame([(1, s, r, d, d, 1.0, "extracted", False) for s, r, d in links], "snapshot int, src string, relation string, dst_id string, dst_symbol string, weight double, provenance string, name_based boolean")
+    graph = Graph(nodes, edges, edges.limit(0).select("snapshot", "src", "relation", "dst_symbol"))
+    found = getattr(graphops, name)(graph)
+    if name in ("cycles", "data_loops"):
+        assert {(r.id, r.component) for r in found.collect()} == {(x, ring[0]) for x in ring + ["v"] * (name == "data_loops")}
+    elif name == "cycle_issues":
+        assert [(r.id, r.members, r.n_edges) for r in found.collect()] == [(ring[0], n, n)]
+    else:
+        assert {(r.issue, r.detail) for r in found.collect()} >= {("cycle", str(n)), ("data_loop", str(n + 1))}
