@@ -236,7 +236,7 @@ def test_scan_lists_every_god_object_that_needs_review(spark):
     assert {(r.id, r.urgency) for r in found.collect()} == {(x, "green") for x in heavy}
 
 
-RINGED = ["cycles", "cycle_issues", "data_loops"]
+RINGED = ["cycles", "cycle_issues", "data_loops", "scan"]
 
 
 @pytest.mark.parametrize("name", RINGED)
