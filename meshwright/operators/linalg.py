@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshwright.operators import kernels
-from meshwright.operators.kernels import LOCAL_EDGES
+from meshwright.operators.kernels import LOCAL_ONES
 from meshwright.runtime import Workspace
 
 
@@ -115,17 +115,24 @@ class Modes:
         return (int(np.searchsorted(cum, 0.9)) + 1, False) if cum[-1] >= 0.9 else (len(cum), True)
 
 
-def _in_one_task(ws: Workspace, rows: DataFrame, start: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], kinds: dict[str, str]) -> tuple[np.ndarray, dict[str, DataFrame]]:
-    """The values of a kernel over all rows and a start block, and its vectors by kind, one column per vector."""
+def _in_one_task(ws: Workspace, rows: DataFrame, start: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], kinds: dict[str, tuple[str, DataFrame]]) -> tuple[np.ndarray, dict[str, DataFrame]]:
+    """The values of a kernel over all rows and a start block, and its vectors by kind, one column per
+    vector. Rows and block hold numbers; ``kinds`` has by kind the name of its ids and (id, code) rows."""
     one, two = (df.withColumn("all", F.lit(1)).groupBy("all") for df in (rows, start))
-    out = ws.write(one.cogroup(two).applyInPandas(lambda pdf, block: kernel(pdf, block), "kind string, key string, v array<double>"), "kernel")
+    out = ws.write(one.cogroup(two).applyInPandas(lambda pdf, block: kernel(pdf, block), "kind string, key long, v array<double>"), "kernel")
     first = out.where("kind = 's'").first()
     values = np.array(first["v"] if first else [])
-    parts = {kind: out.where(F.col("kind") == kind).select(F.col("key").alias(name), *[F.col("v")[i].alias(f"v{i}") for i in range(len(values))]) for kind, name in kinds.items()}
+    cells = [F.col("v")[i].alias(f"v{i}") for i in range(len(values))]
+    parts = {kind: ws.write(out.where(F.col("kind") == kind).withColumnRenamed("key", "code").join(codes, "code").select(name, *cells), name) for kind, (name, codes) in kinds.items()}
     return values, parts
 
 
-def modes(pairs: DataFrame, n_tests: int, *, k: int = 16, spare: int = 4, rounds: int = 10, local_pairs: int = LOCAL_EDGES) -> Modes:
+def _coded(ws: Workspace, ids: DataFrame, name: str) -> DataFrame:
+    """(name, code): a number for each id of a table of distinct ones."""
+    return ws.write(ids.select(name).withColumn("code", F.monotonically_increasing_id()), "codes")
+
+
+def modes(pairs: DataFrame, n_tests: int, *, k: int = 16, spare: int = 4, rounds: int = 10, local_pairs: int = LOCAL_ONES) -> Modes:
     """Modes of the mean-centred matrix of tests and functions: the right singular vectors.
 
     A matrix of at most ``local_pairs`` ones is iterated in one task, from the same start and to the
@@ -142,7 +149,10 @@ def modes(pairs: DataFrame, n_tests: int, *, k: int = 16, spare: int = 4, rounds
     names, keep, ones = _columns(width), min(k, width), pairs.count()
     start, least = start_block(means, "function_id", width), 1e-9 * ones
     if ones <= local_pairs and row["n"]:
-        values, parts = _in_one_task(ws, pairs, start, lambda pdf, block: kernels.modes(pdf, block, n_tests, keep, rounds, least), {"f": "function_id", "t": "test_id"})
+        fs, ts = _coded(ws, means, "function_id"), _coded(ws, pairs.select("test_id").distinct(), "test_id")
+        coded = pairs.join(fs, "function_id").select("test_id", F.col("code").alias("function_id")).join(ts, "test_id").select(F.col("code").alias("test_id"), "function_id")
+        begun = start.join(fs, "function_id").drop("function_id").withColumnRenamed("code", "function_id")
+        values, parts = _in_one_task(ws, coded, begun, lambda pdf, block: kernels.modes(pdf, block, n_tests, keep, rounds, least), {"f": ("function_id", fs), "t": ("test_id", ts)})
         values = np.maximum(values, 0.0)
         return Modes([float(x / total) if total > 0 else 0.0 for x in values], np.sqrt(values), parts["f"], parts["t"], means, n_tests, total)
 
@@ -204,7 +214,7 @@ def neighbours(found: Modes, anchor: str) -> DataFrame:
     return out.where("score > 0")
 
 
-def spectral_embedding(nodes: DataFrame, adj: DataFrame, *, k: int = 12, spare: int = 8, rounds: int = 24, local_edges: int = LOCAL_EDGES) -> tuple[np.ndarray, DataFrame]:
+def spectral_embedding(nodes: DataFrame, adj: DataFrame, *, k: int = 12, spare: int = 8, rounds: int = 24, local_edges: int = LOCAL_ONES) -> tuple[np.ndarray, DataFrame]:
     """Smallest eigenvalues of the normalised Laplacian with their vectors (id, v0..).
 
     ``adj``: (s, d) undirected pairs in both directions; iterates (I + D^-1/2 A D^-1/2) / 2, whose
@@ -219,7 +229,10 @@ def spectral_embedding(nodes: DataFrame, adj: DataFrame, *, k: int = 12, spare:
     width = max(1, min(k + spare, ids.count()))
     keep, start = min(k, width), start_block(ids, "id", width)
     if 0 < adj.count() <= local_edges:
-        values, parts = _in_one_task(ws, adj, start, lambda pdf, block: kernels.spectral(pdf, block, keep, rounds), {"f": "id"})
+        codes = _coded(ws, ids, "id")
+        coded = adj.join(codes.withColumnsRenamed({"id": "s", "code": "a"}), "s").join(codes.withColumnsRenamed({"id": "d", "code": "b"}), "d").select(F.col("a").alias("s"), F.col("b").alias("d"))
+        begun = start.join(codes, "id").drop("id").withColumnRenamed("code", "id")
+        values, parts = _in_one_task(ws, coded, begun, lambda pdf, block: kernels.spectral(pdf, block, keep, rounds), {"f": ("id", codes)})
         return 2 - 2 * values, parts["f"]
     scaled = adj.join(degree.withColumnsRenamed({"id": "s", "deg": "ds"}), "s").join(degree.withColumnsRenamed({"id": "d", "deg": "dd"}), "d")
     links = ws.write(scaled.select("s", "d", (F.lit(1.0) / F.sqrt(F.col("ds") * F.col("dd"))).alias("w")), "links")

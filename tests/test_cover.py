@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from meshwright.operators import churn, cover, linalg, similar
+from meshwright.operators import churn, cover, kernels, linalg, similar
 
 
 def coverage(spark, rows):
@@ -171,3 +171,20 @@ def test_nearest_vectors(spark):
         score = unit @ unit[q]
         want = [i for i in np.argsort(-score) if i != q and score[i] > 0][:4]
         assert [r.id for r in sorted(got, key=lambda r: r.place) if r["query"] == q] == want
+
+
+def test_close_eigenvalues_take_few_products():
+    rng = np.random.default_rng(3)
+    turn = np.linalg.qr(rng.normal(size=(600, 600)))[0]
+    values = np.sort(np.concatenate([[9.0, 8.0], 5 * (1 - np.linspace(0, 1, 598) ** 0.6)]))[::-1]
+    times = 0
+
+    def apply(v):
+        nonlocal times
+        times += 1
+        assert times < 200
+        return turn @ (values[:, None] * (turn.T @ v))
+
+    found, vectors = kernels._leading(apply, rng.normal(size=(600, 6)), 5, 10, 0.0)
+    assert found == pytest.approx(values[:5], rel=1e-4)
+    assert (np.linalg.norm(turn @ (values[:, None] * (turn.T @ vectors)) - vectors * found, axis=0) <= 1.01e-3 * found).all()
