@@ -20,54 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshwright.operators.kernels import strong_components
 from meshwright.runtime import Workspace, lay_out
 
 #: Edges of a piece up to which one task finishes it, with numbers for ids: about 100 bytes an edge.
 PIECE = 5_000_000
 
 
-def strong_components(start: list[int], to: list[int]) -> list[int]:
-    """Component numbers of nodes 0..n-1 by two stacks (path-based search); the successors of a
-    node are ``to[start[node]:start[node + 1]]``."""
-    n = len(start) - 1
-    order, component, at = [-1] * n, [-1] * n, start[:n]
-    open_nodes: list[int] = []
-    bounds: list[int] = []
-    counter = found = 0
-    for root in range(n):
-        if order[root] >= 0:
-            continue
-        order[root], counter = counter, counter + 1
-        open_nodes.append(root)
-        bounds.append(root)
-        work = [root]
-        while work:
-            node = work[-1]
-            i = at[node]
-            if i < start[node + 1]:
-                at[node] = i + 1
-                nxt = to[i]
-                if order[nxt] < 0:
-                    order[nxt], counter = counter, counter + 1
-                    open_nodes.append(nxt)
-                    bounds.append(nxt)
-                    work.append(nxt)
-                elif component[nxt] < 0:
-                    while order[bounds[-1]] > order[nxt]:
-                        bounds.pop()
-            else:
-                work.pop()
-                if bounds[-1] == node:
-                    bounds.pop()
-                    while True:
-                        member = open_nodes.pop()
-                        component[member] = found
-                        if member == node:
-                            break
-                    found += 1
-    return component
-
-
 def _finish(pdf: pd.DataFrame) -> pd.DataFrame:
     """(snapshot, code, component) of coded edges; a component is named by one of its codes."""
     codes, ends = np.unique(np.concatenate([pdf["s"].to_numpy(), pdf["d"].to_numpy()]), return_inverse=True)

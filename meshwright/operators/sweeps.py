@@ -97,6 +97,36 @@ def lane_reach(adj: DataFrame, seeds: DataFrame, *, local_edges: int = LOCAL_EDG
     return ws.write(whole(), "seen")
 
 
+def lane_counts(adj: DataFrame, lanes: DataFrame, *, by_node: bool, chunk: int = 16_384) -> DataFrame:
+    """Sizes of the closures of many lanes, without their rows (``kernels.lane_counts``).
+
+    ``lanes``: (snapshot, lane, id, seed). Returns (snapshot, id, n, hit) by node, or (snapshot,
+    lane, n, hit). A task has a snapshot's edges, with numbers for ids, and ``chunk`` lanes.
+    """
+    ws = Workspace(adj.sparkSession, "lane-counts")
+    kind = adj.schema["snapshot"].dataType.simpleString()
+    links, lanes = ws.write(adj.select("snapshot", "s", "d").distinct(), "links"), ws.write(lanes.select("snapshot", "lane", "id", "seed"), "lanes")
+    ids = links.select("snapshot", F.explode(F.array("s", "d")).alias("id")).unionByName(lanes.select("snapshot", "id")).distinct()
+    codes = ws.write(ids.withColumn("code", F.monotonically_increasing_id()), "codes")
+    placed = lanes.join(codes, ["snapshot", "id"]).select("snapshot", F.floor(F.col("lane") / chunk).alias("chunk"), "lane", "code", "seed")
+    coded = links.join(codes.withColumnsRenamed({"id": "s", "code": "a"}), ["snapshot", "s"]).join(codes.withColumnsRenamed({"id": "d", "code": "b"}), ["snapshot", "d"])
+    coded = ws.write(coded.select("snapshot", F.col("a").alias("s"), F.col("b").alias("d")), "coded")
+    chunks = ws.write(placed, "placed").select("snapshot", "chunk").distinct()
+    left = coded.join(F.broadcast(chunks), "snapshot").groupBy("snapshot", "chunk")
+    right = placed.groupBy("snapshot", "chunk")
+
+    def run(edges: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        found = kernels.lane_counts(edges, own, by_node)
+        found["snapshot"] = own["snapshot"].iloc[0]
+        return found[["snapshot", "key", "n", "hit"]]
+
+    out = ws.write(left.cogroup(right).applyInPandas(run, f"snapshot {kind}, key long, n long, hit long"), "counts")
+    if not by_node:
+        return out.withColumnRenamed("key", "lane")
+    sums = out.groupBy("snapshot", F.col("key").alias("code")).agg(F.sum("n").alias("n"), F.sum("hit").alias("hit"))
+    return sums.join(codes, ["snapshot", "code"]).select("snapshot", "id", "n", "hit")
+
+
 def lanes(groups: DataFrame, key: str = "group") -> DataFrame:
     """Numbers (snapshot, group, id) seeds by group: adds ``word`` and ``mask``.
 

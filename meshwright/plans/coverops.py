@@ -72,14 +72,12 @@ def audit_graph(spark: SparkSession, d: str) -> DataFrame:
     entry = ran.join(own, ["snapshot", "test_id"], "left_anti").join(called, ["snapshot", "test_id", "function_id"], "left_anti")
     seeds = own.select("snapshot", "test_id", F.col("test_id").alias("id")).unionByName(entry.select("snapshot", "test_id", F.col("function_id").alias("id")))
     numbered = sweeps.lanes(seeds.withColumn("group", F.concat_ws("\x1f", F.col("snapshot").cast("string"), "test_id")))
-    labels = sweeps.lane_reach(adj, numbered.select("snapshot", "word", "id", "mask"))
-    lane = numbered.select("snapshot", "test_id", "word", "mask", (F.col("number") % 64).cast("int").alias("bit")).distinct()
-    bits = ran.join(lane, ["snapshot", "test_id"]).join(labels.withColumnsRenamed({"id": "function_id", "mask": "seen"}), ["snapshot", "word", "function_id"], "left")
-    hit = F.sum(F.when(F.col("mask").bitwiseAND(F.coalesce("seen", F.lit(0).cast("long"))) != 0, 1).otherwise(0))
-    per = bits.groupBy("snapshot", "test_id", "word", "bit").agg(F.count(F.lit(1)).alias("executed"), hit.alias("hit"))
-    bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("getbit", F.col("mask"), i) == 1))
-    sizes = labels.select("snapshot", "word", bit.alias("bit")).groupBy("snapshot", "word", "bit").agg(F.count(F.lit(1)).alias("reached"))
-    out = per.join(sizes, ["snapshot", "word", "bit"])
+    lane = numbered.select("snapshot", "test_id", F.col("number").alias("lane")).distinct()
+    asked = ran.join(lane, ["snapshot", "test_id"]).select("snapshot", "lane", F.col("function_id").alias("id"), F.lit(False).alias("seed"))
+    started = numbered.select("snapshot", F.col("number").alias("lane"), "id", F.lit(True).alias("seed"))
+    counts = sweeps.lane_counts(adj, started.unionByName(asked), by_node=False).withColumnRenamed("n", "reached")
+    executed = ran.groupBy("snapshot", "test_id").agg(F.count(F.lit(1)).alias("executed"))
+    out = counts.join(lane, ["snapshot", "lane"]).join(executed, ["snapshot", "test_id"])
     return out.select("snapshot", "test_id", "executed", "hit", "reached", F.round(F.col("hit") / F.col("executed"), 3).alias("recall"))
 
 

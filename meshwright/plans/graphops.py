@@ -211,8 +211,8 @@ def transitive_fan_in(graph: Graph, samples: int = 64) -> DataFrame:
     step = F.greatest(F.floor(F.col("size") / samples), F.lit(1))
     chosen = seeds.where((F.col("number") - F.col("low")) % step == 0)
     kept = chosen.groupBy("snapshot").agg(F.count(F.lit(1)).alias("kept"))
-    labels = sweeps.lane_reach(graph.adjacency(confident=True), chosen.select("snapshot", "word", "id", "mask"))
-    hits = labels.groupBy("snapshot", "id").agg(F.sum(F.bit_count("mask")).alias("hits"))
+    started = chosen.select("snapshot", F.col("number").alias("lane"), "id", F.lit(True).alias("seed"))
+    hits = sweeps.lane_counts(graph.adjacency(confident=True), started, by_node=True).select("snapshot", "id", F.col("n").alias("hits"))
     own = chosen.select("snapshot", "id", F.lit(1).alias("own"))
     out = hits.join(own, ["snapshot", "id"], "left").join(F.broadcast(kept), "snapshot").join(F.broadcast(size), "snapshot")
     value = (F.col("hits") - F.coalesce("own", F.lit(0))) * F.col("size") / F.col("kept")

@@ -255,3 +255,20 @@ def test_a_ring_of_many_edges_needs_no_rounds(spark, monkeypatch, name):
         assert [(r.id, r.members, r.n_edges) for r in found.collect()] == [(ring[0], n, n)]
     else:
         assert {(r.issue, r.detail) for r in found.collect()} >= {("cycle", str(n)), ("data_loop", str(n + 1))}
+
+
+@pytest.mark.parametrize("chunk", [64, 16_384])
+def test_lane_counts_equal_closures(spark, chunk):
+    rng = random.Random(4)
+    ids = [f"n{i}" for i in range(90)]
+    edges = [(rng.choice(ids), rng.choice(ids)) for _ in range(100)]
+    reach = {x: set(closure(edges, x)) for x in ids}
+    asked = {x: rng.sample(ids, 5) for x in ids}
+    rows = [(1, i, x, True) for i, x in enumerate(ids)] + [(1, 0, "n89", True)] + [(1, i, y, False) for i, x in enumerate(ids) for y in asked[x]]
+    reach_0 = reach["n0"] | reach["n89"]
+    adj, lanes = spark.createDataFrame([(1, s, d) for s, d in edges], ADJ), spark.createDataFrame(rows, "snapshot int, lane long, id string, seed boolean")
+    of = {x: reach_0 if x == "n0" else reach[x] for x in ids}
+    got = {r.lane: (r.n, r.hit) for r in sweeps.lane_counts(adj, lanes, by_node=False, chunk=chunk).collect()}
+    assert got == {i: (len(of[x]), len(of[x] & set(asked[x]))) for i, x in enumerate(ids)}
+    by_node = {r.id: r.n for r in sweeps.lane_counts(adj, lanes, by_node=True, chunk=chunk).collect()}
+    assert by_node == {y: sum(y in of[x] for x in ids) for y in ids}
