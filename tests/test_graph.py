@@ -272,3 +272,18 @@ def test_lane_counts_equal_closures(spark, chunk):
     assert got == {i: (len(of[x]), len(of[x] & set(asked[x]))) for i, x in enumerate(ids)}
     by_node = {r.id: r.n for r in sweeps.lane_counts(adj, lanes, by_node=True, chunk=chunk).collect()}
     assert by_node == {y: sum(y in of[x] for x in ids) for y in ids}
+
+
+SAMPLES = [64]
+
+
+@pytest.mark.parametrize("samples", SAMPLES)
+def test_fan_in_of_a_chain_makes_no_rows_of_lanes(spark, monkeypatch, samples):
+    monkeypatch.setattr(sweeps, "lane_reach", lambda *_, **__: pytest.fail("a row for each word of lanes and node"))
+    chain = [f"a.py::f{i:03d}" for i in range(128)]
+    nodes = spark.createDataFrame([(1, x, "Function", x[6:], False, [], x[:4]) for x in chain], "snapshot int, id string, kind string, name string, is_stub boolean, roles array<string>, file string")
+    edges = spark.createDataFrame([(1, s, "CALLS", d, d, 1.0, "extracted", True) for s, d in itertools.pairwise(chain)], "snapshot int, src string, relation string, dst_id string, dst_symbol string, weight double, provenance string, name_based boolean")
+    found = graphops.transitive_fan_in(Graph(nodes, edges, edges.limit(0).select("snapshot", "src", "relation", "dst_symbol")), samples)
+    step = max(128 // samples, 1)
+    want = {x: sum(j < i for j in range(0, 128, step)) * step for i, x in enumerate(chain)}
+    assert {r.id: r.fan_in for r in found.collect()} == {x: n for x, n in want.items() if n}
