@@ -274,7 +274,7 @@ def test_lane_counts_equal_closures(spark, chunk):
     assert by_node == {y: sum(y in of[x] for x in ids) for y in ids}
 
 
-SAMPLES = [64]
+SAMPLES = [64, 1 << 30]
 
 
 @pytest.mark.parametrize("samples", SAMPLES)
