@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
@@ -291,9 +292,11 @@ def subsystems(graph: Graph, snapshot: int) -> DataFrame:
 
 
 def find_subsystems(spark: SparkSession, d: str) -> DataFrame:
-    """Subsystems of every snapshot; each is decomposed by itself."""
+    """Subsystems of every snapshot; each is decomposed by itself, four of them at a time, since a
+    decomposition is mostly one task."""
     g = load_graph(spark, d)
-    parts = [subsystems(g, p) for p in periods(spark, d)]
+    with ThreadPoolExecutor(4) as pool:
+        parts = list(pool.map(lambda p: subsystems(g, p), periods(spark, d)))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -1,4 +1,5 @@
 import random
+import threading
 from collections import Counter
 from itertools import combinations
 
@@ -6,6 +7,7 @@ import numpy as np
 import pytest
 
 from meshwright.operators import churn, cover, kernels, linalg, similar
+from meshwright.plans import coverops
 
 
 def coverage(spark, rows):
@@ -188,3 +190,11 @@ def test_close_eigenvalues_take_few_products():
     found, vectors = kernels._leading(apply, rng.normal(size=(600, 6)), 5, 10, 0.0)
     assert found == pytest.approx(values[:5], rel=1e-4)
     assert (np.linalg.norm(turn @ (values[:, None] * (turn.T @ vectors)) - vectors * found, axis=0) <= 1.01e-3 * found).all()
+
+
+def test_subsystems_of_snapshots_are_found_side_by_side(spark, monkeypatch):
+    met = threading.Barrier(2, timeout=20)
+    monkeypatch.setattr(coverops, "load_graph", lambda *_: None)
+    monkeypatch.setattr(coverops, "periods", lambda *_: [1, 2])
+    monkeypatch.setattr(coverops, "subsystems", lambda _, p: met.wait() >= 0 and spark.range(p, p + 1))
+    assert [r.id for r in coverops.find_subsystems(spark, "").collect()] == [1, 2]
