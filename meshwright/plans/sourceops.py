@@ -27,8 +27,7 @@ def python_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def python_edges(spark: SparkSession, d: str) -> DataFrame:
-    files = listings(spark, d)
-    return pysource.resolve(pysource.definitions(files), pysource.references(files), pysource.symbols(files))
+    return pysource.resolve(*pysource.extracted(listings(spark, d)))
 
 
 def python_bases(spark: SparkSession, d: str) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshwright.functions.ids import same_language
+from meshwright.runtime import Workspace
 
 NODE_SCHEMA = "snapshot int, id string, kind string, name string, location string, end_line int, is_stub boolean, arity int, summary string, roles array<string>, file string"
 REF_SCHEMA = "snapshot int, src string, relation string, dst_symbol string, scope string, receiver boolean, line int, file string"
@@ -430,6 +431,42 @@ def symbols(sources: DataFrame) -> DataFrame:
     return sources.select(F.lit(0).alias("snapshot"), "path", "text").mapInPandas(_emit("symbols"), SYMBOL_SCHEMA)
 
 
+#: Rows of files that a task hands on at once.
+AT_ONCE = 50_000
+
+
+def _all_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = []
+    for pdf in frames:
+        for snapshot, path, text in zip(pdf["snapshot"], pdf["path"], pdf["text"]):
+            found = parse_file(path, text)
+            if found is None:
+                continue
+            none = [None] * 6
+            # what, snapshot, file; node: id, kind, name, location, end_line, is_stub, arity, summary, roles; reference: src ... line
+            rows += [("node", snapshot, path, *x, *none) for x in found.nodes]
+            rows += [("reference", snapshot, path, *none, *none[:3], *x) for x in found.refs]
+            rows += [("symbol", snapshot, path, None, *x, *none, *none) for x in found.symbols]
+            if len(rows) >= AT_ONCE:
+                yield pd.DataFrame(rows, columns=_ALL)
+                rows = []
+    yield pd.DataFrame(rows, columns=_ALL)
+
+
+_KINDS = dict(c.split() for c in ", ".join(("what string", NODE_SCHEMA, REF_SCHEMA)).split(", "))
+_ALL = ["what", "snapshot", "file", *[c for c in _KINDS if c not in ("what", "snapshot", "file")]]
+
+
+def extracted(sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``definitions``, ``references`` and ``symbols`` of files, each parsed once: what stands in them is
+    written, so that plans which read it many times neither parse again nor hold the extraction."""
+    ws = Workspace(sources.sparkSession, "extracted")
+    rows = sources.select("snapshot", "path", "text").mapInPandas(_all_rows, ", ".join(f"{c} {_KINDS[c]}" for c in _ALL))
+    rows = ws.write(rows, "rows", partition_by=("what",))
+    shown = lambda what, schema: rows.where(F.col("what") == what).select(*[c.split()[0] for c in schema.split(", ")])
+    return shown("node", NODE_SCHEMA), shown("reference", REF_SCHEMA), shown("symbol", SYMBOL_SCHEMA)
+
+
 def state_edges(refs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of mutable state: variables that some function writes, with those that write
     and read them; state of an object only if one method writes what another reads."""

@@ -337,3 +337,22 @@ def test_edges_of_deep_files_and_odd_names(spark):
     files = _files(spark, ("a.py", DEEP + "def b():\n    return getattr(A, '\\\\ud800')\n"), (None, "def g():\n    return b()\n"))
     edges = pysource.resolve(pysource.definitions(files), pysource.references(files), pysource.symbols(files)).collect()
     assert {(e.src, e.relation, e.dst_id) for e in edges} == {("a.py::A.f", "CALLS", "a.py::b"), ("a.py::b", "REFERENCES", "a.py::A")}
+
+
+def _listed(spark, path, *texts):
+    rows = [(i, text, "code_listing") for i, text in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_edges_of_listings_parse_each_file_once(spark, tmp_path):
+    from meshwright.plans.sourceops import python_edges
+
+    d = _listed(spark, tmp_path, DEEP + "def b():\n    return A\n", "LIMIT = 1\ndef g():\n    return b()\n", "no code at all")
+    edges = python_edges(spark, d)
+    assert {(e.src, e.relation, e.dst_id) for e in edges.collect()} >= {("listings/0.py::A.f", "CALLS", "listings/0.py::b"), ("listings/1.py::g", "CALLS", "listings/0.py::b")}
+    assert "MapInPandas" not in edges._jdf.queryExecution().executedPlan().toString()
+    files = _files(spark, *[f for f in FILES.items() if f[0].endswith(".py")])
+    apart = pysource.definitions(files), pysource.references(files), pysource.symbols(files)
+    for got, one in zip(pysource.extracted(files), apart):
+        assert sorted(repr(r) for r in got.collect()) == sorted(repr(r) for r in one.collect())
