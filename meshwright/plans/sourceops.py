@@ -32,11 +32,11 @@ def python_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def python_bases(spark: SparkSession, d: str) -> DataFrame:
     """(src, base, line, n_candidates): bases of classes and what the name may mean in all files."""
-    files = listings(spark, d)
-    refs = pysource.references(files).where("relation = 'INHERITS'").select("src", F.col("dst_symbol").alias("base"), "line")
-    edges = pysource.resolve(pysource.definitions(files), pysource.references(files)).where("relation = 'INHERITS'")
+    nodes, refs, _ = pysource.extracted(listings(spark, d))
+    named = refs.where("relation = 'INHERITS'")
+    edges = pysource.resolve(nodes, named)
     found = edges.groupBy("src", F.col("dst_symbol").alias("base")).agg(F.countDistinct("dst_id").alias("n_candidates"))
-    return refs.join(found, ["src", "base"], "left").fillna(0, ["n_candidates"])
+    return named.select("src", F.col("dst_symbol").alias("base"), "line").join(found, ["src", "base"], "left").fillna(0, ["n_candidates"])
 
 
 def similar_structure(spark: SparkSession, d: str) -> DataFrame:

@@ -356,3 +356,12 @@ def test_edges_of_listings_parse_each_file_once(spark, tmp_path):
     apart = pysource.definitions(files), pysource.references(files), pysource.symbols(files)
     for got, one in zip(pysource.extracted(files), apart):
         assert sorted(repr(r) for r in got.collect()) == sorted(repr(r) for r in one.collect())
+
+
+def test_bases_of_listings_parse_each_file_once(spark, tmp_path):
+    from meshwright.plans.sourceops import python_bases
+
+    d = _listed(spark, tmp_path, DEEP, "class B:\n    pass\nclass C(A, B):\n    x = A(B)\n", "class B:\n    pass\n")
+    bases = python_bases(spark, d)
+    assert {(r.src, r.base, r.line, r.n_candidates) for r in bases.collect()} == {("listings/0.py::A", "B", 1, 2), ("listings/1.py::C", "A", 3, 1), ("listings/1.py::C", "B", 3, 2)}
+    assert "MapInPandas" not in bases._jdf.queryExecution().executedPlan().toString()
