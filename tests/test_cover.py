@@ -4,6 +4,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from meshwright.operators import churn, cover, kernels, linalg, similar
@@ -198,3 +199,18 @@ def test_subsystems_of_snapshots_are_found_side_by_side(spark, monkeypatch):
     monkeypatch.setattr(coverops, "periods", lambda *_: [1, 2])
     monkeypatch.setattr(coverops, "subsystems", lambda _, p: met.wait() >= 0 and spark.range(p, p + 1))
     assert [r.id for r in coverops.find_subsystems(spark, "").collect()] == [1, 2]
+
+
+def test_close_modes_take_few_products_and_are_right(monkeypatch):
+    rng = np.random.default_rng(5)
+    ones = np.unique(rng.integers(0, [500, 400], size=(5000, 2)), axis=0)
+    dense = np.zeros((510, 400))
+    dense[ones[:, 0], ones[:, 1]] = 1
+    start = pd.DataFrame(rng.uniform(-1, 1, (400, 8)), columns=[f"v{i}" for i in range(8)]).assign(function_id=range(400), all=1)
+    times, plain = [], kernels.Sparse.times
+    monkeypatch.setattr(kernels.Sparse, "times", lambda m, v: times.append(1) or plain(m, v))
+    out = kernels.modes(pd.DataFrame(ones, columns=["test_id", "function_id"]), start, 510, 5, 10, 0.0)
+    values = out[out["kind"] == "s"]["v"].iloc[0]
+    _, s, right = np.linalg.svd(dense - dense.mean(0))
+    assert len(times) < 50 and values == pytest.approx(s[:5] ** 2, rel=1e-8)
+    assert np.abs((np.stack(out[out["kind"] == "f"]["v"].to_numpy()) * right[:5].T).sum(0)) == pytest.approx(1, abs=1e-6)
