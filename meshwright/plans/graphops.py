@@ -210,6 +210,8 @@ def transitive_fan_in(graph: Graph, samples: int = 64) -> DataFrame:
     seeds = seeds.join(F.broadcast(low), "snapshot").join(F.broadcast(size), "snapshot")
     step = F.greatest(F.floor(F.col("size") / samples), F.lit(1))
     chosen = seeds.where((F.col("number") - F.col("low")) % step == 0)
+    # numbered without gaps in each snapshot, since every stretch of lanes takes the snapshot's edges once more
+    chosen = chosen.withColumn("number", F.floor((F.col("number") - F.col("low")) / step))
     kept = chosen.groupBy("snapshot").agg(F.count(F.lit(1)).alias("kept"))
     started = chosen.select("snapshot", F.col("number").alias("lane"), "id", F.lit(True).alias("seed"))
     hits = sweeps.lane_counts(graph.adjacency(confident=True), started, by_node=True).select("snapshot", "id", F.col("n").alias("hits"))

@@ -287,3 +287,14 @@ def test_fan_in_of_a_chain_makes_no_rows_of_lanes(spark, monkeypatch, samples):
     step = max(128 // samples, 1)
     want = {x: sum(j < i for j in range(0, 128, step)) * step for i, x in enumerate(chain)}
     assert {r.id: r.fan_in for r in found.collect()} == {x: n for x, n in want.items() if n}
+
+
+def test_sampled_lanes_are_numbered_without_gaps(spark, monkeypatch):
+    ids = [f"a.py::f{i:03d}" for i in range(90)]
+    nodes = spark.createDataFrame([(p, x, "Function", x[6:], False, [], x[:4]) for p in (1, 2) for x in ids], "snapshot int, id string, kind string, name string, is_stub boolean, roles array<string>, file string")
+    edges = spark.createDataFrame([(p, s, "CALLS", d, d, 1.0, "extracted", True) for p in (1, 2) for s, d in itertools.pairwise(ids)], "snapshot int, src string, relation string, dst_id string, dst_symbol string, weight double, provenance string, name_based boolean")
+    given, counts = [], sweeps.lane_counts
+    monkeypatch.setattr(sweeps, "lane_counts", lambda adj, lanes, **k: given.append(lanes) or counts(adj, lanes, **k))
+    found = graphops.transitive_fan_in(Graph(nodes, edges, edges.limit(0).select("snapshot", "src", "relation", "dst_symbol")), 30)
+    assert {(r.snapshot, r.lane) for r in given[0].collect()} == {(p, i) for p in (1, 2) for i in range(30)}
+    assert {(r.snapshot, r.id): r.fan_in for r in found.collect()} == {(p, x): n for p in (1, 2) for i, x in enumerate(ids) if (n := -(-i // 3) * 3)}
