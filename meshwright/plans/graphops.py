@@ -17,6 +17,8 @@ CHANGED = "vendor/corekit/base.py::BaseUnit"
 SINK = "vendor/logkit/sink.py::Sink.write_out"
 SUBSYSTEM = "vendor/corekit"
 TOP = 10
+#: Lanes that a task closes over a snapshot's edges; it holds few at a time, whatever their number.
+FAN_CHUNK = 65_536
 
 
 def _top(df: DataFrame, n: int, *order: Column) -> DataFrame:
@@ -214,7 +216,7 @@ def transitive_fan_in(graph: Graph, samples: int = 64) -> DataFrame:
     chosen = chosen.withColumn("number", F.floor((F.col("number") - F.col("low")) / step))
     kept = chosen.groupBy("snapshot").agg(F.count(F.lit(1)).alias("kept"))
     started = chosen.select("snapshot", F.col("number").alias("lane"), "id", F.lit(True).alias("seed"))
-    hits = sweeps.lane_counts(graph.adjacency(confident=True), started, by_node=True).select("snapshot", "id", F.col("n").alias("hits"))
+    hits = sweeps.lane_counts(graph.adjacency(confident=True), started, by_node=True, chunk=FAN_CHUNK).select("snapshot", "id", F.col("n").alias("hits"))
     own = chosen.select("snapshot", "id", F.lit(1).alias("own"))
     out = hits.join(own, ["snapshot", "id"], "left").join(F.broadcast(kept), "snapshot").join(F.broadcast(size), "snapshot")
     value = (F.col("hits") - F.coalesce("own", F.lit(0))) * F.col("size") / F.col("kept")

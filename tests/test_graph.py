@@ -298,3 +298,12 @@ def test_sampled_lanes_are_numbered_without_gaps(spark, monkeypatch):
     found = graphops.transitive_fan_in(Graph(nodes, edges, edges.limit(0).select("snapshot", "src", "relation", "dst_symbol")), 30)
     assert {(r.snapshot, r.lane) for r in given[0].collect()} == {(p, i) for p in (1, 2) for i in range(30)}
     assert {(r.snapshot, r.id): r.fan_in for r in found.collect()} == {(p, x): n for p in (1, 2) for i, x in enumerate(ids) if (n := -(-i // 3) * 3)}
+
+
+def test_exact_fan_in_takes_the_edges_of_a_snapshot_few_times(spark, monkeypatch):
+    nodes = spark.createDataFrame([(1, f"a.py::{x}", "Function", x, False, [], "a.py") for x in "fgh"], "snapshot int, id string, kind string, name string, is_stub boolean, roles array<string>, file string")
+    edges = spark.createDataFrame([(1, "a.py::f", "CALLS", "a.py::g", "g", 1.0, "extracted", True)], "snapshot int, src string, relation string, dst_id string, dst_symbol string, weight double, provenance string, name_based boolean")
+    asked, counts = [], sweeps.lane_counts
+    monkeypatch.setattr(sweeps, "lane_counts", lambda *a, **k: asked.append(k.get("chunk", 16_384)) or counts(*a, **k))
+    found = graphops.transitive_fan_in(Graph(nodes, edges, edges.limit(0).select("snapshot", "src", "relation", "dst_symbol")), 1 << 30)
+    assert [(r.id, r.fan_in) for r in found.collect()] == [("a.py::g", 1)] and -(-200_000 // asked[0]) <= 4
