@@ -19,7 +19,9 @@ BLOCK = 400
 def runs(coverage: DataFrame, *, by_snapshot: bool = False) -> DataFrame:
     """([snapshot,] test_id, function_id): distinct pairs of all artifacts; null functions are none."""
     keep = ["snapshot"] * by_snapshot
-    cells = coverage.select(*keep, F.explode("tests").alias("t", "fs")).select(*keep, base_test_id(F.col("t")).alias("test_id"), F.explode("fs").alias("function_id"))
+    cells = coverage.select(*keep, F.explode("tests").alias("t", "fs")).select(*keep, base_test_id(F.col("t")).alias("test_id"), "fs")
+    # ids of tests are cut before functions are laid out: once a test, not once a function
+    cells = cells.select(*keep, "test_id", F.explode("fs").alias("function_id"))
     return cells.where(F.col("function_id").isNotNull()).distinct()
 
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,7 +97,8 @@ def subspace(ws: Workspace, block: DataFrame, key: str, k: int, step: Callable[[
 @dataclass
 class Modes:
     """``energies``: share of the total per mode; ``functions``: (function_id, v0..) unit loadings;
-    ``tests``: (test_id, v0..) the tests' coordinates, u times s; ``captured`` of ``total`` energy."""
+    ``tests``: (test_id, v0.., n, m) the tests' coordinates, u times s, the number of their functions and
+    the sum of these functions' means; ``captured`` of ``total`` energy; ``pairs``: the ones, written."""
 
     energies: list[float]
     singular: np.ndarray
@@ -105,6 +107,7 @@ class Modes:
     means: DataFrame
     n_tests: int
     total: float
+    pairs: DataFrame
 
     @property
     def dimensionality(self) -> tuple[int, bool]:
@@ -115,16 +118,24 @@ class Modes:
         return (int(np.searchsorted(cum, 0.9)) + 1, False) if cum[-1] >= 0.9 else (len(cum), True)
 
 
-def _in_one_task(ws: Workspace, rows: DataFrame, start: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], kinds: dict[str, tuple[str, DataFrame]]) -> tuple[np.ndarray, dict[str, DataFrame]]:
-    """The values of a kernel over all rows and a start block, and its vectors by kind, one column per
-    vector. Rows and block hold numbers; ``kinds`` has by kind the name of its ids and (id, code) rows."""
+def _in_one_task(ws: Workspace, rows: DataFrame, start: DataFrame, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]) -> tuple[np.ndarray, DataFrame]:
+    """The values of a kernel over all rows and a start block, and its rows (kind, code, v). Rows are two
+    columns of numbers, the block one and its vectors."""
+
+    def run(ones: pa.Table, block: pa.Table) -> pa.Table:
+        done = kernel(*(x.drop_columns("all").to_pandas(split_blocks=True) for x in (ones, block)))
+        return pa.table({"kind": pa.array(done["kind"], pa.string()), "code": pa.array(done["key"], pa.int64()), "v": pa.array(done["v"], pa.list_(pa.float64()))})
+
     one, two = (df.withColumn("all", F.lit(1)).groupBy("all") for df in (rows, start))
-    out = ws.write(one.cogroup(two).applyInPandas(lambda pdf, block: kernel(pdf, block), "kind string, key long, v array<double>"), "kernel")
+    out = ws.write(one.cogroup(two).applyInArrow(run, "kind string, code long, v array<double>"), "kernel")
     first = out.where("kind = 's'").first()
-    values = np.array(first["v"] if first else [])
-    cells = [F.col("v")[i].alias(f"v{i}") for i in range(len(values))]
-    parts = {kind: ws.write(out.where(F.col("kind") == kind).withColumnRenamed("key", "code").join(codes, "code").select(name, *cells), name) for kind, (name, codes) in kinds.items()}
-    return values, parts
+    return np.array(first["v"] if first else []), out
+
+
+def _named(out: DataFrame, kind: str, codes: DataFrame, *columns: str) -> DataFrame:
+    """(id, columns): the cells of a kernel's rows of one kind, with ids for codes."""
+    ident = next(c for c in codes.columns if c != "code")
+    return out.where(F.col("kind") == kind).join(codes, "code").select(ident, *[F.col("v")[i].alias(c) for i, c in enumerate(columns)])
 
 
 def _coded(ws: Workspace, ids: DataFrame, name: str) -> DataFrame:
@@ -132,29 +143,42 @@ def _coded(ws: Workspace, ids: DataFrame, name: str) -> DataFrame:
     return ws.write(ids.select(name).withColumn("code", F.monotonically_increasing_id()), "codes")
 
 
-def modes(pairs: DataFrame, n_tests: int, *, k: int = 16, spare: int = 4, rounds: int = 10, local_pairs: int = LOCAL_ONES) -> Modes:
+def _number(ids: DataFrame, name: str) -> Column:
+    """A number that follows from an id alone and is another one for each of a table's distinct ids."""
+    for seed in range(100):
+        number = F.xxhash64(F.lit(seed), F.col(name))
+        row = ids.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(number).alias("k")).first()
+        if row["n"] == row["k"]:
+            return number
+    raise ValueError(f"{name}: no numbers without collisions; are the ids distinct?")
+
+
+def modes(pairs: DataFrame, n_tests: int, *, k: int = 16, spare: int = 4, rounds: int = 10, local_pairs: int = LOCAL_ONES, tests: DataFrame | None = None) -> Modes:
     """Modes of the mean-centred matrix of tests and functions: the right singular vectors.
 
     A matrix of at most ``local_pairs`` ones is iterated in one task, from the same start and to the
     same residual, which is looked at every ``rounds`` rounds.
 
     ``pairs``: distinct (test_id, function_id); tests without functions count in ``n_tests``.
+    ``tests``: distinct test_id of all tests, where they are known.
     """
     ws = Workspace(pairs.sparkSession, "modes")
-    pairs = ws.write(pairs.select("test_id", "function_id"), "pairs")
+    pairs, seen = ws.write_counted(pairs.select("test_id", "function_id"), "pairs")
     means = ws.write(pairs.groupBy("function_id").agg((F.count(F.lit(1)) / F.lit(float(max(1, n_tests)))).alias("mean")), "means")
     row = means.agg(F.sum("mean").alias("a"), F.sum(F.col("mean") * F.col("mean")).alias("b"), F.count(F.lit(1)).alias("n")).first()
     total = float(n_tests) * ((row["a"] or 0.0) - (row["b"] or 0.0))
     width = max(1, min(k + spare, int(row["n"] or 1)))
-    names, keep, ones = _columns(width), min(k, width), pairs.count()
+    names, keep, ones = _columns(width), min(k, width), seen["n"]
     start, least = start_block(means, "function_id", width), 1e-9 * ones
     if ones <= local_pairs and row["n"]:
-        fs, ts = _coded(ws, means, "function_id"), _coded(ws, pairs.select("test_id").distinct(), "test_id")
-        coded = pairs.join(fs, "function_id").select("test_id", F.col("code").alias("function_id")).join(ts, "test_id").select(F.col("code").alias("test_id"), "function_id")
-        begun = start.join(fs, "function_id").drop("function_id").withColumnRenamed("code", "function_id")
-        values, parts = _in_one_task(ws, coded, begun, lambda pdf, block: kernels.modes(pdf, block, n_tests, keep, rounds, least), {"f": ("function_id", fs), "t": ("test_id", ts)})
-        values = np.maximum(values, 0.0)
-        return Modes([float(x / total) if total > 0 else 0.0 for x in values], np.sqrt(values), parts["f"], parts["t"], means, n_tests, total)
+        tests = ws.write(pairs.select("test_id").distinct(), "tests") if tests is None else tests
+        f, t = _number(means, "function_id"), _number(tests, "test_id")
+        coded, begun = pairs.select(t.alias("test_id"), f.alias("function_id")), start.select(f.alias("function_id"), *names)
+        values, out = _in_one_task(ws, coded, begun, lambda pdf, block: kernels.modes(pdf, block, n_tests, keep, rounds, least))
+        values, kept = np.maximum(values, 0.0), _columns(keep)
+        loads = _named(out, "f", means.select("function_id", f.alias("code")), *kept)
+        places = _named(out, "t", tests.select("test_id", t.alias("code")), *kept, "n", "m")
+        return Modes([float(x / total) if total > 0 else 0.0 for x in values], np.sqrt(values), loads, places, means, n_tests, total, pairs)
 
     def scores(v: DataFrame, shown: list[str]) -> tuple[DataFrame, list[float]]:
         drop = means.join(v, "function_id").agg(*[F.sum(F.col("mean") * F.col(c)).alias(c) for c in shown]).first()
@@ -177,19 +201,19 @@ def modes(pairs: DataFrame, n_tests: int, *, k: int = 16, spare: int = 4, rounds
     values, vectors = subspace(ws, start, "function_id", width, step, rounds, keep=keep, least=least)
     kept = _columns(keep)
     vectors = ws.write(vectors.select("function_id", *kept), "functions")
-    y, shift = scores(vectors, kept)
-    tests = ws.write(y.select("test_id", *[(F.col(c) - F.lit(s)).alias(c) for c, s in zip(kept, shift)]), "tests")
+    _, shift = scores(vectors, kept)
+    own = pairs.join(vectors.join(means, "function_id"), "function_id").groupBy("test_id").agg(*[F.sum(c).alias(c) for c in kept], F.count(F.lit(1)).cast("double").alias("n"), F.sum("mean").alias("m"))
+    tests = ws.write(own.select("test_id", *[(F.col(c) - F.lit(s)).alias(c) for c, s in zip(kept, shift)], "n", "m"), "tests")
     values = np.maximum(values, 0.0)
-    return Modes([float(x / total) if total > 0 else 0.0 for x in values], np.sqrt(values), vectors, tests, means, n_tests, total)
+    return Modes([float(x / total) if total > 0 else 0.0 for x in values], np.sqrt(values), vectors, tests, means, n_tests, total, pairs)
 
 
 def outliers(found: Modes, pairs: DataFrame) -> DataFrame:
     """(test_id, residual, breadth, kind): the share of a test that the modes do not explain, and
     whether a poorly explained one is broad (smoke) or has something to itself (unique)."""
     row = found.means.agg(F.sum(F.col("mean") * F.col("mean")).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    own = pairs.join(found.means, "function_id").groupBy("test_id").agg(F.count(F.lit(1)).alias("n"), F.sum("mean").alias("m"))
     captured = sum((F.col(f"v{i}") * F.col(f"v{i}") for i in range(len(found.energies))), F.lit(0.0))
-    both = own.join(found.tests, "test_id").select(
+    both = found.tests.select(
         "test_id", (F.col("n") - 2 * F.col("m") + F.lit(float(row["b"] or 0.0))).alias("energy"), captured.alias("captured"), (F.col("n") / F.lit(float(row["n"] or 1))).alias("breadth")
     )
     high = both.agg(F.percentile("breadth", 0.9).alias("q90")).first()["q90"] or 0.0
@@ -231,9 +255,9 @@ def spectral_embedding(nodes: DataFrame, adj: DataFrame, *, k: int = 12, spare:
     if 0 < adj.count() <= local_edges:
         codes = _coded(ws, ids, "id")
         coded = adj.join(codes.withColumnsRenamed({"id": "s", "code": "a"}), "s").join(codes.withColumnsRenamed({"id": "d", "code": "b"}), "d").select(F.col("a").alias("s"), F.col("b").alias("d"))
-        begun = start.join(codes, "id").drop("id").withColumnRenamed("code", "id")
-        values, parts = _in_one_task(ws, coded, begun, lambda pdf, block: kernels.spectral(pdf, block, keep, rounds), {"f": ("id", codes)})
-        return 2 - 2 * values, parts["f"]
+        begun = start.join(codes, "id").select(F.col("code").alias("id"), *_columns(width))
+        values, out = _in_one_task(ws, coded, begun, lambda pdf, block: kernels.spectral(pdf, block, keep, rounds))
+        return 2 - 2 * values, ws.write(_named(out, "f", codes, *_columns(len(values))), "vectors")
     scaled = adj.join(degree.withColumnsRenamed({"id": "s", "deg": "ds"}), "s").join(degree.withColumnsRenamed({"id": "d", "deg": "dd"}), "d")
     links = ws.write(scaled.select("s", "d", (F.lit(1.0) / F.sqrt(F.col("ds") * F.col("dd"))).alias("w")), "links")
     names = _columns(width)

@@ -15,6 +15,7 @@ from meshwright.operators import churn, cover, linalg, similar, sweeps
 from meshwright.operators.graph import Graph, is_test_node, load_graph
 from meshwright.plans.graphops import degrees, live_set
 from meshwright.plans.graphsql import GRAPH, ROOTS, test_path
+from meshwright.runtime import Workspace
 from meshwright.tables import periods, table
 
 #: Parameters of the registered queries.
@@ -170,8 +171,9 @@ def find_hotspots(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _modes(spark: SparkSession, d: str) -> tuple[linalg.Modes, DataFrame]:
-    pairs = _pairs(spark, d)
-    return linalg.modes(pairs, cover.all_tests(table(spark, d, "coverage")).count(), k=MODES), pairs
+    tests, seen = Workspace(spark, "tests").write_counted(cover.all_tests(table(spark, d, "coverage")), "tests")
+    found = linalg.modes(_pairs(spark, d), seen["n"], k=MODES, tests=tests)
+    return found, found.pairs
 
 
 def _unpivot(df: DataFrame, key: str, k: int) -> DataFrame:

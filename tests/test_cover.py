@@ -214,3 +214,27 @@ def test_close_modes_take_few_products_and_are_right(monkeypatch):
     _, s, right = np.linalg.svd(dense - dense.mean(0))
     assert len(times) < 50 and values == pytest.approx(s[:5] ** 2, rel=1e-8)
     assert np.abs((np.stack(out[out["kind"] == "f"]["v"].to_numpy()) * right[:5].T).sum(0)) == pytest.approx(1, abs=1e-6)
+
+
+def test_products_by_lines_are_the_dense_ones(monkeypatch):
+    rng = np.random.default_rng(3)
+    ones = np.unique(np.vstack([rng.integers(0, [900, 300], size=(4000, 2)), np.column_stack([np.arange(700), np.full(700, 7)])]), axis=0)
+    weight = rng.uniform(size=len(ones))
+    takes, take = [], np.take
+    monkeypatch.setattr(np, "take", lambda *a, **k: takes.append(1) or take(*a, **k))
+    for w in (None, weight):
+        m, dense = kernels.Sparse(ones[:, 0], ones[:, 1], (910, 310), w), np.zeros((910, 310))
+        dense[ones[:, 0], ones[:, 1]] = 1 if w is None else w
+        for block, got, want in ((rng.normal(size=(310, 12)), m.times, dense), (rng.normal(size=(910, 12)), m.transposed_times, dense.T)):
+            takes.clear()
+            assert np.allclose(got(block), want @ block)
+            assert 0 < len(takes) < 64
+
+
+def test_blocks_are_made_orthonormal():
+    rng = np.random.default_rng(4)
+    near = rng.normal(size=(500, 6))
+    near[:, 5] = near[:, 4] + 1e-9 * near[:, 5]
+    for block in (rng.normal(size=(500, 6)) * 10.0 ** np.arange(-6, 6, 2), near, np.zeros((500, 6))):
+        basis, upper = kernels._orthonormal(block)
+        assert np.allclose(basis.T @ basis, np.eye(6), atol=1e-10) and np.allclose(basis @ upper, block, rtol=1e-10, atol=1e-12)
