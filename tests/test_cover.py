@@ -238,3 +238,15 @@ def test_blocks_are_made_orthonormal():
     for block in (rng.normal(size=(500, 6)) * 10.0 ** np.arange(-6, 6, 2), near, np.zeros((500, 6))):
         basis, upper = kernels._orthonormal(block)
         assert np.allclose(basis.T @ basis, np.eye(6), atol=1e-10) and np.allclose(basis @ upper, block, rtol=1e-10, atol=1e-12)
+
+
+def test_modes_know_the_size_of_each_test(spark):
+    pairs = planted()
+    df = spark.createDataFrame(pairs, "test_id string, function_id string")
+    n_tests = len({t for t, _ in pairs}) + 4
+    found = linalg.modes(df, n_tests, k=3, spare=4, rounds=4)
+    mean = {f: sum(g == f for _, g in pairs) / n_tests for _, f in pairs}
+    want = {t: (sum(u == t for u, _ in pairs), pytest.approx(sum(mean[f] for u, f in pairs if u == t))) for t, _ in pairs}
+    assert {r.test_id: (r.n, r.m) for r in found.tests.collect()} == want
+    plan = linalg.outliers(found, df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "pairs" not in plan and "Generate" not in plan
