@@ -6,7 +6,9 @@ and parameters. Nothing here builds a matrix in memory.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshwright.functions.ids import base_test_id, file_of, qual_of
@@ -25,6 +27,20 @@ def runs(coverage: DataFrame, *, by_snapshot: bool = False) -> DataFrame:
     return cells.where(F.col("function_id").isNotNull()).distinct()
 
 
+def functions(coverage: DataFrame) -> DataFrame:
+    """(function_id) of all functions that a test ran."""
+    ran = coverage.select(F.explode(F.map_values("tests")).alias("fs")).select(F.explode("fs").alias("function_id"))
+    return ran.where(F.col("function_id").isNotNull()).distinct()
+
+
+def profiles(coverage: DataFrame, number: Callable[[Column], Column]) -> DataFrame:
+    """(test_id, codes) of all tests: the distinct numbers of the functions that a test ran, rising. A
+    function's number stands for it from the first, so that ids are not laid out by test."""
+    cells = coverage.select(F.explode("tests").alias("t", "fs"))
+    cells = cells.select(base_test_id(F.col("t")).alias("test_id"), F.transform(F.array_compact(F.coalesce("fs", F.array().cast("array<string>"))), number).alias("codes"))
+    return cells.groupBy("test_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("codes"))
+
+
 def all_tests(coverage: DataFrame) -> DataFrame:
     """(test_id) of all tests, those that ran nothing too."""
     return coverage.select(F.explode(F.map_keys("tests")).alias("t")).select(base_test_id(F.col("t")).alias("test_id")).distinct()

@@ -59,16 +59,18 @@ def _whiten(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values, vectors * scale
 
 
-def _unit(key: str, i: int, seed: int = 1) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed * 1000 + i), F.col(key)), F.lit(2_000_003)) / F.lit(1_000_001.5) - 1
+def _unit(key: str | Column, i: int, seed: int = 1) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed * 1000 + i), key), F.lit(2_000_003)) / F.lit(1_000_001.5) - 1
 
 
-def start_block(keys: DataFrame, key: str, k: int, seed: int = 1) -> DataFrame:
-    """Pseudo-random vectors that follow from the keys alone."""
-    return keys.select(key, *[_unit(key, i, seed).alias(f"v{i}") for i in range(k)])
+def start_block(keys: DataFrame, key: str, k: int, seed: int = 1, of: Column | None = None) -> DataFrame:
+    """Pseudo-random vectors that follow from the keys, or from ``of`` them, alone."""
+    return keys.select(key, *[_unit(key if of is None else of, i, seed).alias(f"v{i}") for i in range(k)])
 
 
-def subspace(ws: Workspace, block: DataFrame, key: str, k: int, step: Callable[[DataFrame], DataFrame], rounds: int, *, keep: int, least: float = 0.0) -> tuple[np.ndarray, DataFrame]:
+def subspace(
+    ws: Workspace, block: DataFrame, key: str, k: int, step: Callable[[DataFrame], DataFrame], rounds: int, *, keep: int, least: float = 0.0, of: Column | None = None
+) -> tuple[np.ndarray, DataFrame]:
     """The ``keep`` leading eigenvalues and vectors of the symmetric positive operator that ``step``
     applies to blocks of ``k``, iterated until they are settled (``kernels.ritz``), which is looked at
     every ``rounds`` rounds. A vector's sign is that of its product with the first of ``start_block``."""
@@ -87,7 +89,7 @@ def subspace(ws: Workspace, block: DataFrame, key: str, k: int, step: Callable[[
             values, turn, settled = kernels.ritz(small, g, keep, least)
             if settled:
                 vectors = ws.write(combine(cur, [key], turn[:, :keep]), "vectors")
-                lean = vectors.agg(*[F.sum(F.col(c) * _unit(key, 0)).alias(c) for c in _columns(keep)]).first()
+                lean = vectors.agg(*[F.sum(F.col(c) * _unit(key if of is None else of, 0)).alias(c) for c in _columns(keep)]).first()
                 signs = np.where(np.array([lean[c] or 0.0 for c in _columns(keep)]) < 0, -1.0, 1.0)
                 return values[:keep], vectors.select(key, *[(F.col(c) * F.lit(float(x))).alias(c) for c, x in zip(_columns(keep), signs)])
         held = (cur, nxt)
@@ -98,16 +100,19 @@ def subspace(ws: Workspace, block: DataFrame, key: str, k: int, step: Callable[[
 class Modes:
     """``energies``: share of the total per mode; ``functions``: (function_id, v0..) unit loadings;
     ``tests``: (test_id, v0.., n, m) the tests' coordinates, u times s, the number of their functions and
-    the sum of these functions' means; ``captured`` of ``total`` energy; ``pairs``: the ones, written."""
+    the sum of these functions' means; ``loads``: ``functions`` by any key; ``names``: (function_id) of the
+    ``n_functions``; ``squares``: sum of their squared means; ``total``: energy of the matrix."""
 
     energies: list[float]
     singular: np.ndarray
     functions: DataFrame
     tests: DataFrame
-    means: DataFrame
+    loads: DataFrame
+    names: DataFrame
     n_tests: int
+    n_functions: int
+    squares: float
     total: float
-    pairs: DataFrame
 
     @property
     def dimensionality(self) -> tuple[int, bool]:
@@ -143,42 +148,57 @@ def _coded(ws: Workspace, ids: DataFrame, name: str) -> DataFrame:
     return ws.write(ids.select(name).withColumn("code", F.monotonically_increasing_id()), "codes")
 
 
-def _number(ids: DataFrame, name: str) -> Column:
+def _numbered(seed: int) -> Callable[[str | Column], Column]:
+    return lambda c: F.xxhash64(F.lit(seed), c)
+
+
+def number_of(ids: DataFrame, name: str) -> Callable[[str | Column], Column]:
     """A number that follows from an id alone and is another one for each of a table's distinct ids."""
     for seed in range(100):
-        number = F.xxhash64(F.lit(seed), F.col(name))
-        row = ids.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(number).alias("k")).first()
+        number = _numbered(seed)
+        row = ids.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(number(name)).alias("k")).first()
         if row["n"] == row["k"]:
             return number
     raise ValueError(f"{name}: no numbers without collisions; are the ids distinct?")
 
 
-def modes(pairs: DataFrame, n_tests: int, *, k: int = 16, spare: int = 4, rounds: int = 10, local_pairs: int = LOCAL_ONES, tests: DataFrame | None = None) -> Modes:
+def profile_modes(profiles: DataFrame, names: DataFrame, number: Callable[[str | Column], Column], n_tests: int, n_functions: int, *, k: int = 16, spare: int = 4, rounds: int = 10) -> Modes:
+    """``modes`` in one task, which reads the profiles as a stream.
+
+    ``profiles``: (test_id, codes) of tests with functions, the distinct numbers of each test's functions;
+    ``names``: (function_id) of all ``n_functions`` with these numbers.
+    """
+    ws, shown = Workspace(profiles.sparkSession, "modes"), [f"{c} double" for c in (*_columns(k), "n", "m")]
+    alone = profiles.select("test_id", "codes").coalesce(1)
+    out = ws.write(alone.mapInArrow(lambda batches: kernels.profile_modes(batches, n_tests, k, spare, rounds), f"kind string, test_id string, code long, {', '.join(shown)}"), "kernel")
+    first, kept = out.where("kind = 's'").first(), _columns(min(k, n_functions))
+    values, total = np.maximum([first[c] for c in kept], 0.0), float(n_tests) * (first["n"] - first["m"])
+    loads = out.where("kind = 'f'").select("code", *kept)
+    functions = loads.join(names.select("function_id", number("function_id").alias("code")), "code").select("function_id", *kept)
+    tests = out.where("kind = 't'").select("test_id", *kept, "n", "m")
+    return Modes([float(x / total) if total > 0 else 0.0 for x in values], np.sqrt(values), functions, tests, loads, names, n_tests, n_functions, first["m"], total)
+
+
+def modes(pairs: DataFrame, n_tests: int, *, k: int = 16, spare: int = 4, rounds: int = 10, local_pairs: int = LOCAL_ONES) -> Modes:
     """Modes of the mean-centred matrix of tests and functions: the right singular vectors.
 
     A matrix of at most ``local_pairs`` ones is iterated in one task, from the same start and to the
     same residual, which is looked at every ``rounds`` rounds.
 
     ``pairs``: distinct (test_id, function_id); tests without functions count in ``n_tests``.
-    ``tests``: distinct test_id of all tests, where they are known.
     """
     ws = Workspace(pairs.sparkSession, "modes")
     pairs, seen = ws.write_counted(pairs.select("test_id", "function_id"), "pairs")
     means = ws.write(pairs.groupBy("function_id").agg((F.count(F.lit(1)) / F.lit(float(max(1, n_tests)))).alias("mean")), "means")
     row = means.agg(F.sum("mean").alias("a"), F.sum(F.col("mean") * F.col("mean")).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    names_of, number, ones = means.select("function_id"), number_of(means, "function_id"), seen["n"]
+    if 0 < ones <= local_pairs:
+        profiles = pairs.groupBy("test_id").agg(F.sort_array(F.collect_list(number("function_id"))).alias("codes"))
+        return profile_modes(profiles, names_of, number, n_tests, row["n"], k=k, spare=spare, rounds=rounds)
     total = float(n_tests) * ((row["a"] or 0.0) - (row["b"] or 0.0))
     width = max(1, min(k + spare, int(row["n"] or 1)))
-    names, keep, ones = _columns(width), min(k, width), seen["n"]
-    start, least = start_block(means, "function_id", width), 1e-9 * ones
-    if ones <= local_pairs and row["n"]:
-        tests = ws.write(pairs.select("test_id").distinct(), "tests") if tests is None else tests
-        f, t = _number(means, "function_id"), _number(tests, "test_id")
-        coded, begun = pairs.select(t.alias("test_id"), f.alias("function_id")), start.select(f.alias("function_id"), *names)
-        values, out = _in_one_task(ws, coded, begun, lambda pdf, block: kernels.modes(pdf, block, n_tests, keep, rounds, least))
-        values, kept = np.maximum(values, 0.0), _columns(keep)
-        loads = _named(out, "f", means.select("function_id", f.alias("code")), *kept)
-        places = _named(out, "t", tests.select("test_id", t.alias("code")), *kept, "n", "m")
-        return Modes([float(x / total) if total > 0 else 0.0 for x in values], np.sqrt(values), loads, places, means, n_tests, total, pairs)
+    names, keep = _columns(width), min(k, width)
+    start, least = start_block(means, "function_id", width, of=number("function_id")), 1e-9 * ones
 
     def scores(v: DataFrame, shown: list[str]) -> tuple[DataFrame, list[float]]:
         drop = means.join(v, "function_id").agg(*[F.sum(F.col("mean") * F.col(c)).alias(c) for c in shown]).first()
@@ -198,23 +218,22 @@ def modes(pairs: DataFrame, n_tests: int, *, k: int = 16, spare: int = 4, rounds
         z = pairs.join(y, "test_id").groupBy("function_id").agg(*[F.sum(c).alias(c) for c in names])
         return z.join(means, "function_id").select("function_id", *[(F.col(c) - F.col("mean") * F.lit(w)).alias(c) for c, w in zip(names, whole)])
 
-    values, vectors = subspace(ws, start, "function_id", width, step, rounds, keep=keep, least=least)
+    values, vectors = subspace(ws, start, "function_id", width, step, rounds, keep=keep, least=least, of=number("function_id"))
     kept = _columns(keep)
     vectors = ws.write(vectors.select("function_id", *kept), "functions")
     _, shift = scores(vectors, kept)
     own = pairs.join(vectors.join(means, "function_id"), "function_id").groupBy("test_id").agg(*[F.sum(c).alias(c) for c in kept], F.count(F.lit(1)).cast("double").alias("n"), F.sum("mean").alias("m"))
     tests = ws.write(own.select("test_id", *[(F.col(c) - F.lit(s)).alias(c) for c, s in zip(kept, shift)], "n", "m"), "tests")
     values = np.maximum(values, 0.0)
-    return Modes([float(x / total) if total > 0 else 0.0 for x in values], np.sqrt(values), vectors, tests, means, n_tests, total, pairs)
+    return Modes([float(x / total) if total > 0 else 0.0 for x in values], np.sqrt(values), vectors, tests, vectors.drop("function_id"), names_of, n_tests, row["n"], row["b"] or 0.0, total)
 
 
 def outliers(found: Modes, pairs: DataFrame) -> DataFrame:
     """(test_id, residual, breadth, kind): the share of a test that the modes do not explain, and
     whether a poorly explained one is broad (smoke) or has something to itself (unique)."""
-    row = found.means.agg(F.sum(F.col("mean") * F.col("mean")).alias("b"), F.count(F.lit(1)).alias("n")).first()
     captured = sum((F.col(f"v{i}") * F.col(f"v{i}") for i in range(len(found.energies))), F.lit(0.0))
     both = found.tests.select(
-        "test_id", (F.col("n") - 2 * F.col("m") + F.lit(float(row["b"] or 0.0))).alias("energy"), captured.alias("captured"), (F.col("n") / F.lit(float(row["n"] or 1))).alias("breadth")
+        "test_id", (F.col("n") - 2 * F.col("m") + F.lit(float(found.squares))).alias("energy"), captured.alias("captured"), (F.col("n") / F.lit(float(found.n_functions or 1))).alias("breadth")
     )
     high = both.agg(F.percentile("breadth", 0.9).alias("q90")).first()["q90"] or 0.0
     residual = F.when(F.col("energy") <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("captured") / F.col("energy")))

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshwright.functions.ids import file_of, is_test_path, leaf_of, qual_of
 from meshwright.functions.words import label_words
 from meshwright.operators import churn, cover, linalg, similar, sweeps
 from meshwright.operators.graph import Graph, is_test_node, load_graph
+from meshwright.operators.kernels import LOCAL_ONES
 from meshwright.plans.graphops import degrees, live_set
 from meshwright.plans.graphsql import GRAPH, ROOTS, test_path
 from meshwright.runtime import Workspace
@@ -170,10 +172,23 @@ def find_hotspots(spark: SparkSession, d: str) -> DataFrame:
 # -- modes and subsystems ----------------------------------------------------
 
 
+def _profiles(spark: SparkSession, d: str) -> tuple[DataFrame, dict, DataFrame, int, Callable[[str | Column], Column]]:
+    """(test_id, codes) of all tests with the numbers of tests ``n`` and ``ones``, (function_id) of all
+    functions, how many they are and what makes numbers of them."""
+    ws, coverage = Workspace(spark, "profiles"), table(spark, d, "coverage")
+    names, seen = ws.write_counted(cover.functions(coverage), "functions")
+    number = linalg.number_of(names, "function_id")
+    profiles, sums = ws.write_counted(cover.profiles(coverage, number), "profiles", ones=F.sum(F.size("codes")))
+    return profiles, sums, names, seen["n"], number
+
+
 def _modes(spark: SparkSession, d: str) -> tuple[linalg.Modes, DataFrame]:
-    tests, seen = Workspace(spark, "tests").write_counted(cover.all_tests(table(spark, d, "coverage")), "tests")
-    found = linalg.modes(_pairs(spark, d), seen["n"], k=MODES, tests=tests)
-    return found, found.pairs
+    """The modes, and the profiles of the tests with functions."""
+    profiles, seen, names, n_functions, number = _profiles(spark, d)
+    ran = profiles.where(F.size("codes") > 0)
+    if 0 < (seen["ones"] or 0) <= LOCAL_ONES:
+        return linalg.profile_modes(ran, names, number, seen["n"], n_functions, k=MODES), ran
+    return linalg.modes(_pairs(spark, d), seen["n"], k=MODES, local_pairs=0), ran
 
 
 def _unpivot(df: DataFrame, key: str, k: int) -> DataFrame:
@@ -200,13 +215,13 @@ def _labels(top: DataFrame, group: str, name: str, everything: DataFrame, total:
 
 def find_modes(spark: SparkSession, d: str) -> DataFrame:
     """(mode, energy, label, functions, tests): the strongest patterns in which functions run."""
-    found, pairs = _modes(spark, d)
+    found, _ = _modes(spark, d)
     k = len(found.energies)
     fns = _leading(_unpivot(found.functions, "function_id", k), "function_id", 8)
     tests = _leading(_unpivot(found.tests, "test_id", k), "test_id", 5)
     names = fns.select("mode", leaf_of(F.col("function_id")).alias("leaf"))
-    every = pairs.select("function_id").distinct().select(leaf_of(F.col("function_id")).alias("name"))
-    label = _labels(names, "mode", "leaf", every, every.count(), 4)
+    every = found.names.select(leaf_of(F.col("function_id")).alias("name"))
+    label = _labels(names, "mode", "leaf", every, found.n_functions, 4)
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("place", c))), lambda x: x[c])
     energy = spark.createDataFrame([(i + 1, round(e, 4)) for i, e in enumerate(found.energies)], "mode int, energy double")
     out = energy.join(fns.groupBy("mode").agg(ordered("function_id").alias("functions")), "mode").join(tests.groupBy("mode").agg(ordered("test_id").alias("tests")), "mode")
@@ -217,9 +232,9 @@ def mode_summary(spark: SparkSession, d: str) -> DataFrame:
     """What the modes stand on: tests, functions, the energy of the centred matrix, pairs of tests with
     one profile; ``sound``: energies fall, loadings are orthonormal, and the tests' coordinates hold
     just the energies."""
-    found, pairs = _modes(spark, d)
+    found, ran = _modes(spark, d)
     k = len(found.energies)
-    loads = linalg.gram(found.functions, k) if k else np.zeros((0, 0))
+    loads = linalg.gram(found.loads, k) if k else np.zeros((0, 0))
     shared = linalg.gram(found.tests, k) if k else np.zeros((0, 0))
     # tests without functions lie at one point, which the sum over the others gives: all of them add up to 0
     sums = found.tests.agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"v{i}").alias(f"v{i}") for i in range(k)]).first()
@@ -229,15 +244,15 @@ def mode_summary(spark: SparkSession, d: str) -> DataFrame:
         shared = shared + np.outer(rest, rest) / empty
     size = max(1.0, float(found.singular[0] ** 2)) if k else 1.0
     sound = bool(np.allclose(loads, np.eye(k), atol=1e-6) and np.allclose(shared / size, np.diag(found.singular**2) / size, atol=5e-3) and (np.diff(found.energies) <= 1e-12).all())
-    twins = cover.redundant_groups(pairs).agg(F.coalesce(F.sum(F.col("n_tests") * (F.col("n_tests") - 1) / 2), F.lit(0)).cast("long").alias("redundant_pairs"))
-    told = spark.createDataFrame([(found.n_tests, found.means.count(), round(found.total, 4), sound)], "n_tests long, n_functions long, energy double, sound boolean")
+    twins = ran.groupBy("codes").agg(F.count(F.lit(1)).alias("n_tests")).agg(F.coalesce(F.sum(F.col("n_tests") * (F.col("n_tests") - 1) / 2), F.lit(0)).cast("long").alias("redundant_pairs"))
+    told = spark.createDataFrame([(found.n_tests, found.n_functions, round(found.total, 4), sound)], "n_tests long, n_functions long, energy double, sound boolean")
     return told.crossJoin(twins)  # one row each
 
 
 def modes_overview(spark: SparkSession, d: str) -> DataFrame:
     """(dimensionality, is_lower_bound, minimal_set): modes up to 90 % of the energy, and tests that
     together run every function."""
-    found, pairs = _modes(spark, d)
+    (found, _), pairs = _modes(spark, d), _pairs(spark, d)
     size, more = found.dimensionality
     needed = cover.greedy_order(pairs, pairs.select("test_id").distinct()).where("gain > 0")
     return needed.agg(F.count(F.lit(1)).alias("minimal_set")).select(F.lit(size).alias("dimensionality"), F.lit(more).alias("is_lower_bound"), "minimal_set")
@@ -263,8 +278,8 @@ def feature_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 def find_outlier_tests(spark: SparkSession, d: str) -> DataFrame:
-    found, pairs = _modes(spark, d)
-    return linalg.outliers(found, pairs).orderBy(F.desc("residual"), "test_id").limit(20)
+    found, ran = _modes(spark, d)
+    return linalg.outliers(found, ran).orderBy(F.desc("residual"), "test_id").limit(20)
 
 
 def similar_behaviour(spark: SparkSession, d: str, anchor: str = ANCHOR) -> DataFrame:

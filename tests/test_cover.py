@@ -5,6 +5,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from meshwright.operators import churn, cover, kernels, linalg, similar
@@ -250,3 +251,47 @@ def test_modes_know_the_size_of_each_test(spark):
     assert {r.test_id: (r.n, r.m) for r in found.tests.collect()} == want
     plan = linalg.outliers(found, df)._jdf.queryExecution().optimizedPlan().toString()
     assert "pairs" not in plan and "Generate" not in plan
+
+
+def covered(spark, tmp_path):
+    """A folder with a coverage table of ``planted``: phases and parameters, copies, nulls, a test without functions."""
+    ran = {}
+    for t, f in planted():
+        ran.setdefault(f"tests/test_x.py::{t}", []).append(f)
+    one = {f"{t}[a-1]|run": [*fs, None, fs[0]] for t, fs in ran.items()}
+    two = {t: fs[:1] for t, fs in list(ran.items())[:5]} | {"tests/test_x.py::idle": [], "tests/test_x.py::none": None, "tests/test_x.py::void": [None]}
+    spark.createDataFrame([(1, 1, one), (2, 2, two), (3, 2, None)], "artifact_id long, snapshot int, tests map<string, array<string>>").write.parquet(f"{tmp_path}/coverage.parquet")
+    return str(tmp_path), ran
+
+
+def test_outlier_tests_need_no_pairs_of_ids(spark, tmp_path, monkeypatch):
+    d, ran = covered(spark, tmp_path)
+    names = sorted({f for fs in ran.values() for f in fs})
+    dense = np.array([[f in fs for f in names] for fs in ran.values()] + [[False] * len(names)] * 3, float)
+    centred = dense - dense.mean(0)
+    u, s, _ = np.linalg.svd(centred, full_matrices=False)
+    rest = 1 - ((u * s)[:, : coverops.MODES] ** 2).sum(1) / (centred**2).sum(1)
+    want = {t: (rest[i], dense[i].mean()) for i, t in enumerate(ran)}
+    monkeypatch.setattr(coverops, "_pairs", lambda *_: pytest.fail("pairs of ids are laid out"))
+    got = coverops.find_outlier_tests(spark, d).collect()
+    assert len(got) == 20 and all((r.residual, r.breadth) == pytest.approx(want[r.test_id], abs=2e-3) for r in got)
+    codes = np.array([0, 1, -1, 2**63 - 1, -(2**63), 123456789012345])
+    seen = spark.createDataFrame([(int(c),) for c in codes], "c long").select("c", *[linalg._unit("c", i).alias(f"u{i}") for i in range(3)]).collect()
+    assert [list(r)[1:] for r in seen] == [pytest.approx([kernels.hash_unit(np.array([r.c]), i)[0] for i in range(3)], abs=1e-12) for r in seen]
+
+
+def test_profiles_are_read_as_a_stream():
+    rng = np.random.default_rng(8)
+    ran = {f"t{i:03d}": sorted({int(x) for x in rng.integers(0, 90, rng.integers(1, 9))}) for i in rng.permutation(200)}
+    tables = pa.table({"test_id": list(ran), "codes": pa.array(list(ran.values()), pa.list_(pa.int64()))})
+    p = kernels.Profiles(iter(tables.to_batches(max_chunksize=7)))
+    assert p.tests.to_pylist() == sorted(ran) and [sorted(x.tolist()) for x in np.split(p.functions[p.f], np.cumsum(p.counts)[:-1])] == [ran[t] for t in sorted(ran)]
+    dense = np.array([[c in ran[t] for c in range(90)] for t in sorted(ran)] + [[False] * 90] * 3, float)
+    rows = [r for b in kernels.profile_modes(iter(tables.to_batches(max_chunksize=7)), 203, 5, 4, 10) for r in b.to_pylist()]
+    u, s, vt = np.linalg.svd(dense - dense.mean(0), full_matrices=False)
+    last = rows[-1]
+    assert last["kind"] == "s" and [last[f"v{i}"] for i in range(5)] == pytest.approx(s[:5] ** 2, rel=1e-6)
+    assert (last["n"], last["m"]) == (pytest.approx(dense.mean(0).sum()), pytest.approx((dense.mean(0) ** 2).sum()))
+    at = {r["test_id"]: r for r in rows if r["kind"] == "t"}
+    assert np.abs([at[t]["v0"] for t in sorted(ran)]) == pytest.approx(np.abs(u[:200, 0] * s[0]), abs=1e-3)
+    assert all(at[t]["n"] == len(fs) and at[t]["m"] == pytest.approx(dense.mean(0)[fs].sum()) for t, fs in ran.items())
