@@ -295,3 +295,13 @@ def test_profiles_are_read_as_a_stream():
     at = {r["test_id"]: r for r in rows if r["kind"] == "t"}
     assert np.abs([at[t]["v0"] for t in sorted(ran)]) == pytest.approx(np.abs(u[:200, 0] * s[0]), abs=1e-3)
     assert all(at[t]["n"] == len(fs) and at[t]["m"] == pytest.approx(dense.mean(0)[fs].sum()) for t, fs in ran.items())
+
+
+def test_summary_of_modes_needs_no_pairs_of_ids(spark, tmp_path, monkeypatch):
+    d, ran = covered(spark, tmp_path)
+    monkeypatch.setattr(coverops, "_pairs", lambda *_: pytest.fail("pairs of ids are laid out"))
+    monkeypatch.setattr(cover, "redundant_groups", lambda *_: pytest.fail("sets of ids are laid out"))
+    (row,) = coverops.mode_summary(spark, d).collect()
+    n, many, twins = len(ran) + 3, Counter(f for fs in ran.values() for f in fs), Counter(frozenset(fs) for fs in ran.values())
+    energy = round(sum(k - k * k / n for k in many.values()), 4)
+    assert tuple(row) == (n, len(many), pytest.approx(energy, abs=1e-3), True, sum(k * (k - 1) // 2 for k in twins.values()))
