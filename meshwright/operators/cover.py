@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshwright.functions.ids import base_test_id, file_of, qual_of
+from meshwright.operators import kernels
 from meshwright.runtime import Workspace
 
 #: Functions of a test that one record holds; wider tests are taken apart into pairs of blocks.
@@ -167,3 +168,9 @@ def greedy_order(pairs: DataFrame, tests: DataFrame) -> DataFrame:
         return tests.select("test_id", F.lit(0).cast("long").alias("gain"))
     done = ws.together(picks)
     return done.unionByName(tests.join(done, "test_id", "left_anti").select("test_id", F.lit(0).cast("long").alias("gain")))
+
+
+def greedy_profiles(profiles: DataFrame) -> DataFrame:
+    """(test_id, gain) of the tests that ``greedy_order`` takes with a gain, from (test_id, codes) of tests
+    with functions, which one task reads as a stream: for at most ``kernels.LOCAL_ONES`` ones."""
+    return profiles.select("test_id", "codes").coalesce(1).mapInArrow(kernels.greedy_order, "test_id string, gain long")

@@ -101,7 +101,7 @@ class Modes:
     """``energies``: share of the total per mode; ``functions``: (function_id, v0..) unit loadings;
     ``tests``: (test_id, v0.., n, m) the tests' coordinates, u times s, the number of their functions and
     the sum of these functions' means; ``loads``: ``functions`` by any key; ``names``: (function_id) of the
-    ``n_functions``; ``squares``: sum of their squared means; ``total``: energy of the matrix."""
+    ``n_functions``; ``ones`` of the matrix; ``squares``: sum of the functions' squared means; ``total``: its energy."""
 
     energies: list[float]
     singular: np.ndarray
@@ -111,6 +111,7 @@ class Modes:
     names: DataFrame
     n_tests: int
     n_functions: int
+    ones: int
     squares: float
     total: float
 
@@ -176,7 +177,7 @@ def profile_modes(profiles: DataFrame, names: DataFrame, number: Callable[[str |
     loads = out.where("kind = 'f'").select("code", *kept)
     functions = loads.join(names.select("function_id", number("function_id").alias("code")), "code").select("function_id", *kept)
     tests = out.where("kind = 't'").select("test_id", *kept, "n", "m")
-    return Modes([float(x / total) if total > 0 else 0.0 for x in values], np.sqrt(values), functions, tests, loads, names, n_tests, n_functions, first["m"], total)
+    return Modes([float(x / total) if total > 0 else 0.0 for x in values], np.sqrt(values), functions, tests, loads, names, n_tests, n_functions, round(first["n"] * n_tests), first["m"], total)
 
 
 def modes(pairs: DataFrame, n_tests: int, *, k: int = 16, spare: int = 4, rounds: int = 10, local_pairs: int = LOCAL_ONES) -> Modes:
@@ -225,7 +226,7 @@ def modes(pairs: DataFrame, n_tests: int, *, k: int = 16, spare: int = 4, rounds
     own = pairs.join(vectors.join(means, "function_id"), "function_id").groupBy("test_id").agg(*[F.sum(c).alias(c) for c in kept], F.count(F.lit(1)).cast("double").alias("n"), F.sum("mean").alias("m"))
     tests = ws.write(own.select("test_id", *[(F.col(c) - F.lit(s)).alias(c) for c, s in zip(kept, shift)], "n", "m"), "tests")
     values = np.maximum(values, 0.0)
-    return Modes([float(x / total) if total > 0 else 0.0 for x in values], np.sqrt(values), vectors, tests, vectors.drop("function_id"), names_of, n_tests, row["n"], row["b"] or 0.0, total)
+    return Modes([float(x / total) if total > 0 else 0.0 for x in values], np.sqrt(values), vectors, tests, vectors.drop("function_id"), names_of, n_tests, row["n"], ones, row["b"] or 0.0, total)
 
 
 def outliers(found: Modes, pairs: DataFrame) -> DataFrame:

@@ -252,9 +252,12 @@ def mode_summary(spark: SparkSession, d: str) -> DataFrame:
 def modes_overview(spark: SparkSession, d: str) -> DataFrame:
     """(dimensionality, is_lower_bound, minimal_set): modes up to 90 % of the energy, and tests that
     together run every function."""
-    (found, _), pairs = _modes(spark, d), _pairs(spark, d)
+    found, ran = _modes(spark, d)
     size, more = found.dimensionality
-    needed = cover.greedy_order(pairs, pairs.select("test_id").distinct()).where("gain > 0")
+    if 0 < found.ones <= LOCAL_ONES:
+        needed = cover.greedy_profiles(ran)
+    else:
+        needed = cover.greedy_order(_pairs(spark, d), ran.select("test_id")).where("gain > 0")
     return needed.agg(F.count(F.lit(1)).alias("minimal_set")).select(F.lit(size).alias("dimensionality"), F.lit(more).alias("is_lower_bound"), "minimal_set")
 
 

@@ -305,3 +305,22 @@ def test_summary_of_modes_needs_no_pairs_of_ids(spark, tmp_path, monkeypatch):
     n, many, twins = len(ran) + 3, Counter(f for fs in ran.values() for f in fs), Counter(frozenset(fs) for fs in ran.values())
     energy = round(sum(k - k * k / n for k in many.values()), 4)
     assert tuple(row) == (n, len(many), pytest.approx(energy, abs=1e-3), True, sum(k * (k - 1) // 2 for k in twins.values()))
+
+
+def test_minimal_set_of_profiles_is_the_sequential_one(spark, tmp_path, monkeypatch):
+    d, ran = covered(spark, tmp_path)
+    wide = {f"t{i}": [int(x) for x in np.random.default_rng(i).choice(60, 1 + i % 7, replace=False)] for i in range(150)}
+    for sets in (ran, wide):
+        left, want = {t: set(fs) for t, fs in sets.items()}, {}
+        while any(left.values()):
+            best = min(left, key=lambda t: (-len(left[t]), t))
+            want[best], new = len(left[best]), set(left[best])
+            left = {t: fs - new for t, fs in left.items()}
+        codes = {f: i for i, f in enumerate(sorted({f for fs in sets.values() for f in fs}))}
+        rows = spark.createDataFrame([(t, [codes[f] for f in fs]) for t, fs in sets.items()], "test_id string, codes array<long>").repartition(3)
+        assert {r.test_id: r.gain for r in cover.greedy_profiles(rows).collect()} == want
+        if sets is ran:
+            needed = len(want)
+    monkeypatch.setattr(cover, "greedy_order", lambda *_: pytest.fail("rounds of joins"))
+    (row,) = coverops.modes_overview(spark, d).collect()
+    assert row.minimal_set == needed and row.dimensionality > 0
